@@ -41,3 +41,22 @@ def clustered_b(spark: SparkSession, sf_dir: str, gap_seconds: float = FIXTURE_G
 
 def causes_b(spark: SparkSession, sf_dir: str, gap_seconds: float = FIXTURE_GAP_SECONDS) -> DataFrame:
     return C.rank_root_causes(clustered_b(spark, sf_dir, gap_seconds))
+
+
+def parsed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 over the fixture lines; an /ingest request is one bundle per source."""
+    lines = log_lines(spark, sf_dir).withColumn("bundle_id", F.col("source_id"))
+    return P.parse_lines(lines)
+
+
+def patterns_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.aggregate_patterns_a(parsed_a(spark, sf_dir))
+
+
+def segments_b(spark: SparkSession, sf_dir: str, lookback_seconds: int = FIXTURE_LOOKBACK_SECONDS) -> DataFrame:
+    """W1 over the fixture entries, one ordered stream per source."""
+    return C.flush_segments(entries_b(spark, sf_dir), keys=("source_id",), lookback_seconds=lookback_seconds)
+
+
+def hour_batches(entries: DataFrame) -> DataFrame:
+    return entries.withColumn("batch_id", F.coalesce(F.date_format("ts", "yyyy-MM-dd HH"), F.lit("none")))

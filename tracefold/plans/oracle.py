@@ -148,3 +148,64 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, cluster_no ORDER
   FROM scored WHERE severity_score >= 50 OR dependency_score > 0),
 causes AS (SELECT *, {reason_sql('severity_score', 'dependency_score', 'count')} AS reason
   FROM ranked WHERE rank <= 5)"""
+
+
+# --- variant A (line parser) -----------------------------------------------
+
+def severity_a_sql(line: str) -> str:
+    words = [w for w, _ in T.SEVERITY_KEYWORDS_A]
+    br = f"upper(regexp_extract({line}, '\\[(\\w+)\\]', 1))"
+    in_list = ", ".join(f"'{w}'" for w in words)
+    scan = " ".join(f"WHEN contains(upper({line}), '{w}') THEN '{w}'" for w in words)
+    return f"(CASE WHEN {br} IN ({in_list}) THEN {br} {scan} END)"
+
+
+def norm_a_sql(line: str) -> str:
+    from tracefold.functions.time import TS_A_PATTERNS
+    s = line
+    for p in TS_A_PATTERNS:
+        s = f"regexp_replace({s}, '{p}', '', 'g')"
+    for pat, rep in T.NORM_A_RULES:
+        if pat.startswith(r"\b(?!"):
+            # \b(?!404|...)\d+\b without lookahead: guard the kept codes, replace, unguard.
+            codes = pat[len(r"\b(?!"):pat.index(")")]
+            s = f"regexp_replace({s}, '\\b({codes})(\\d*)\\b', 'zzq\\1\\2', 'g')"
+            s = f"regexp_replace({s}, '\\b\\d+\\b', '{rep}', 'g')"
+            s = f"regexp_replace({s}, 'zzq', '', 'g')"
+        else:
+            s = f"regexp_replace({s}, '{pat}', '{rep}', 'g')"
+    return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
+
+
+def ts_a_sql(line: str) -> str:
+    def frac(sep: str) -> str:
+        pat = f"(\\d{{4}}-\\d{{2}}-\\d{{2}}){sep}(\\d{{2}}:\\d{{2}}:\\d{{2}})\\.(\\d+)"
+        d = f"regexp_extract({line}, '{pat}', 1)"
+        t = f"regexp_extract({line}, '{pat}', 2)"
+        f = f"rpad(substr(regexp_extract({line}, '{pat}', 3), 1, 6), 6, '0')"
+        return f"(CASE WHEN {d} <> '' THEN try_strptime({d} || ' ' || {t} || '.' || {f}, '%Y-%m-%d %H:%M:%S.%f') END)"
+    clf = f"regexp_extract({line}, '(\\d{{2}}/\\w{{3}}/\\d{{4}}:\\d{{2}}:\\d{{2}}:\\d{{2}})', 1)"
+    clf_ts = f"(CASE WHEN {clf} <> '' THEN try_strptime({clf}, '%d/%b/%Y:%H:%M:%S') END)"
+    return f"coalesce({frac('T')}, {frac(' ')}, {clf_ts})"
+
+
+STACK_FILE = r"at\s+([\w.$]+)\.([\w$]+)\(([\w.]+):(\d+)\)"
+
+
+def parsed_a_ctes() -> str:
+    """P1 over the fixture; one bundle per source -> ``parsed``."""
+    f3 = f"regexp_extract(line, '{STACK_FILE}', 3)"
+    return log_lines_cte() + f""",
+parsed AS (SELECT source_id AS bundle_id, source_id, line_no, line, {ts_a_sql('line')} AS ts,
+    {severity_a_sql('line')} AS severity, {norm_a_sql('line')} AS norm,
+    CASE WHEN {f3} <> '' THEN {f3} END AS src_file,
+    CASE WHEN {f3} <> '' THEN CAST(regexp_extract(line, '{STACK_FILE}', 4) AS INTEGER) END AS src_line
+  FROM log_lines WHERE regexp_matches(line, '\\S'))"""
+
+
+def patterns_a_ctes() -> str:
+    """A1 over parsed -> ``patterns_a``."""
+    return parsed_a_ctes() + """,
+patterns_a AS (SELECT bundle_id, norm, arg_min(substr(line, 1, 1000), line_no) AS pattern, count(*) AS count,
+    min(ts) AS first_ts, max(ts) AS last_ts, arg_min(severity, line_no) AS severity, min(line_no) AS first_line_no
+  FROM parsed GROUP BY bundle_id, norm)"""
