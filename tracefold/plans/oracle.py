@@ -135,7 +135,7 @@ def causes_ctes(gap_seconds: float, dep_cte: str | None = None, bundle: str = "d
     per (bundle_id, pattern_key)) -> ``causes``."""
     base = clusters_ctes(gap_seconds, bundle)
     if dep_cte:
-        base += ",\n" + dep_cte
+        base += ",\n" + dep_cte.lstrip(",\n")
         dep_join = "LEFT JOIN dep USING (bundle_id, pattern_key)"
         dep_val = "coalesce(dep.dependency_score, 0)"
     else:
@@ -209,3 +209,92 @@ def patterns_a_ctes() -> str:
 patterns_a AS (SELECT bundle_id, norm, arg_min(substr(line, 1, 1000), line_no) AS pattern, count(*) AS count,
     min(ts) AS first_ts, max(ts) AS last_ts, arg_min(severity, line_no) AS severity, min(line_no) AS first_line_no
   FROM parsed GROUP BY bundle_id, norm)"""
+
+
+# --- dependency graph ----------------------------------------------------------
+
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _any_sql(x: str, markers) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{_q(m)}')" for m in markers) + ")"
+
+
+def frame_lists_ctes(src: str = "patterns_b") -> str:
+    """P3/P4 list columns per pattern -> ``frame_lists`` and ``frames``."""
+    from tracefold.operators import depgraph as G
+    cls, pth = G.FRAMEWORK_CLASS_MARKERS, G.FRAMEWORK_PATH_MARKERS
+
+    def lst(rx, g=1):
+        return f"regexp_extract_all(pattern, '{_q(rx)}', {g})"
+
+    def st(lang, name):
+        return f"{{'lang': '{lang}', 'name': {name}}}"
+
+    return f""",
+fl0 AS (SELECT bundle_id, pattern_key, pattern, {lst(G.NODE_FRAME_RE, 1)} AS node_f, {lst(G.NODE_FRAME_RE, 2)} AS node_p
+  FROM {src}),
+fl1 AS (SELECT bundle_id, pattern_key, pattern,
+  list_transform(list_filter({lst(G.JAVA_FRAME_RE)}, lambda c: NOT {_any_sql('c', cls)}),
+    lambda c: {st('java', "string_split(c, '.')[-1]")})
+  || list_transform(list_filter({lst(G.PYTHON_FRAME_RE)}, lambda p: NOT {_any_sql('p', pth)}),
+    lambda p: {st('python', "replace(string_split(p, '/')[-1], '.py', '')")})
+  || list_transform(list_filter(generate_series(1, len(node_p)), lambda i: NOT {_any_sql('node_p[i]', pth)}),
+    lambda i: {st('node', "CASE WHEN coalesce(node_f[i], '') <> '' THEN node_f[i] ELSE replace(replace(string_split(node_p[i], '/')[-1], '.js', ''), '.ts', '') END")})
+  || list_transform(list_filter({lst(G.GO_FRAME_RE)}, lambda p: NOT {_any_sql('p', pth)}),
+    lambda p: {st('go', "replace(string_split(p, '/')[-1], '.go', '')")})
+  || list_transform(list_filter({lst(G.RUBY_FRAME_RE)}, lambda p: NOT {_any_sql('p', pth)}),
+    lambda p: {st('ruby', "replace(string_split(p, '/')[-1], '.rb', '')")})
+  || list_transform(list_filter({lst(G.DOTNET_FRAME_RE)}, lambda c: NOT {_any_sql('c', cls)}),
+    lambda c: {st('dotnet', "string_split(c, '.')[-1]")}) AS allf,
+  list_filter(list_transform(regexp_extract_all(pattern, '{_q(G.CAUSED_BY_RE)}', 1),
+    lambda e: string_split(replace(replace(e, 'Exception', ''), 'Error', ''), '.')[-1]), lambda n: length(n) > 2)
+    AS caused
+  FROM fl0),
+frame_lists AS (SELECT bundle_id, pattern_key, pattern, caused,
+  list_filter(allf, lambda s, i: list_position(list_transform(allf, lambda t: t.name), s.name) = i) AS chain
+  FROM fl1),
+frames AS (SELECT bundle_id, pattern_key, CAST(pos AS BIGINT) AS pos, f.lang AS lang, f.name AS component FROM (
+  SELECT bundle_id, pattern_key, unnest(chain) AS f, generate_subscripts(chain, 1) - 1 AS pos FROM frame_lists))"""
+
+
+def mentions_sql(text: str) -> str:
+    from tracefold.operators import depgraph as G
+    parts = [f"regexp_extract_all({text}, '{_q(G.CAMEL_RE)}', 1)",
+             f"list_filter(regexp_extract_all({text}, '{_q(G.SNAKE_RE)}', 1), lambda s: length(s) > 4)",
+             f"regexp_extract_all({text}, '{_q(G.BRACKET_RE)}', 1)"]
+    parts += [f"regexp_extract_all({text}, '([\\w]+{s})', 1)" for s in G.COMPONENT_SUFFIXES]
+    parts.append(f"regexp_extract_all({text}, '{_q(G.CONTAINER_RE)}', 1)")
+    return "list_distinct(" + " || ".join(parts) + ")"
+
+
+def infra_depth_sql(name: str) -> str:
+    from tracefold.operators import depgraph as G
+    n = len(G.INFRA_DEPTH_ORDER)
+    whens = " ".join(f"WHEN contains(lower({name}), '{kw}') THEN {n - i}"
+                     for i, kw in enumerate(G.INFRA_DEPTH_ORDER))
+    return f"(CASE {whens} ELSE 0 END)"
+
+
+def graph_ctes(src: str = "patterns_b") -> str:
+    """U1 + W7 over ``src`` patterns -> ``services``, ``nodes``, ``dep``."""
+    return frame_lists_ctes(src) + f""",
+mentions AS (SELECT bundle_id, pattern_key, unnest({mentions_sql('pattern')}) AS service FROM {src}),
+services AS (SELECT DISTINCT bundle_id, service FROM (
+  SELECT bundle_id, component AS service FROM frames
+  UNION ALL SELECT bundle_id, service FROM mentions
+  UNION ALL SELECT bundle_id, unnest(caused) AS service FROM frame_lists)),
+chain_depth AS (SELECT bundle_id, component AS service, max(pos + 1) AS chain_depth FROM frames
+  GROUP BY bundle_id, component),
+nodes0 AS (SELECT s.bundle_id, s.service AS node,
+  CAST(greatest({infra_depth_sql('s.service')}, coalesce(d.chain_depth, 0)) AS BIGINT) AS depth_score
+  FROM services s LEFT JOIN chain_depth d ON s.bundle_id = d.bundle_id AND s.service = d.service),
+nodes AS (SELECT bundle_id, node, depth_score,
+  CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY depth_score DESC, node) - 1 AS BIGINT) AS position,
+  CAST(count(*) OVER (PARTITION BY bundle_id) AS BIGINT) AS n_nodes FROM nodes0),
+prio AS (SELECT bundle_id, lower(node) AS node_lc, max(n_nodes - 1 - position) AS priority FROM nodes
+  GROUP BY bundle_id, lower(node)),
+dep AS (SELECT p.bundle_id, p.pattern_key, CAST(max(r.priority) AS BIGINT) AS dependency_score
+  FROM {src} p JOIN prio r ON p.bundle_id = r.bundle_id AND contains(lower(p.pattern), r.node_lc)
+  GROUP BY p.bundle_id, p.pattern_key)"""

@@ -1 +1,78 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: dependency-graph inference and graph-aware ranking."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracefold.operators import correlate as C
+from tracefold.operators import depgraph as G
+from tracefold.plans import flows as FL
+from tracefold.plans import oracle as O
+from tracefold.plans.registry import register
+
+GAP = FL.FIXTURE_GAP_SECONDS
+_G = "WITH " + O.patterns_b_ctes() + O.graph_ctes()
+
+
+@register("P3_explode_frames", _G + """
+SELECT bundle_id, pattern_key, pos, lang, component FROM frames""")
+def q_explode_frames(spark, sf_dir):
+    return G.explode_frames(FL.patterns_b(spark, sf_dir))
+
+
+@register("P4_caused_by_edges", _G + """,
+cb AS (SELECT bundle_id, pattern_key, substr(pattern, 1, 100) AS evidence, caused FROM frame_lists
+  WHERE len(caused) > 1)
+SELECT bundle_id, pattern_key, CAST(i - 1 AS BIGINT) AS pos, caused[i] AS caller, caused[i + 1] AS callee, evidence,
+  0.8 AS confidence
+FROM (SELECT *, unnest(generate_series(1, len(caused) - 1)) AS i FROM cb)""")
+def q_caused_by_edges(spark, sf_dir):
+    return G.extract_caused_by_edges(FL.patterns_b(spark, sf_dir))
+
+
+@register("P5_service_mentions", _G + """
+SELECT bundle_id, pattern_key, service FROM mentions""")
+def q_service_mentions(spark, sf_dir):
+    return G.extract_service_mentions(FL.patterns_b(spark, sf_dir))
+
+
+@register("U1_all_services", _G + """
+SELECT bundle_id, service FROM services""")
+def q_all_services(spark, sf_dir):
+    _, services, _, _ = FL.graph_b(spark, sf_dir)
+    return services
+
+
+@register("W7_order_by_depth", _G + """
+SELECT bundle_id, node, depth_score, position, n_nodes FROM nodes""")
+def q_order_by_depth(spark, sf_dir):
+    _, _, _, nodes = FL.graph_b(spark, sf_dir)
+    return nodes
+
+
+@register("W7b_root_service", _G + """
+SELECT bundle_id, coalesce(
+  arg_min(node, position) FILTER (WHERE contains(lower(node), 'application') OR lower(node) IN ('app', 'main')),
+  arg_max(node, position)) AS root_service
+FROM nodes GROUP BY bundle_id""")
+def q_root_service(spark, sf_dir):
+    _, _, _, nodes = FL.graph_b(spark, sf_dir)
+    return G.root_service(nodes)
+
+
+@register("J2_match_dependencies", _G + """
+SELECT p.bundle_id, p.pattern_key, coalesce(d.dependency_score, 0) AS dependency_score
+FROM patterns_b p LEFT JOIN dep d ON p.bundle_id = d.bundle_id AND p.pattern_key = d.pattern_key""")
+def q_match_dependencies(spark, sf_dir):
+    pats, _, _, nodes = FL.graph_b(spark, sf_dir)
+    return C.match_dependencies(pats, C.dependency_priority(nodes)).select(
+        "bundle_id", "pattern_key", "dependency_score")
+
+
+@register("U2_rank_with_graph", "WITH " + O.causes_ctes(GAP, dep_cte=O.graph_ctes()) + """
+SELECT bundle_id, cluster_no, CAST(rank AS BIGINT) AS rank, pattern_key,
+  CAST(severity_score AS BIGINT) AS severity_score, dependency_score, reason FROM causes""")
+def q_rank_with_graph(spark, sf_dir):
+    r = FL.causes_with_graph_b(spark, sf_dir)
+    return r.select("bundle_id", "cluster_no", "rank", "pattern_key",
+                    F.col("severity_score").cast("long").alias("severity_score"), "dependency_score", "reason")
