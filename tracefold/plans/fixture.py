@@ -54,3 +54,36 @@ def log_lines_cte() -> str:
     head, _, select = body.rpartition("\nSELECT service AS source_id")
     ctes = head[len("WITH "):].replace("{events}", "events")
     return (ctes + ",\nlog_lines AS (\nSELECT service AS source_id" + select + ")")
+
+
+# Incident events (K8s-style) derived from ``events``: error and purchase rows
+# become Warning / Normal events of the same service, naming a peer service.
+INCIDENT_EVENTS_SQL = """
+WITH ebase AS (
+  SELECT event_id, ts, user_id, event_type,
+    CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'auth-service' WHEN 1 THEN 'payment-service'
+      WHEN 2 THEN 'order-service' WHEN 3 THEN 'api-gateway' ELSE 'frontend-web' END AS service,
+    CASE CAST((user_id + 1) % 5 AS INT) WHEN 0 THEN 'auth-service' WHEN 1 THEN 'payment-service'
+      WHEN 2 THEN 'order-service' WHEN 3 THEN 'api-gateway' ELSE 'frontend-web' END AS peer
+  FROM {events})
+SELECT concat('evt_', CAST(event_id AS STRING)) AS id,
+  CASE event_type WHEN 'error' THEN 'Warning' ELSE 'Normal' END AS type,
+  CASE event_type WHEN 'error' THEN concat('BackOff: calling ', peer, ' failed with ConnectionTimeout')
+    ELSE concat('Unhealthy: readiness probe of [', peer, '] slow') END AS reason,
+  concat(service, '-5c9d7f-q', CAST(user_id % 10 AS STRING)) AS pod,
+  service, ts
+FROM ebase WHERE event_type IN ('error', 'purchase')
+"""
+
+
+def incident_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, type, reason, pod, service, ts)`` derived from ``events``."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    return spark.sql(INCIDENT_EVENTS_SQL, events=events)
+
+
+def incident_events_cte() -> str:
+    body = INCIDENT_EVENTS_SQL.strip()
+    head, _, select = body.rpartition("\nSELECT concat('evt_'")
+    ctes = head[len("WITH "):].replace("{events}", "events")
+    return ctes + ",\nincident_events AS (\nSELECT concat('evt_'" + select + ")"

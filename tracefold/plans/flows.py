@@ -78,3 +78,64 @@ def causes_with_graph_b(spark: SparkSession, sf_dir: str, gap_seconds: float = F
     nodes = G.build_graph(pats)
     scored = C.match_dependencies(pats, C.dependency_priority(nodes))
     return C.rank_root_causes(C.cluster_by_gap(scored, gap_seconds=gap_seconds))
+
+
+# --- bundle level ------------------------------------------------------------
+
+SERVICES = ["auth-service", "payment-service", "order-service", "api-gateway", "frontend-web"]
+METRIC_KINDS = {"view": "cpu_z", "click": "mem_z", "purchase": "latency_z", "error": "error_rate_z"}
+
+
+def service_of(user_id: str = "user_id"):
+    """The fixture's user -> service mapping (user_id % 5)."""
+    m = F.col(user_id) % 5
+    expr = F.when(m == 0, F.lit(SERVICES[0]))
+    for i, s in enumerate(SERVICES[1:], start=1):
+        expr = expr.when(m == i, F.lit(s))
+    return expr
+
+
+def windows_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 per bundle, with the bundle's source."""
+    p = patterns_b(spark, sf_dir)
+    return (A.bundle_window(p).withColumn("source_id", F.substring_index("bundle_id", "/", 1)))
+
+
+def events_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incident events inside each bundle's window."""
+    from tracefold.operators.bundle import attach_events
+    from tracefold.plans.fixture import incident_events
+    return attach_events(windows_b(spark, sf_dir), incident_events(spark, sf_dir))
+
+
+def metrics_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per (service, day) z-scores of the mean event value, one column per kind."""
+    from tracefold.operators.bundle import zscore_metrics
+    from tracefold.session import table
+    ev = table(spark, sf_dir, "events").select(
+        service_of().alias("service"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "value")
+    z = zscore_metrics(ev, kinds=METRIC_KINDS)
+    return z.withColumn("bundle_id", F.concat(F.col("service"), F.lit("/"), F.col("day")))
+
+
+def summary_inputs_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per bundle: root service, affected services, error classes, hint, chain."""
+    from tracefold.operators import depgraph as G
+    pats, _, _, nodes = graph_b(spark, sf_dir)
+    root = G.root_service(nodes)
+    chain = nodes.groupBy("bundle_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "node"))), lambda s: s["node"])
+        .alias("dependency_chain"))
+    hint = A.derive_hint(pats, level="error_class", ord_col="first_entry_no")
+    base = pats.select("bundle_id").distinct()
+    return (base.join(root, "bundle_id", "left").join(A.affected_services(pats), "bundle_id", "left")
+            .join(A.error_classes(pats), "bundle_id", "left").join(hint, "bundle_id", "left")
+            .join(chain, "bundle_id", "left"))
+
+
+def summaries_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.operators.bundle import flag_anomalies, summarize_bundles
+    pats = patterns_b(spark, sf_dir)
+    top = C.prioritize_patterns(pats, limit=3, keyword_set="summary")
+    return summarize_bundles(summary_inputs_b(spark, sf_dir), top, flag_anomalies(metrics_b(spark, sf_dir)),
+                             events_b(spark, sf_dir))

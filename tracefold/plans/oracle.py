@@ -298,3 +298,36 @@ prio AS (SELECT bundle_id, lower(node) AS node_lc, max(n_nodes - 1 - position) A
 dep AS (SELECT p.bundle_id, p.pattern_key, CAST(max(r.priority) AS BIGINT) AS dependency_score
   FROM {src} p JOIN prio r ON p.bundle_id = r.bundle_id AND contains(lower(p.pattern), r.node_lc)
   GROUP BY p.bundle_id, p.pattern_key)"""
+
+
+# --- bundle level ----------------------------------------------------------------
+
+def service_case_sql(user_id: str = "user_id") -> str:
+    return (f"CASE CAST({user_id} % 5 AS INT) WHEN 0 THEN 'auth-service' WHEN 1 THEN 'payment-service' "
+            f"WHEN 2 THEN 'order-service' WHEN 3 THEN 'api-gateway' ELSE 'frontend-web' END")
+
+
+def bundle_ctes() -> str:
+    """Windows, attached events and metrics on top of patterns_b + graph."""
+    from tracefold.plans.fixture import incident_events_cte
+    return f""",
+{incident_events_cte()},
+win AS (SELECT bundle_id, split_part(bundle_id, '/', 1) AS source_id, min(first_ts) AS window_start,
+  max(last_ts) AS window_end FROM patterns_b GROUP BY bundle_id),
+ev_b AS (SELECT w.bundle_id, e.* FROM incident_events e JOIN win w ON e.service = w.source_id
+  AND e.ts >= w.window_start AND e.ts <= w.window_end),
+daily AS (SELECT {service_case_sql()} AS service, strftime(ts, '%Y-%m-%d') AS day, event_type, avg(value) AS x
+  FROM events GROUP BY ALL),
+zs AS (SELECT *, CASE WHEN stddev_samp(x) OVER (PARTITION BY service, event_type) <> 0 THEN
+  (x - avg(x) OVER (PARTITION BY service, event_type)) / stddev_samp(x) OVER (PARTITION BY service, event_type)
+  END AS z FROM daily),
+metrics AS (SELECT service || '/' || day AS bundle_id, service, day,
+  max(z) FILTER (WHERE event_type = 'view') AS cpu_z, max(z) FILTER (WHERE event_type = 'click') AS mem_z,
+  max(z) FILTER (WHERE event_type = 'purchase') AS latency_z, max(z) FILTER (WHERE event_type = 'error')
+  AS error_rate_z FROM zs GROUP BY ALL),
+anomalies AS (SELECT bundle_id, ord, metric, label, z, printf('%s Z-score: %.2f', label, z) AS text FROM (
+  SELECT bundle_id, 0 AS ord, 'cpu_z' AS metric, 'CPU' AS label, cpu_z AS z FROM metrics
+  UNION ALL SELECT bundle_id, 1, 'mem_z', 'Memory', mem_z FROM metrics
+  UNION ALL SELECT bundle_id, 2, 'latency_z', 'Latency', latency_z FROM metrics
+  UNION ALL SELECT bundle_id, 3, 'error_rate_z', 'Error rate', error_rate_z FROM metrics)
+  WHERE z IS NOT NULL AND z <> 0 AND abs(z) > 2.0)"""

@@ -1 +1,99 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: bundle assembly (events, metrics, sequence, summaries)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracefold.functions.time import iso_seconds
+from tracefold.operators import bundle as B
+from tracefold.plans import flows as FL
+from tracefold.plans import oracle as O
+from tracefold.plans.registry import register
+
+_B = "WITH " + O.patterns_b_ctes() + O.graph_ctes() + O.bundle_ctes()
+
+
+@register("J9_attach_events", _B + f"""
+SELECT bundle_id, id, type, service, {O.iso_s('ts')} AS ts FROM ev_b""")
+def q_attach_events(spark, sf_dir):
+    e = FL.events_b(spark, sf_dir)
+    return e.select("bundle_id", "id", "type", "service", iso_seconds(F.col("ts")).alias("ts"))
+
+
+@register("G4_zscore_metrics", _B + """
+SELECT bundle_id, round(cpu_z, 6) AS cpu_z, round(mem_z, 6) AS mem_z, round(latency_z, 6) AS latency_z,
+  round(error_rate_z, 6) AS error_rate_z FROM metrics""")
+def q_zscore_metrics(spark, sf_dir):
+    m = FL.metrics_b(spark, sf_dir)
+    return m.select("bundle_id", *[F.round(c, 6).alias(c) for c in ("cpu_z", "mem_z", "latency_z", "error_rate_z")])
+
+
+@register("P8_flag_anomalies", _B + """
+SELECT bundle_id, metric, text FROM anomalies""")
+def q_flag_anomalies(spark, sf_dir):
+    return B.flag_anomalies(FL.metrics_b(spark, sf_dir)).select("bundle_id", "metric", "text")
+
+
+@register("W6_sequence_index", _B + """,
+seq AS (SELECT bundle_id, first_ts AS ts, 'log' AS type, pattern_key AS item_id FROM patterns_b
+  UNION ALL SELECT bundle_id, ts, 'event', id FROM ev_b)
+SELECT bundle_id, type, item_id,
+  row_number() OVER (PARTITION BY bundle_id ORDER BY ts ASC NULLS FIRST, type, item_id) - 1 AS sequence_index
+FROM seq""")
+def q_sequence_index(spark, sf_dir):
+    s = B.sequence_index(FL.patterns_b(spark, sf_dir), FL.events_b(spark, sf_dir))
+    return s.select("bundle_id", "type", "item_id", "sequence_index")
+
+
+_P9 = _B + """,
+root AS (SELECT bundle_id, coalesce(
+  arg_min(node, position) FILTER (WHERE contains(lower(node), 'application') OR lower(node) IN ('app', 'main')),
+  arg_max(node, position)) AS root_service FROM nodes GROUP BY bundle_id),
+chain AS (SELECT bundle_id, list(node ORDER BY position) AS dependency_chain FROM nodes GROUP BY bundle_id),
+aff AS (SELECT bundle_id, list_sort(list_distinct(list(""" + O.clean_service_sql("container") + """)))
+  AS affected_services FROM patterns_b WHERE container IS NOT NULL AND container <> ''
+  AND error_class IN ('ERROR', 'WARNING') GROUP BY bundle_id),
+ecl AS (SELECT bundle_id, list_slice(list_sort(list_distinct(list(error_class))), 1, 5) AS error_classes
+  FROM patterns_b GROUP BY bundle_id),
+htop AS (SELECT bundle_id, arg_max(pattern, struct_pack(c := count, o := -first_entry_no)) AS top_pattern
+  FROM patterns_b WHERE error_class IN ('ERROR', 'FATAL', 'EXCEPTION') GROUP BY bundle_id),
+hint AS (SELECT bundle_id, CASE
+  WHEN contains(lower(top_pattern), '404') OR contains(lower(top_pattern), 'not found')
+    THEN 'HTTP 404 errors detected - possible missing endpoint or route'
+  WHEN contains(lower(top_pattern), 'connection') AND (contains(lower(top_pattern), 'pool')
+    OR contains(lower(top_pattern), 'exhaust')) THEN 'Database connection pool issues detected'
+  WHEN contains(lower(top_pattern), 'timeout') THEN 'Timeout errors detected - possible performance or network issues'
+  WHEN contains(lower(top_pattern), 'memory') OR contains(lower(top_pattern), 'oom')
+    THEN 'Memory issues detected - possible memory leak or insufficient resources'
+  ELSE 'Primary error: ' || substr(top_pattern, 1, 100) END AS hint FROM htop),
+tp0 AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY """ + O.severity_score_sql(
+    "pattern", "error_class", "summary") + """ DESC, count DESC, """ + O.PORDER + """) AS priority FROM patterns_b),
+tp AS (SELECT bundle_id, list(printf('Log pattern (%dx): %s', count, substr(pattern, 1, 500)) ORDER BY priority)
+  AS tp FROM tp0 WHERE priority <= 3 GROUP BY bundle_id),
+an AS (SELECT bundle_id, string_agg(text, '; ' ORDER BY ord) AS an FROM anomalies GROUP BY bundle_id),
+ev5 AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY ts ASC NULLS FIRST, id) AS r FROM ev_b),
+evs AS (SELECT bundle_id, list_sort(list_distinct(list(type))) AS ev_types,
+  list_sort(list_distinct(list(reason))) AS ev_reasons FROM ev5 WHERE r <= 5 GROUP BY bundle_id),
+allb AS (SELECT DISTINCT bundle_id FROM patterns_b),
+parts AS (SELECT b.bundle_id, list_filter([
+    CASE WHEN root_service IS NOT NULL AND root_service <> '' THEN 'Root service: ' || root_service END,
+    CASE WHEN len(affected_services) > 0 THEN 'Affected services: ' ||
+      array_to_string(list_slice(affected_services, 1, 5), ', ') END,
+    CASE WHEN len(error_classes) > 0 THEN 'Error classes: ' || array_to_string(list_slice(error_classes, 1, 5), ', ')
+      END] || coalesce(tp, []) || [
+    CASE WHEN an IS NOT NULL THEN 'Anomalies: ' || an END,
+    CASE WHEN len(ev_types) > 0 THEN 'Event types: ' || array_to_string(ev_types, ', ') END,
+    CASE WHEN len(ev_reasons) > 0 THEN 'Event reasons: ' || array_to_string(ev_reasons, ', ') END,
+    CASE WHEN hint IS NOT NULL AND hint <> '' THEN 'Hint: ' || hint END,
+    CASE WHEN len(dependency_chain) > 0 THEN 'Dependency chain: ' ||
+      array_to_string(list_slice(dependency_chain, 1, 5), ' → ') END], lambda x: x IS NOT NULL) AS parts
+  FROM allb b LEFT JOIN root USING (bundle_id) LEFT JOIN aff USING (bundle_id) LEFT JOIN ecl USING (bundle_id)
+  LEFT JOIN hint USING (bundle_id) LEFT JOIN chain USING (bundle_id) LEFT JOIN tp USING (bundle_id)
+  LEFT JOIN an USING (bundle_id) LEFT JOIN evs USING (bundle_id)),
+summ AS (SELECT bundle_id, array_to_string(parts, ' | ') AS s FROM parts)"""
+
+
+@register("P9_summarize_bundles", _P9 + """
+SELECT bundle_id, CASE WHEN length(s) > 5000 THEN substr(s, 1, 5000) || '...' ELSE s END AS summary FROM summ""")
+def q_summarize_bundles(spark, sf_dir):
+    return FL.summaries_b(spark, sf_dir)
