@@ -139,3 +139,17 @@ def summaries_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = C.prioritize_patterns(pats, limit=3, keyword_set="summary")
     return summarize_bundles(summary_inputs_b(spark, sf_dir), top, flag_anomalies(metrics_b(spark, sf_dir)),
                              events_b(spark, sf_dir))
+
+
+def assembled_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 over the derived bundles: patterns, window, root, affected, events,
+    metrics, graph, sequence, hint."""
+    from tracefold.operators import depgraph as G
+    from tracefold.operators.bundle import sequence_index
+    from tracefold.sources.bundles import assemble_bundles
+    pats, _, _, nodes = graph_b(spark, sf_dir)
+    ev = events_b(spark, sf_dir)
+    return assemble_bundles(
+        pats, A.bundle_window(pats), root=G.root_service(nodes), affected=A.affected_services(pats),
+        events=ev, metrics=metrics_b(spark, sf_dir), nodes=nodes, sequence=sequence_index(pats, ev),
+        hint=A.derive_hint(pats, level="error_class", ord_col="first_entry_no"))

@@ -97,3 +97,36 @@ summ AS (SELECT bundle_id, array_to_string(parts, ' | ') AS s FROM parts)"""
 SELECT bundle_id, CASE WHEN length(s) > 5000 THEN substr(s, 1, 5000) || '...' ELSE s END AS summary FROM summ""")
 def q_summarize_bundles(spark, sf_dir):
     return FL.summaries_b(spark, sf_dir)
+
+
+@register("A10_assemble_bundles", _B + """,
+np AS (SELECT bundle_id, count(*) AS n_patterns FROM patterns_b GROUP BY bundle_id),
+ne AS (SELECT bundle_id, count(*) AS n_events FROM ev_b GROUP BY bundle_id),
+nn AS (SELECT bundle_id, count(*) AS n_nodes FROM nodes GROUP BY bundle_id)
+SELECT np.bundle_id, 'incident_' || substr(sha256(np.bundle_id), 1, 16) AS id, n_patterns,
+  coalesce(n_events, 0) AS n_events, coalesce(n_nodes, 0) AS n_nodes, n_patterns + coalesce(n_events, 0) AS n_sequence
+FROM np LEFT JOIN ne USING (bundle_id) LEFT JOIN nn USING (bundle_id)""")
+def q_assemble_bundles(spark, sf_dir):
+    b = FL.assembled_b(spark, sf_dir)
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return b.select("bundle_id", "id", size("logPatterns").alias("n_patterns"), size("events").alias("n_events"),
+                    size("dependencyGraph").alias("n_nodes"), size("sequence").alias("n_sequence"))
+
+
+@register("S3_write_bundles")
+def q_write_bundles(spark, sf_dir):
+    from tracefold.sources.bundles import bundles_to_json
+    return bundles_to_json(FL.assembled_b(spark, sf_dir))
+
+
+@register("S4_read_bundles", _B + f"""
+SELECT 'incident_' || substr(sha256(bundle_id), 1, 16) AS id, CAST(pattern_ord AS BIGINT) AS ord, pattern, count,
+  {O.iso_s('first_ts')} AS firstOccurrence, {O.iso_s('last_ts')} AS lastOccurrence, error_class AS severity,
+  {O.clean_service_sql('container')} AS affectedService FROM patterns_b""")
+def q_read_bundles(spark, sf_dir):
+    from tracefold.sources.bundles import bundles_to_json, explode_bundles, read_bundles
+    docs = bundles_to_json(FL.assembled_b(spark, sf_dir))
+    bundles, _ = read_bundles(docs)
+    p = explode_bundles(bundles)["patterns"]
+    return p.select("id", "ord", "pattern", "count", "firstOccurrence", "lastOccurrence", "severity",
+                    F.array_join("affectedService", ",").alias("affectedService"))
