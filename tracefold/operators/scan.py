@@ -50,9 +50,9 @@ def carry_forward_max(df: DataFrame, keys: list[str], order: list[str], value: C
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
-                out: str, bucket: Column) -> DataFrame:
+                out: str, bucket: Column, as_long: bool = True) -> DataFrame:
     """``out`` = sum(value) over rows of the key at or before this row (inclusive)."""
-    d = _with_bucket(df.withColumn("__v", value.cast("long")), bucket)
+    d = _with_bucket(df.withColumn("__v", value.cast("long") if as_long else value), bucket)
     w = (Window.partitionBy(*keys, _B).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("__local", F.sum("__v").over(w))
@@ -60,7 +60,8 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     wb = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(*keys, _B, F.coalesce(F.sum("__bsum").over(wb), F.lit(0)).alias("__carry"))
     d = d.join(carry, [*keys, _B], "left")
-    return (d.withColumn(out, (F.col("__local") + F.col("__carry")).cast("long"))
+    total = F.col("__local") + F.col("__carry")
+    return (d.withColumn(out, total.cast("long") if as_long else total)
             .drop("__v", "__local", "__carry", _B))
 
 
