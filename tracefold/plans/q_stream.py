@@ -1 +1,135 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: streaming operators.
+
+T3/T4/T5 are run as their batch twins (the same function on a static frame);
+T1/S2/T6 really run a Structured Streaming query (``availableNow``) over the
+fixture lines landed as files in a scratch folder under the session's
+checkpoint directory, writing to a parquet sink that is read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracefold.functions.time import iso_seconds
+from tracefold.plans import flows as FL
+from tracefold.plans import oracle as O
+from tracefold.plans.fixture import log_lines
+from tracefold.plans.registry import register
+from tracefold.session import ensure_checkpoint_dir
+from tracefold.streaming import flush as SF
+from tracefold.streaming import sources as SS
+from tracefold.streaming import windows as SW
+
+GAP = FL.FIXTURE_GAP_SECONDS
+
+
+def _scratch(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tracefold-stream-{uuid.uuid4().hex[:12]}"
+
+
+def _land_lines(spark, sf_dir, base: str) -> str:
+    """Write the fixture lines as the files a log agent would ship (one
+    logical file per source)."""
+    path = f"{base}/in"
+    (log_lines(spark, sf_dir).select("source_id", F.col("source_id").alias("file"), "line_no", "line")
+     .repartition("source_id").sortWithinPartitions("line_no").write.parquet(path))
+    return path
+
+
+def _run_flush(spark, sf_dir, window_seconds=60, foreach=None) -> tuple[str, DataFrame | None]:
+    base = _scratch(spark)
+    src = _land_lines(spark, sf_dir, base)
+    flushed = SF.stream_flush(SS.stream_log_lines(spark, src), window_seconds=window_seconds)
+    w = flushed.writeStream.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
+    if foreach is None:
+        q = w.format("parquet").option("path", f"{base}/out").outputMode("append").start()
+    else:
+        q = w.foreachBatch(lambda b, i: foreach(b, i, f"{base}/upsert")).start()
+    q.awaitTermination()
+    return base, None
+
+
+@register("S2_stream_log_lines", "WITH " + O.log_lines_cte().replace("\n", "\n", 1) + """
+SELECT source_id, line_no, line FROM log_lines""")
+def q_stream_log_lines(spark, sf_dir):
+    base = _scratch(spark)
+    src = _land_lines(spark, sf_dir, base)
+    q = (SS.stream_log_lines(spark, src, max_files_per_trigger=2).writeStream.format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("source_id", "line_no", "line")
+
+
+_W1_60 = "WITH " + O.entries_ctes() + f""",
+w1a AS (SELECT *, CAST(sum(CASE WHEN level = 'ERROR' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY entry_no
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - CASE WHEN level = 'ERROR' THEN 1 ELSE 0 END
+    AS segment FROM entries),
+w1e AS (SELECT source_id, segment, ts AS error_ts, entry_no AS err_no FROM w1a WHERE level = 'ERROR'),
+seg AS (SELECT w1a.*, error_ts FROM w1a JOIN w1e USING (source_id, segment)
+  WHERE entry_no = err_no OR ts >= error_ts - INTERVAL 60 SECOND)"""
+
+
+@register("T1_stream_flush", _W1_60 + f"""
+SELECT source_id, segment AS flush_no, 'error_detected' AS reason, entry_no, level, {O.iso_s('ts')} AS ts,
+  {O.iso_s('error_ts')} AS flushed_at FROM seg""")
+def q_stream_flush(spark, sf_dir):
+    base, _ = _run_flush(spark, sf_dir)
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("source_id", "flush_no", "reason", "entry_no", "level", iso_seconds(F.col("ts")).alias("ts"),
+                      iso_seconds(F.col("flushed_at")).alias("flushed_at"))
+
+
+def _upsert_flushes(batch: DataFrame, batch_id: int, path: str) -> None:
+    inc = (batch.where(F.col("reason") != "late")
+           .groupBy("source_id", "flush_no").agg(F.count(F.lit(1)).alias("n_entries"),
+                                                 F.max("ts").alias("last_ts"))
+           .select(F.concat(F.col("source_id"), F.lit("#"), F.col("flush_no").cast("string")).alias("id"),
+                   "n_entries", "last_ts"))
+    SS.upsert_batch(inc, batch_id, path)
+
+
+@register("T6_stream_upsert", _W1_60 + f"""
+SELECT source_id || '#' || CAST(segment AS VARCHAR) AS id, count(*) AS n_entries, {O.iso_s('max(ts)')} AS last_ts
+FROM seg GROUP BY source_id, segment""")
+def q_stream_upsert(spark, sf_dir):
+    base, _ = _run_flush(spark, sf_dir, foreach=_upsert_flushes)
+    u = SS.read_upserted(spark, f"{base}/upsert")
+    return u.select("id", "n_entries", iso_seconds(F.col("last_ts")).alias("last_ts"))
+
+
+@register("T3_stream_patterns", "WITH " + O.entries_ctes() + f""",
+k AS (SELECT *, md5({O.norm_b_sql('message')}) AS pattern_key,
+  make_timestamp(CAST(floor(epoch(ts) / 3600) * 3600 * 1000000 AS BIGINT)) AS window_start FROM entries)
+SELECT {O.iso_s('window_start')} AS window_start, source_id, pattern_key, count(*) AS count,
+  {O.iso_s('min(ts)')} AS first_ts, {O.iso_s('max(ts)')} AS last_ts, min(entry_no) AS first_entry_no
+FROM k GROUP BY ALL""")
+def q_stream_patterns(spark, sf_dir):
+    p = SW.windowed_patterns(FL.entries_b(spark, sf_dir), window="1 hour")
+    return p.select(iso_seconds(F.col("window_start")).alias("window_start"), "source_id", "pattern_key", "count",
+                    iso_seconds(F.col("first_ts")).alias("first_ts"), iso_seconds(F.col("last_ts")).alias("last_ts"),
+                    "first_entry_no")
+
+
+@register("T4_stream_clusters", "WITH " + O.entries_ctes() + f""",
+g0 AS (SELECT *, lag(ts) OVER (PARTITION BY source_id ORDER BY ts, entry_no) AS prev FROM entries),
+g1 AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > {GAP * 1_000_000} THEN 1 ELSE 0 END)
+  OVER (PARTITION BY source_id ORDER BY ts, entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sess FROM g0)
+SELECT source_id, {O.iso_s('min(ts)')} AS first_ts, {O.iso_s('max(ts)')} AS last_ts, count(*) AS n_entries,
+  count_if(level = 'ERROR') AS n_errors FROM g1 GROUP BY source_id, sess""")
+def q_stream_clusters(spark, sf_dir):
+    c = SW.session_clusters(FL.entries_b(spark, sf_dir), gap=f"{GAP} seconds")
+    return c.select("source_id", iso_seconds(F.col("first_ts")).alias("first_ts"),
+                    iso_seconds(F.col("last_ts")).alias("last_ts"), "n_entries", "n_errors")
+
+
+@register("T5_stream_error_rate", "WITH " + O.entries_ctes() + f""",
+k AS (SELECT *, make_timestamp(CAST(floor(epoch(ts) / 3600) * 3600 * 1000000 AS BIGINT)) AS window_start FROM entries)
+SELECT {O.iso_s('window_start')} AS window_start, source_id, count_if(level = 'ERROR') AS error_count,
+  count(*) AS entry_count, count_if(level = 'ERROR') / count(*) * 10.0 AS error_rate_z FROM k GROUP BY ALL""")
+def q_stream_error_rate(spark, sf_dir):
+    r = SW.windowed_error_rate(FL.entries_b(spark, sf_dir), window="1 hour")
+    return r.select(iso_seconds(F.col("window_start")).alias("window_start"), "source_id", "error_count",
+                    "entry_count", "error_rate_z")
