@@ -138,11 +138,16 @@ def summarize_bundles(bundles: DataFrame, top_patterns: DataFrame, anomalies: Da
 
 
 def attach_snippets(frames: DataFrame, source_lines: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
-                    context: int = 10, max_snippets: int = 5) -> DataFrame:
+                    context: int = 10, max_snippets: int = 5, line_bucket: int = 64) -> DataFrame:
     """J3 (band join): for the first occurrence of each cited file name per
-    bundle (at most ``max_snippets`` files), the source lines ``l-10 .. l+10``
-    of the file resolved by base name (ambiguous name -> smallest path).
-    Reported start/end are ``max(1, l-5)`` and ``l+10`` as in the reference.
+    bundle, the source lines ``l-10 .. l+10`` of the file resolved by base
+    name (ambiguous name -> smallest path); the first ``max_snippets`` files
+    that yield content are kept.  Reported start/end are ``max(1, l-5)`` and
+    ``l+10`` as in the reference; content lines end with a newline.
+
+    The band join is an equi-join on (file, line bucket): a frame is expanded
+    over the (at most two) buckets its band touches, so it meets at most
+    ``2 * line_bucket`` lines however long the file is.
 
     ``frames``: keys, ord, src_file, src_line.
     ``source_lines``: file_path, line_no, text."""
@@ -153,31 +158,47 @@ def attach_snippets(frames: DataFrame, source_lines: DataFrame, keys: tuple[str,
              .withColumn("base", F.element_at(F.split("file_path", "/"), -1))
              .groupBy("base").agg(F.min("file_path").alias("file_path")))
     hit = first.join(files, first["src_file"] == files["base"], "inner").drop("base")
-    w = Window.partitionBy(*keys).orderBy("ord")
-    hit = hit.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max_snippets).drop("__n")
-    lines = source_lines.select(F.col("file_path").alias("__fp"), "line_no", "text")
-    j = hit.join(lines, (hit["file_path"] == lines["__fp"])
-                 & (lines["line_no"] >= hit["src_line"] - context) & (lines["line_no"] <= hit["src_line"] + context))
-    return (j.groupBy(*keys, "file_path", "src_line", "ord")
+    lo, hi = F.col("src_line") - context, F.col("src_line") + context
+    hit = hit.withColumn("__bk", F.explode(F.sequence(F.floor(lo / line_bucket), F.floor(hi / line_bucket))))
+    lines = source_lines.select(F.col("file_path").alias("__fp"), "line_no", "text",
+                                F.floor(F.col("line_no") / line_bucket).alias("__lbk"))
+    j = hit.join(lines, (hit["file_path"] == lines["__fp"]) & (hit["__bk"] == lines["__lbk"])
+                 & (lines["line_no"] >= lo) & (lines["line_no"] <= hi))
+    snip = (j.groupBy(*keys, "file_path", "src_line", "ord")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))),
-                                          lambda s: s["text"]), "\n").alias("content"))
-            .withColumn("start_line", F.greatest(F.lit(1), F.col("src_line") - 5).cast("long"))
+                                          lambda s: F.concat(s["text"], F.lit("\n"))), "").alias("content")))
+    w = Window.partitionBy(*keys).orderBy("ord")
+    snip = snip.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= max_snippets).drop("__n")
+    return (snip.withColumn("start_line", F.greatest(F.lit(1), F.col("src_line") - 5).cast("long"))
             .withColumn("end_line", (F.col("src_line") + 10).cast("long")))
 
 
-def recent_commit(files: DataFrame, commits: DataFrame, keys: tuple[str, ...] = ("bundle_id",)) -> DataFrame:
+def recent_commit(files: DataFrame, commits: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
+                  bucket_seconds: int = 86400) -> DataFrame:
     """J10 (as-of join): for each (bundle, file, incident ts) the latest commit
-    at or before the incident that touched the file.
+    at or before the incident that touched the file (NULL when none).
+
+    Commits and incidents are merged per file and ordered by time (a commit at
+    the same instant comes first); the last commit so far is carried forward
+    with the bucketed prefix scan, so no (commit, incident) pairs are formed
+    and a hot file is split by time bucket.
 
     ``files``: keys, file, incident_ts.  ``commits``: commit_hash, ts, author,
     message, changed_files (array)."""
+    from tracefold.operators.scan import carry_forward_max, time_bucket
     keys = list(keys)
-    touched = commits.select("commit_hash", F.col("ts").alias("commit_ts"), "author", "message",
-                             F.explode("changed_files").alias("file"))
-    j = files.join(touched, "file", "inner").where(F.col("commit_ts") <= F.col("incident_ts"))
-    best = F.max_by(F.struct("commit_hash", "commit_ts", "author", "message"), F.col("commit_ts"))
-    return j.groupBy(*keys, "file", "incident_ts").agg(best.alias("c")).select(
-        *keys, "file", "incident_ts", "c.commit_hash", "c.commit_ts", "c.author", "c.message")
+    nokeys = [F.lit(None).cast(files.schema[k].dataType).alias(k) for k in keys]
+    touched = commits.select(*nokeys, F.explode("changed_files").alias("file"), F.col("ts").alias("__t"),
+                             F.lit(0).alias("__kind"),
+                             F.struct(F.col("ts").alias("commit_ts"), "commit_hash", "author", "message").alias("__c"))
+    asks = files.select(*keys, "file", F.col("incident_ts").alias("__t"), F.lit(1).alias("__kind"),
+                        F.lit(None).cast(touched.schema["__c"].dataType).alias("__c"))
+    u = touched.unionByName(asks)
+    u = carry_forward_max(u, ["file"], ["__t", "__kind"], F.col("__c"), "__last", time_bucket("__t", bucket_seconds))
+    return u.where(F.col("__kind") == 1).select(
+        *keys, "file", F.col("__t").alias("incident_ts"), F.col("__last.commit_hash").alias("commit_hash"),
+        F.col("__last.commit_ts").alias("commit_ts"), F.col("__last.author").alias("author"),
+        F.col("__last.message").alias("message"))
 
 
 def concat_nonnull(*cols: Column) -> Column:

@@ -81,17 +81,8 @@ def cluster_by_gap(patterns: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
     p = patterns
     if "count_desc" in order and "count_desc" not in p.columns:
         p = p.withColumn("count_desc", -F.col("count"))
-    timed = p.where(F.col(ts).isNotNull())
-    untimed = p.where(F.col(ts).isNull())
-    timed = gap_sessions(timed, keys, ts, list(order), int(round(gap_seconds * 1_000_000)), "__c",
-                         bucket_seconds=bucket_seconds)
-    n_null = untimed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n_null"))
-    timed = (timed.join(n_null, keys, "left")
-             .withColumn("cluster_no", F.col("__c") + F.coalesce(F.col("__n_null"), F.lit(0)))
-             .drop("__c", "__n_null"))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    untimed = untimed.withColumn("cluster_no", (F.row_number().over(w) - 1).cast("long"))
-    out = timed.unionByName(untimed)
+    out = gap_sessions(p, keys, ts, list(order), int(round(gap_seconds * 1_000_000)), "cluster_no",
+                       bucket_seconds=bucket_seconds)
     if "count_desc" not in patterns.columns:
         out = out.drop("count_desc")
     return out

@@ -223,12 +223,16 @@ def all_services(patterns: DataFrame, keys: tuple[str, ...] = ("bundle_id",), pa
     frames = explode_frames(patterns, (*keys, pattern_id), text)
     caused = patterns.select(*keys, F.explode(caused_by_chain(F.col(text))).alias("service"))
     mentions = extract_service_mentions(patterns, (*keys, pattern_id), text).drop(pattern_id)
-    parts = [frames.select(*keys, F.col("component").alias("service")), mentions, caused]
+    no_pos = F.lit(None).cast("long").alias("pos")
+    parts = [frames.select(*keys, F.col("component").alias("service"), "pos"),
+             mentions.select(*keys, "service", no_pos), caused.select(*keys, "service", no_pos)]
     for e in extra or []:
-        parts.append(e.select(*keys, "service"))
-    services = reduce(DataFrame.unionByName, parts).dropDuplicates([*keys, "service"])
-    chain_depth = frames.groupBy(*keys, F.col("component").alias("service")).agg(
+        parts.append(e.select(*keys, "service", no_pos))
+    # one aggregation gives both the distinct services and their chain depth
+    agg = reduce(DataFrame.unionByName, parts).groupBy(*keys, "service").agg(
         F.max(F.col("pos") + 1).alias("chain_depth"))
+    services = agg.select(*keys, "service")
+    chain_depth = agg.where(F.col("chain_depth").isNotNull())
     return services, chain_depth
 
 

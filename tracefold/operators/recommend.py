@@ -134,9 +134,8 @@ def _required_ok(r: Column) -> Column:
 def parse_model_output(replies: DataFrame, key: str = "bundle_id", reply: str = "reply") -> DataFrame:
     """One recommendation row per reply; ``degraded`` rows carry the
     reference's fallback values (confidence 0, review required)."""
-    js = extract_json(F.col(reply))
-    parsed = F.from_json(js, REPLY)
-    r = replies.withColumn("__j", js).withColumn("__r", parsed)
+    r = replies.withColumn("__j", extract_json(F.col(reply)))
+    r = r.withColumn("__r", F.from_json(F.col("__j"), REPLY))
     r = r.withColumn("degraded", F.col("__j").isNull() | F.col("__r").isNull() | ~_required_ok(F.col("__r")))
     deg = F.col("degraded")
 
@@ -162,8 +161,8 @@ def parse_model_output(replies: DataFrame, key: str = "bundle_id", reply: str =
 def parse_proposals(replies: DataFrame, key: str = "bundle_id", reply: str = "reply") -> DataFrame:
     """Reply -> plan (with defaults) + actions; no JSON, bad JSON or an
     unknown action type rejects the whole row (NULL plan)."""
-    js = extract_json(F.col(reply))
-    p = replies.withColumn("__p", F.from_json(js, PROPOSAL)).withColumn("__j", js)
+    p = replies.withColumn("__j", extract_json(F.col(reply)))
+    p = p.withColumn("__p", F.from_json(F.col("__j"), PROPOSAL))
     acts = F.coalesce(F.col("__p.actions"), F.array())
     typed = F.transform(acts, lambda a: F.struct(F.coalesce(a["type"], F.lit("COMMAND")).alias("type"),
                                                  F.coalesce(a["command"], F.lit("")).alias("command"),
@@ -185,7 +184,9 @@ def recommendation_to_actions(recs: DataFrame, key: str = "bundle_id") -> DataFr
     COMMAND; each file edit is XML_EDIT for an XML fix or selector, else
     FILE_EDIT.  No recommendation -> no rows."""
     top = F.try_element_at(F.col("recommendations"), F.lit(1))
-    r = recs.where(F.size("recommendations") > 0).withColumn("__t", top)
+    # no filter on the derived list: a predicate on it would be pushed below the
+    # parse and re-run it; an empty list simply explodes to no rows
+    r = recs.withColumn("__t", top)
     impl = F.col("__t.implementation")
     cmd_type = (F.when(impl["type"].isin("local_file_edit", "local_config"), F.lit("FILE_EDIT"))
                 .when(F.col("__t.fix_type") == "runtime_remediation", F.lit("RUNTIME_OP"))

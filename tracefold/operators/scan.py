@@ -71,20 +71,24 @@ def gap_sessions(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str],
     starts when the gap to the previous row's ts exceeds ``gap_us`` (a gap equal
     to the limit stays in the session).  Sessions are numbered 0.. per key.
 
-    Rows with NULL ``ts`` are left out here (callers decide where they go)."""
-    d = _with_bucket(df, time_bucket(ts, bucket_seconds))
+    Rows with NULL ``ts`` each form their own session, numbered first (in
+    tiebreak order), and do not break the running session.  One pass: a window
+    per (key, time bucket), one per-bucket aggregate, one join back."""
+    null_bucket = F.lit(-(1 << 62)).cast("long")
+    d = _with_bucket(df, F.when(F.col(ts).isNull(), null_bucket).otherwise(time_bucket(ts, bucket_seconds)))
     t = F.unix_micros(F.col(ts))
     w = Window.partitionBy(*keys, _B).orderBy(F.col(ts), *[F.col(c) for c in tiebreak])
     d = d.withColumn("__prev", F.lag(t).over(w))
-    d = d.withColumn("__inner", F.when(F.col("__prev").isNotNull() & ((t - F.col("__prev")) > gap_us), 1)
-                     .otherwise(0))
+    d = d.withColumn("__inner", F.when(F.col(ts).isNull(), 1)
+                     .when(F.col("__prev").isNotNull() & ((t - F.col("__prev")) > gap_us), 1).otherwise(0))
     d = d.withColumn("__local", F.sum("__inner").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     per_bucket = d.groupBy(*keys, _B).agg(F.min(t).alias("__bmin"), F.max(t).alias("__bmax"),
                                            F.sum("__inner").alias("__binner"))
     wb = Window.partitionBy(*keys).orderBy(_B)
     prev_max = F.lag("__bmax").over(wb)
     per_bucket = per_bucket.withColumn(
-        "__first", F.when(prev_max.isNull() | ((F.col("__bmin") - prev_max) > gap_us), 1).otherwise(0))
+        "__first", F.when(F.col(_B) == null_bucket, 0)
+        .when(prev_max.isNull() | ((F.col("__bmin") - prev_max) > gap_us), 1).otherwise(0))
     per_bucket = per_bucket.withColumn(
         "__offset",
         F.coalesce(F.sum(F.col("__binner") + F.col("__first"))

@@ -31,8 +31,9 @@ def day_bundle(entries: DataFrame) -> DataFrame:
 
 def patterns_b(spark: SparkSession, sf_dir: str, escalate: bool = False) -> DataFrame:
     """A2 per (source, day) bundle, with the reference order as pattern_ord."""
+    from tracefold.plans.materialize import materialize
     p = A.dedup_patterns_b(day_bundle(entries_b(spark, sf_dir)), keys=("bundle_id",), escalate=escalate)
-    return A.order_patterns_b(p)
+    return materialize(A.order_patterns_b(p))
 
 
 def clustered_b(spark: SparkSession, sf_dir: str, gap_seconds: float = FIXTURE_GAP_SECONDS) -> DataFrame:

@@ -34,6 +34,7 @@ def _load_all() -> None:
     from tracefold.plans import q_similar  # noqa: F401
     from tracefold.plans import q_recommend  # noqa: F401
     from tracefold.plans import q_stream  # noqa: F401
+    from tracefold.plans import q_extra  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

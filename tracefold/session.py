@@ -36,6 +36,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TRACEFOLD_DRIVER_MEMORY", "16g"))
         .config("spark.sql.variant.allowDuplicateKeys", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -57,9 +58,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+SESSION_SETTINGS = {
+    # times are read and printed in UTC
+    "spark.sql.session.timeZone": "UTC",
+    # keep one parse per row: without these the optimizer copies a parsed
+    # JSON/struct expression (and the regexes feeding it) once per accessed field
+    "spark.sql.optimizer.expression.nestedPruning.enabled": "false",
+    "spark.sql.optimizer.enableJsonExpressionOptimization": "false",
+}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Session settings every query relies on: times are read and printed in UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Session settings every query relies on."""
+    for k, v in SESSION_SETTINGS.items():
+        spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
