@@ -70,7 +70,7 @@ def test_audit(spark):
         .withColumn("git_email", F.lit("ops@company.com"))
     a = D.audit_commands(s).first()
     assert a.decision == "SAFE" and a.executed and a.n_blocked == 1 and a.n_malformed == 1 and a.success is False
-    assert a.blocked_commands == ["git -c user.name='ops-bot' -c user.email='ops@company.com' add . "]
+    assert a.blocked_commands == ["git -c user.name='ops-bot' -c user.email='ops@company.com' add ."]
 
 
 def test_feedback_and_rates(spark):

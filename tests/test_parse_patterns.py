@@ -39,9 +39,9 @@ def test_dedup_patterns_b(spark):
     p = A.order_patterns_b(A.dedup_patterns_b(e)).orderBy("pattern_ord").collect()
     assert [r.error_class for r in p] == ["ERROR", "ERROR", "WARNING", "WARNING", "INFO"]
     pay = p[0]
-    assert pay.count == 3 and pay.pattern.endswith("user_id=12345")              # first message kept
+    assert pay["count"] == 3 and pay.pattern.endswith("user_id=12345")              # first message kept
     assert str(pay.last_ts) == "2024-05-01 10:02:59"                             # last ARRIVED, not max
-    assert p[2].count == 1 and p[3].count == 1                                   # 48/50 and 49/50 differ
+    assert p[2]["count"] == 1 and p[3]["count"] == 1                                   # 48/50 and 49/50 differ
 
 
 def test_parse_lines_and_aggregates(spark):

@@ -39,7 +39,7 @@ def q_event_services(spark, sf_dir):
 
 @register("P6b_event_edges", _B + f"""
 SELECT bundle_id, service AS caller, regexp_extract(reason, '{_CALL}', 1) AS callee, substr(reason, 1, 100) AS evidence,
-  0.9 AS confidence FROM ev_b WHERE regexp_extract(reason, '{_CALL}', 1) <> '' AND service IS NOT NULL
+  CAST(0.9 AS DOUBLE) AS confidence FROM ev_b WHERE regexp_extract(reason, '{_CALL}', 1) <> '' AND service IS NOT NULL
   AND service <> ''""")
 def q_event_edges(spark, sf_dir):
     _, edges = G.extract_event_services(FL.events_b(spark, sf_dir))

@@ -24,7 +24,7 @@ def q_explode_frames(spark, sf_dir):
 cb AS (SELECT bundle_id, pattern_key, substr(pattern, 1, 100) AS evidence, caused FROM frame_lists
   WHERE len(caused) > 1)
 SELECT bundle_id, pattern_key, CAST(i - 1 AS BIGINT) AS pos, caused[i] AS caller, caused[i + 1] AS callee, evidence,
-  0.8 AS confidence
+  CAST(0.8 AS DOUBLE) AS confidence
 FROM (SELECT *, unnest(generate_series(1, len(caused) - 1)) AS i FROM cb)""")
 def q_caused_by_edges(spark, sf_dir):
     return G.extract_caused_by_edges(FL.patterns_b(spark, sf_dir))
