@@ -72,17 +72,21 @@ def flag_anomalies(metrics: DataFrame, keys: tuple[str, ...] = ("bundle_id",), t
     return m.withColumn("text", F.format_string("%s Z-score: %.2f", F.col("label"), F.col("z")))
 
 
-def sequence_index(patterns: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("bundle_id",)) -> DataFrame:
+def sequence_index(patterns: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
+                   bucket_seconds: int = 3600) -> DataFrame:
     """Log patterns (at first occurrence) and events merged on time and
-    numbered 0.. per bundle; ties: events before logs, then id."""
+    numbered 0.. per bundle; ties: events before logs, then id.  The number is
+    a bucketed running count (time buckets), so a hot bundle is not one task."""
+    from tracefold.operators.scan import running_sum, time_bucket
     logs = patterns.select(*keys, F.col("first_ts").cast("timestamp").alias("ts"), F.lit("log").alias("type"),
                            F.concat(F.lit("["), T.clean_service(F.col("container")), F.lit("] "),
                                     F.col("pattern")).alias("message"), F.col("pattern_key").alias("item_id"))
     ev = events.select(*keys, F.col("ts").cast("timestamp").alias("ts"), F.lit("event").alias("type"),
                        F.col("reason").alias("message"), F.col("id").alias("item_id"))
     u = logs.unionByName(ev)
-    w = Window.partitionBy(*keys).orderBy(F.col("ts").asc_nulls_first(), "type", "item_id")
-    return u.withColumn("sequence_index", (F.row_number().over(w) - 1).cast("long"))
+    bucket = F.coalesce(time_bucket("ts", bucket_seconds), F.lit(-(1 << 62)))
+    u = running_sum(u, list(keys), [F.col("ts").asc_nulls_first(), "type", "item_id"], F.lit(1), "__n", bucket)
+    return u.withColumn("sequence_index", F.col("__n") - 1).drop("__n")
 
 
 def _joined_list(values: Column, cap: int | None, sep: str) -> Column:

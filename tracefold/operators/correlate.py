@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import text as T
 from tracefold.operators.scan import gap_sessions, numeric_bucket, running_sum
 
-DEFAULT_ENTRY_BUCKET = 1 << 20
+DEFAULT_ENTRY_BUCKET = 1 << 16
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's behaviour: ranking reason texts.

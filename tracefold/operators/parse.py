@@ -12,7 +12,7 @@ from tracefold.operators.scan import carry_forward_max, numeric_bucket
 # Java stack frame reference ``at pkg.Class.method(File.java:123)``; groups 3, 4.
 STACK_FILE_RE = r"at\s+([\w.$]+)\.([\w$]+)\(([\w.]+):(\d+)\)"
 
-DEFAULT_LINE_BUCKET = 1 << 20
+DEFAULT_LINE_BUCKET = 1 << 16
 
 
 def non_blank(line) -> F.Column:

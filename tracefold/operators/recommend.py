@@ -280,7 +280,7 @@ def run_metrics(calls: DataFrame, group: tuple[str, ...] = (), model: str = "mod
 
 
 def running_latency(calls: DataFrame, keys: tuple[str, ...] = ("service",), order: str = "seq",
-                    latency: str = "latency_ms", bucket_width: int = 1 << 20, exact: bool = False) -> DataFrame:
+                    latency: str = "latency_ms", bucket_width: int = 1 << 14, exact: bool = False) -> DataFrame:
     """Running mean latency per key in ``order`` (an increasing number),
     through the bucketed prefix scan (a hot key is not one task).  ``exact``
     sums an integral latency column as BIGINT (order-independent result)."""

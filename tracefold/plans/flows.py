@@ -6,6 +6,8 @@ the input tables, so its work grows with them.  Nothing is collected.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,30 @@ from tracefold.operators import parse as P
 from tracefold.operators import patterns as A
 from tracefold.plans.fixture import log_lines
 
+# Shared intermediates are built once per registered query: the registry clears
+# this memo before each query, so nothing is reused across queries or runs.
+_MEMO: dict = {}
+
+
+def reset_memo() -> None:
+    _MEMO.clear()
+
+
+def memo(fn):
+    @functools.wraps(fn)
+    def wrapper(spark, sf_dir, *args, **kwargs):
+        key = (fn.__name__, id(spark), sf_dir, args, tuple(sorted(kwargs.items())))
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, sf_dir, *args, **kwargs)
+        return _MEMO[key]
+    return wrapper
+
 # Parameters for the derived fixture (sparse entries; see FIXTURES.md §3).
 FIXTURE_GAP_SECONDS = 300
 FIXTURE_LOOKBACK_SECONDS = 3600
 
 
+@memo
 def entries_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2 over the fixture lines (one source per service)."""
     return P.fold_entries(log_lines(spark, sf_dir), keys=("source_id",), carry=("container",))
@@ -29,6 +50,7 @@ def day_bundle(entries: DataFrame) -> DataFrame:
     return entries.withColumn("bundle_id", F.concat(F.col("source_id"), F.lit("/"), day))
 
 
+@memo
 def patterns_b(spark: SparkSession, sf_dir: str, escalate: bool = False) -> DataFrame:
     """A2 per (source, day) bundle, with the reference order as pattern_ord."""
     from tracefold.plans.materialize import materialize
@@ -36,24 +58,29 @@ def patterns_b(spark: SparkSession, sf_dir: str, escalate: bool = False) -> Data
     return materialize(A.order_patterns_b(p))
 
 
+@memo
 def clustered_b(spark: SparkSession, sf_dir: str, gap_seconds: float = FIXTURE_GAP_SECONDS) -> DataFrame:
     return C.cluster_by_gap(patterns_b(spark, sf_dir), gap_seconds=gap_seconds)
 
 
+@memo
 def causes_b(spark: SparkSession, sf_dir: str, gap_seconds: float = FIXTURE_GAP_SECONDS) -> DataFrame:
     return C.rank_root_causes(clustered_b(spark, sf_dir, gap_seconds))
 
 
+@memo
 def parsed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1 over the fixture lines; an /ingest request is one bundle per source."""
     lines = log_lines(spark, sf_dir).withColumn("bundle_id", F.col("source_id"))
     return P.parse_lines(lines)
 
 
+@memo
 def patterns_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.aggregate_patterns_a(parsed_a(spark, sf_dir))
 
 
+@memo
 def segments_b(spark: SparkSession, sf_dir: str, lookback_seconds: int = FIXTURE_LOOKBACK_SECONDS) -> DataFrame:
     """W1 over the fixture entries, one ordered stream per source."""
     return C.flush_segments(entries_b(spark, sf_dir), keys=("source_id",), lookback_seconds=lookback_seconds)
@@ -63,6 +90,7 @@ def hour_batches(entries: DataFrame) -> DataFrame:
     return entries.withColumn("batch_id", F.coalesce(F.date_format("ts", "yyyy-MM-dd HH"), F.lit("none")))
 
 
+@memo
 def graph_b(spark: SparkSession, sf_dir: str):
     """U1 + W7 over the A2 patterns: (patterns, services, chain_depth, nodes)."""
     from tracefold.operators import depgraph as G
@@ -71,6 +99,7 @@ def graph_b(spark: SparkSession, sf_dir: str):
     return pats, services, depth, G.order_by_depth(services, depth)
 
 
+@memo
 def causes_with_graph_b(spark: SparkSession, sf_dir: str, gap_seconds: float = FIXTURE_GAP_SECONDS) -> DataFrame:
     """The correlator's path: empty user graph -> auto-extracted graph (U2) ->
     J2 dependency scores -> W2 clusters -> W3 ranked causes."""
@@ -96,12 +125,14 @@ def service_of(user_id: str = "user_id"):
     return expr
 
 
+@memo
 def windows_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3 per bundle, with the bundle's source."""
     p = patterns_b(spark, sf_dir)
     return (A.bundle_window(p).withColumn("source_id", F.substring_index("bundle_id", "/", 1)))
 
 
+@memo
 def events_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incident events inside each bundle's window."""
     from tracefold.operators.bundle import attach_events
@@ -109,6 +140,7 @@ def events_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_events(windows_b(spark, sf_dir), incident_events(spark, sf_dir))
 
 
+@memo
 def metrics_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per (service, day) z-scores of the mean event value, one column per kind."""
     from tracefold.operators.bundle import zscore_metrics
@@ -119,6 +151,7 @@ def metrics_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.withColumn("bundle_id", F.concat(F.col("service"), F.lit("/"), F.col("day")))
 
 
+@memo
 def summary_inputs_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per bundle: root service, affected services, error classes, hint, chain."""
     from tracefold.operators import depgraph as G
@@ -134,6 +167,7 @@ def summary_inputs_b(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(chain, "bundle_id", "left"))
 
 
+@memo
 def summaries_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.operators.bundle import flag_anomalies, summarize_bundles
     pats = patterns_b(spark, sf_dir)
@@ -142,6 +176,7 @@ def summaries_b(spark: SparkSession, sf_dir: str) -> DataFrame:
                              events_b(spark, sf_dir))
 
 
+@memo
 def assembled_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10 over the derived bundles: patterns, window, root, affected, events,
     metrics, graph, sequence, hint."""

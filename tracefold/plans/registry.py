@@ -37,9 +37,23 @@ def _load_all() -> None:
     from tracefold.plans import q_extra  # noqa: F401
 
 
+def _fresh(fn):
+    """Each query builds its shared intermediates once, from scratch."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tracefold.plans.flows import reset_memo
+        reset_memo()
+        try:
+            return fn(spark, sf_dir)
+        finally:
+            reset_memo()
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load_all()
-    return dict(QUERIES)
+    return {name: _fresh(fn) for name, fn in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

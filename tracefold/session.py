@@ -75,5 +75,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read an input table.  A table stored as fewer splits than the session
+    has cores (a small single-row-group file) is spread round-robin over the
+    cores so the regex-heavy narrow stages run in parallel; a large table
+    already has more splits than cores and is read as is."""
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
