@@ -120,3 +120,15 @@ def test_depth_order_and_root(spark):
     names = [n.node for n in nodes]
     assert names.index("UserRepository") < names.index("UserService") < names.index("DemoApplication")
     assert G.root_service(G.order_by_depth(services, depth)).first().root_service == "DemoApplication"
+
+
+def test_ordinal_against_row_number(spark):
+    rnd = random.Random(11)
+    rows = [(f"b{rnd.randint(0, 2)}", rnd.randint(0, 2), rnd.randint(1, 4), i * 7 % 500) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, sev long, cnt long, fen long")
+    bucket = F.struct(F.col("sev"), (-F.col("cnt")).alias("c"), F.floor(F.col("fen") / 16).alias("e"))
+    got = S.ordinal(df, ["k"], ["sev", F.col("cnt").desc(), "fen"], bucket, "o")
+    w = Window.partitionBy("k").orderBy("sev", F.col("cnt").desc(), "fen")
+    ref = df.withColumn("o", F.row_number().over(w) - 1)
+    cols = ["k", "sev", "cnt", "fen", "o"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, ref.select(cols).collect()))

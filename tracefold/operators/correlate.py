@@ -152,8 +152,10 @@ def rank_clusters(clustered: DataFrame, causes: DataFrame, keys: tuple[str, ...]
     top = causes.where(F.col("rank") == 1).select(*keys, "cluster_no", F.col("severity_score").alias("top_severity"))
     c = clusters.join(top, [*keys, "cluster_no"], "left").withColumn(
         "top_severity", F.coalesce(F.col("top_severity"), F.lit(0)).cast("long"))
-    w = Window.partitionBy(*keys).orderBy(F.col("top_severity").desc(), F.col("cluster_no"))
-    return c.withColumn("cluster_rank", F.row_number().over(w).cast("long"))
+    from tracefold.operators.scan import ordinal
+    bucket = F.struct((-F.col("top_severity")).alias("s"), F.floor(F.col("cluster_no") / (1 << 16)).alias("c"))
+    c = ordinal(c, keys, [F.col("top_severity").desc(), "cluster_no"], bucket, "__r")
+    return c.withColumn("cluster_rank", F.col("__r") + 1).drop("__r")
 
 
 def effects(clustered: DataFrame, causes: DataFrame, keys: tuple[str, ...] = ("bundle_id",)) -> DataFrame:

@@ -255,10 +255,11 @@ def order_by_depth(services: DataFrame, chain_depth: DataFrame, keys: tuple[str,
     s = services.join(chain_depth, [*keys, "service"], "left")
     s = s.withColumn("depth_score", F.greatest(infra_depth(F.col("service")),
                                                F.coalesce(F.col("chain_depth"), F.lit(0))).cast("long"))
-    w = Window.partitionBy(*keys).orderBy(F.col("depth_score").desc(), F.col("service"))
-    return (s.select(*keys, F.col("service").alias("node"), "depth_score",
-                     (F.row_number().over(w) - 1).cast("long").alias("position"),
-                     F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("long").alias("n_nodes")))
+    from tracefold.operators.scan import ordinal
+    bucket = F.struct((-F.col("depth_score")).alias("d"), F.substring("service", 1, 2).alias("p"))
+    s = ordinal(s, keys, [F.col("depth_score").desc(), "service"], bucket, "position")
+    n = s.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n_nodes"))
+    return s.join(n, keys).select(*keys, F.col("service").alias("node"), "depth_score", "position", "n_nodes")
 
 
 def root_service(nodes: DataFrame, keys: tuple[str, ...] = ("bundle_id",)) -> DataFrame:

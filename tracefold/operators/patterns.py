@@ -63,10 +63,18 @@ def dedup_patterns_b(entries: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
     return out.withColumn("sev_rank", T.level_rank_b(F.col("error_class")))
 
 
-def order_patterns_b(patterns: DataFrame, keys: tuple[str, ...] = ("bundle_id",)) -> DataFrame:
-    """Reference output order of A2 as a 0-based ``pattern_ord`` per bundle."""
-    w = Window.partitionBy(*keys).orderBy("sev_rank", F.col("count").desc(), "first_entry_no")
-    return patterns.withColumn("pattern_ord", (F.row_number().over(w) - 1).cast("long"))
+def order_patterns_b(patterns: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
+                     entry_bucket: int = 1 << 16) -> DataFrame:
+    """Reference output order of A2 as a 0-based ``pattern_ord`` per bundle.
+
+    A bucketed running count: the bucket (level rank, -count, first entry
+    bucket) preserves the order, so a bundle with very many distinct patterns
+    is spread over many tasks."""
+    from tracefold.operators.scan import ordinal
+    bucket = F.struct(F.col("sev_rank"), (-F.col("count")).alias("c"),
+                      F.floor(F.col("first_entry_no") / entry_bucket).alias("e"))
+    return ordinal(patterns, list(keys), ["sev_rank", F.col("count").desc(), "first_entry_no"], bucket,
+                   "pattern_ord")
 
 
 def bundle_window(patterns: DataFrame, keys: tuple[str, ...] = ("bundle_id",),

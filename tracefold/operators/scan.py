@@ -20,15 +20,25 @@ _B = "__bucket"
 
 
 def _with_bucket(df: DataFrame, bucket: Column) -> DataFrame:
-    return df.withColumn(_B, bucket.cast("long"))
+    return df.withColumn(_B, bucket)
 
 
 def numeric_bucket(col: str, width: int) -> Column:
-    return F.floor(F.col(col) / F.lit(width))
+    return F.floor(F.col(col) / F.lit(width)).cast("long")
 
 
 def time_bucket(col: str, width_seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(col)) / F.lit(width_seconds * 1_000_000))
+    return F.floor(F.unix_micros(F.col(col)) / F.lit(width_seconds * 1_000_000)).cast("long")
+
+
+def ordinal(df: DataFrame, keys: list[str], order: list, bucket: Column, out: str) -> DataFrame:
+    """0-based position of each row within its key in ``order`` (a
+    ``row_number() - 1`` that does not put a whole key into one task).
+
+    ``bucket`` must be non-decreasing in ``order`` (e.g. a struct of the
+    leading order columns plus a coarse bucket of the last one)."""
+    d = running_sum(df, keys, order, F.lit(1), "__ord1", bucket)
+    return d.withColumn(out, F.col("__ord1") - 1).drop("__ord1")
 
 
 def carry_forward_max(df: DataFrame, keys: list[str], order: list[str], value: Column,
