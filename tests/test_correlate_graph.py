@@ -124,7 +124,7 @@ def test_depth_order_and_root(spark):
 
 def test_ordinal_against_row_number(spark):
     rnd = random.Random(11)
-    rows = [(f"b{rnd.randint(0, 2)}", rnd.randint(0, 2), rnd.randint(1, 4), i * 7 % 500) for i in range(300)]
+    rows = [(f"b{rnd.randint(0, 2)}", rnd.randint(0, 2), rnd.randint(1, 4), i * 7919 % 1000) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, sev long, cnt long, fen long")
     bucket = F.struct(F.col("sev"), (-F.col("cnt")).alias("c"), F.floor(F.col("fen") / 16).alias("e"))
     got = S.ordinal(df, ["k"], ["sev", F.col("cnt").desc(), "fen"], bucket, "o")
