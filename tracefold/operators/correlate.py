@@ -10,7 +10,7 @@ WindowGroupLimit (partial top-k before the shuffle).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as T
@@ -98,17 +98,37 @@ def dependency_priority(nodes: DataFrame, keys: tuple[str, ...] = ("bundle_id",)
             .agg(F.max(pri).alias("priority")))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """All substrings of length ``n`` of ``text`` (empty when shorter)."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(0))),
+                       lambda i: F.substring(text, i, n))
+
+
 def match_dependencies(patterns: DataFrame, priorities: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
-                       pattern_id: tuple[str, ...] = ("pattern_key",)) -> DataFrame:
+                       pattern_id: tuple[str, ...] = ("pattern_key",), gram: int = 3) -> DataFrame:
     """Dependency score of each pattern = max priority of the graph nodes
-    contained in lower(pattern); 0 when none.  Equi-join on the bundle plus a
-    ``contains`` filter, so only matching (pattern, node) pairs are emitted."""
+    contained in lower(pattern); 0 when none.
+
+    Exact substring join without pairing every pattern with every node of its
+    bundle: a node can only occur in a pattern that contains the node's first
+    ``min(gram, len)`` characters, so distinct pattern n-grams (n = 1..gram)
+    are joined to node prefixes on (bundle, n-gram) and only those candidates
+    are verified with ``contains``.  Work grows with the text, not with
+    patterns x nodes."""
     keys, pid = list(keys), list(pattern_id)
     p = patterns.select(*keys, *pid, F.lower(F.col("pattern")).alias("__plc"))
-    m = (p.join(priorities, keys, "inner").where(F.col("__plc").contains(F.col("node_lc")))
-         .groupBy(*keys, *pid).agg(F.max("priority").alias("dependency_score")))
-    return (patterns.join(m, [*keys, *pid], "left")
-            .withColumn("dependency_score", F.coalesce(F.col("dependency_score"), F.lit(0)).cast("long")))
+    grams = F.array_distinct(F.concat(*[_grams(F.col("__plc"), n) for n in range(1, gram + 1)]))
+    pg = p.select(*keys, *pid, F.explode(grams).alias("__g"))
+    node_len = F.length("node_lc")
+    nodes = priorities.where(node_len > 0).withColumn("__g", F.substring("node_lc", 1, gram))
+    cand = pg.join(nodes, [*keys, "__g"]).select(*keys, *pid, "node_lc", "priority")
+    hits = (cand.join(p, [*keys, *pid]).where(F.col("__plc").contains(F.col("node_lc")))
+            .groupBy(*keys, *pid).agg(F.max("priority").alias("__hit")))
+    # an empty node name is contained in every pattern of its bundle
+    empty = priorities.where(node_len == 0).groupBy(*keys).agg(F.max("priority").alias("__all"))
+    out = patterns.join(hits, [*keys, *pid], "left").join(empty, keys, "left")
+    best = F.greatest(F.coalesce(F.col("__hit"), F.lit(0)), F.coalesce(F.col("__all"), F.lit(0)))
+    return out.withColumn("dependency_score", best.cast("long")).drop("__hit", "__all")
 
 
 def ranking_reason(severity, dep, count) -> F.Column:

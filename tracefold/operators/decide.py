@@ -153,12 +153,7 @@ def base_command(cmd: Column) -> Column:
     return F.element_at(F.split(F.trim(F.regexp_replace(cmd, r"\s+", " ")), " "), 1)
 
 
-def classify_command(cmd: Column, rules: SafetyRules, matrix: Column | None = None) -> Column:
-    """Safety level of a shell command.  Order: user block list, system
-    block list, matrix (BLOCKED or approval stop), user allow list, safe list
-    (approval when the command has '>' or '|'), approval list, approval."""
-    c = F.regexp_replace(cmd, r"^\s+|\s+$", "")
-    base = base_command(c)
+def _level_case(c: Column, base: Column, rules: SafetyRules, matrix: Column | None) -> Column:
     expr = F.when(c.isNull() | (c == ""), F.lit(APPROVAL))
     expr = expr.when(_any_rlike(c, rules.blocked_patterns), F.lit(BLOCKED))
     expr = expr.when(_any_rlike(c, BLOCKED_PATTERNS), F.lit(BLOCKED))
@@ -172,6 +167,31 @@ def classify_command(cmd: Column, rules: SafetyRules, matrix: Column | None = No
     return expr.otherwise(F.lit(APPROVAL))
 
 
+def _strip(cmd: Column) -> Column:
+    return F.regexp_replace(cmd, r"^\s+|\s+$", "")
+
+
+def classify_command(cmd: Column, rules: SafetyRules, matrix: Column | None = None) -> Column:
+    """Safety level of a shell command.  Order: user block list, system
+    block list, matrix (BLOCKED or approval stop), user allow list, safe list
+    (approval when the command has '>' or '|'), approval list, approval.
+    (Column form; ``with_command_level`` computes the same on a frame with the
+    stripped command and its base word materialised once.)"""
+    c = _strip(cmd)
+    return _level_case(c, base_command(c), rules, matrix)
+
+
+def with_command_level(df: DataFrame, cmd: str, rules: SafetyRules, out: str = "level",
+                       matrix: str | None = None, only_if: Column | None = None) -> DataFrame:
+    """J5 on a frame: the stripped command and its base word are columns
+    (computed once per row), the rule CASE reads those columns."""
+    d = df.withColumn("__cmd", _strip(F.col(cmd))).withColumn("__base", base_command(F.col("__cmd")))
+    lvl = _level_case(F.col("__cmd"), F.col("__base"), rules, F.col(matrix) if matrix else None)
+    if only_if is not None:
+        lvl = F.when(only_if, lvl)
+    return d.withColumn(out, lvl).drop("__cmd", "__base")
+
+
 def action_command_text(action: Column) -> Column:
     """The string the agent runs for an action: COMMAND = command + ' ' +
     arguments (space kept even without arguments); FILE_EDIT = 'EDIT_FILE
@@ -194,19 +214,21 @@ def audit_commands(scored: DataFrame, keys: tuple[str, ...] = ("proposal_id",),
     keys = list(keys)
     acts = scored.select(*keys, "decision", "git_user", "git_email",
                          F.posexplode_outer("actions").alias("pos", "a"))
-    text = action_command_text(F.col("a"))
-    stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
+    acts = acts.withColumn("__text", action_command_text(F.col("a")))
+    stripped = _strip(F.col("__text"))
     is_git = stripped.startswith("git ") & F.col("git_user").isNotNull()
-    cmd = F.when(is_git, F.concat(F.lit("git -c user.name='"), F.col("git_user"), F.lit("' -c user.email='"),
-                                  F.col("git_email"), F.lit("' "), F.substring(stripped, 5, 1 << 30))).otherwise(text)
+    acts = acts.withColumn("__run", F.when(is_git, F.concat(
+        F.lit("git -c user.name='"), F.col("git_user"), F.lit("' -c user.email='"), F.col("git_email"), F.lit("' "),
+        F.substring(stripped, 5, 1 << 30))).otherwise(F.col("__text")))
     checked = F.col("a.type").isin("COMMAND", "PATCH", "API_CALL")
-    level = F.when(checked, classify_command(cmd, rules))
+    acts = with_command_level(acts, "__run", rules, out="__level", only_if=checked)
+    level = F.col("__level")
     malformed = ((F.col("a.type") == "FILE_EDIT") & (F.col("a.file_path").isNull() | F.col("a.original_context").isNull()
                                                      | F.col("a.replacement_text").isNull())) | (
         (F.col("a.type") == "XML_EDIT") & (F.col("a.file_path").isNull() | F.col("a.xml_selector").isNull()
                                            | F.col("a.xml_value").isNull()))
     per = acts.select(*keys, "decision", F.col("a").isNotNull().alias("has"), (level == BLOCKED).alias("blocked"),
-                      malformed.alias("malformed"), F.when(level == BLOCKED, cmd).alias("blocked_cmd"), "pos")
+                      malformed.alias("malformed"), F.when(level == BLOCKED, F.col("__run")).alias("blocked_cmd"), "pos")
     g = per.groupBy(*keys, "decision").agg(
         F.count_if(F.col("has")).alias("n_actions"),
         F.count_if(F.coalesce(F.col("blocked"), F.lit(False))).alias("n_blocked"),

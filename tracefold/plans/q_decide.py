@@ -268,8 +268,10 @@ def q_safety_matrix(spark, sf_dir):
 SELECT proposal_id, pos, command, {_rules_sql('command', _MATRIX_SQL)} AS level FROM acts""")
 def q_classify_commands(spark, sf_dir):
     a = _actions(spark, sf_dir)
-    lvl = D.safety_matrix(F.col("environment"), F.col("scope"), F.col("execution_mode"), RULES)
-    return a.select("proposal_id", "pos", "command", D.classify_command(F.col("command"), RULES, lvl).alias("level"))
+    a = a.withColumn("matrix_level", D.safety_matrix(F.col("environment"), F.col("scope"), F.col("execution_mode"),
+                                                     RULES))
+    a = D.with_command_level(a, "command", RULES, out="level", matrix="matrix_level")
+    return a.select("proposal_id", "pos", "command", "level")
 
 
 _G2_CMD = ("CASE WHEN starts_with(regexp_replace(command, '^\\s+|\\s+$', '', 'g'), 'git ') THEN "
