@@ -68,3 +68,15 @@ def test_escalate(spark):
     e = e.withColumn("container", F.lit(None).cast("string"))
     assert A.dedup_patterns_b(e).first().error_class == "INFO"
     assert A.dedup_patterns_b(e, escalate=True).first().error_class == "ERROR"
+
+
+def test_read_log_lines(spark, tmp_path):
+    (tmp_path / "svc-a.log").write_text("2024-01-01 00:00:00 INFO a\n\n   \n    at x.Y.z(Y.java:1)\n2024-01-01 00:00:01 ERROR b\n")
+    (tmp_path / "svc-b.log").write_text("2024-01-01 00:00:02 WARN c\r\nsecond\r\n")
+    rows = P.read_log_lines(spark, str(tmp_path)).collect()
+    by_file = {}
+    for r in rows:
+        by_file.setdefault(r.source_id.rsplit("/", 1)[-1], []).append((r.line_no, r.line))
+    assert sorted(by_file["svc-a.log"]) == [(1, "2024-01-01 00:00:00 INFO a"), (4, "    at x.Y.z(Y.java:1)"),
+                                            (5, "2024-01-01 00:00:01 ERROR b")]
+    assert sorted(by_file["svc-b.log"]) == [(1, "2024-01-01 00:00:02 WARN c"), (2, "second")]
