@@ -58,7 +58,7 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.assign(__e=eid.to_numpy())
     pdf = pdf[pdf["__e"] > 0]
     if pdf.empty:
-        return pd.DataFrame(columns=["file", "entry_no", "us", "level", "message"])
+        return pd.DataFrame(columns=["file", "entry_no", "us", "level", "message", "sort_us"])
     g = pdf.groupby(["file", "__e"], sort=False)
     out = pd.DataFrame({
         "file": g["file"].first(),
@@ -69,6 +69,9 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     }).reset_index(drop=True)
     ts = pd.to_datetime(out["ts"])
     out["us"] = (ts.astype("int64") // 1000).where(ts.notna(), other=np.nan)
+    # rows without a timestamp (control rows) keep their arrival position:
+    # they sort at the time of the entry before them in the same file
+    out["sort_us"] = out.groupby("file", sort=False)["us"].ffill()
     return out.drop(columns=["ts"])
 
 
@@ -90,7 +93,9 @@ def make_flush_fn(window_seconds: int = 60, flush_interval_seconds: int | None =
             flush_no, last_flush, max_us, buf = 0, None, None, []
         batch = pd.concat(list(pdfs), ignore_index=True)
         entries = _fold(batch)
-        entries = entries.sort_values(["us", "file", "entry_no"], kind="stable", na_position="first")
+        if "sort_us" not in entries:
+            entries["sort_us"] = entries["us"]
+        entries = entries.sort_values(["sort_us", "file", "entry_no"], kind="stable", na_position="first")
         out: list[tuple] = []
 
         def emit(reason, at_us):
