@@ -133,3 +133,19 @@ def q_stream_error_rate(spark, sf_dir):
     r = SW.windowed_error_rate(FL.entries_b(spark, sf_dir), window="1 hour")
     return r.select(iso_seconds(F.col("window_start")).alias("window_start"), "source_id", "error_count",
                     "entry_count", "error_rate_z")
+
+
+@register("S1_read_log_lines", "WITH " + O.log_lines_cte() + """
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY line_no) AS BIGINT) AS line_no, line
+FROM log_lines""")
+def q_read_log_lines(spark, sf_dir):
+    """The fixture lines written as one text file per source (as a log agent
+    would leave them), read back with line numbers."""
+    from tracefold.operators.parse import read_log_lines
+    base = _scratch(spark)
+    # sorted by (source, line) so the partitioned writer keeps the line order
+    (log_lines(spark, sf_dir).repartition("source_id").sortWithinPartitions("source_id", "line_no")
+     .select("source_id", "line").write.partitionBy("source_id").text(f"{base}/text"))
+    r = read_log_lines(spark, f"{base}/text/*/*.txt")
+    src = F.regexp_extract("source_id", r"source_id=([^/]+)/", 1)
+    return r.select(src.alias("source_id"), "line_no", "line")
