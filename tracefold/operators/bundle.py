@@ -9,8 +9,6 @@ key plus a time bucket so they never degrade to a nested loop.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,7 +201,3 @@ def recent_commit(files: DataFrame, commits: DataFrame, keys: tuple[str, ...] =
         *keys, "file", F.col("__t").alias("incident_ts"), F.col("__last.commit_hash").alias("commit_hash"),
         F.col("__last.commit_ts").alias("commit_ts"), F.col("__last.author").alias("author"),
         F.col("__last.message").alias("message"))
-
-
-def concat_nonnull(*cols: Column) -> Column:
-    return reduce(lambda a, b: F.concat(a, b), cols)
