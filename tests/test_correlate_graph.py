@@ -132,3 +132,15 @@ def test_ordinal_against_row_number(spark):
     ref = df.withColumn("o", F.row_number().over(w) - 1)
     cols = ["k", "sev", "cnt", "fen", "o"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, ref.select(cols).collect()))
+
+
+def test_match_dependencies_both_paths_agree(spark):
+    nodes = spark.createDataFrame([("b", n, i, 6) for i, n in enumerate(
+        ["Redis", "UserService", "api", "s", "pool", "x-y"])], "bundle_id string, node string, position long, n_nodes long")
+    texts = ["timeout calling redis from userservice", "nothing here", "HikariPool exhausted", "x-y and s3",
+             "API gateway", ""]
+    p = pats(spark, [(t, 1, 0.0, "INFO", 2) for t in texts])
+    prio = C.dependency_priority(nodes)
+    small = {r.pattern_key: r.dependency_score for r in C.match_dependencies(p, prio).collect()}
+    big = {r.pattern_key: r.dependency_score for r in C.match_dependencies(p, prio, max_pairs=0).collect()}
+    assert small == big == {"k0": 5, "k1": 0, "k2": 2, "k3": 2, "k4": 3, "k5": 0}

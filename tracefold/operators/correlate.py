@@ -105,25 +105,38 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def match_dependencies(patterns: DataFrame, priorities: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
-                       pattern_id: tuple[str, ...] = ("pattern_key",), gram: int = 3) -> DataFrame:
+                       pattern_id: tuple[str, ...] = ("pattern_key",), gram: int = 3,
+                       max_pairs: int = 1_000_000) -> DataFrame:
     """Dependency score of each pattern = max priority of the graph nodes
-    contained in lower(pattern); 0 when none.
-
-    Exact substring join without pairing every pattern with every node of its
-    bundle: a node can only occur in a pattern that contains the node's first
-    ``min(gram, len)`` characters, so distinct pattern n-grams (n = 1..gram)
-    are joined to node prefixes on (bundle, n-gram) and only those candidates
-    are verified with ``contains``.  Work grows with the text, not with
-    patterns x nodes."""
+    contained in lower(pattern); 0 when none.  Exact in both of its paths:
+
+    * a bundle with at most ``max_pairs`` (pattern, node) combinations joins
+      its patterns to its nodes on the bundle and tests ``contains`` (a
+      bounded, small candidate set per bundle);
+    * a larger bundle does not pair every pattern with every node: a node can
+      only occur in a pattern that contains the node's first ``min(gram, len)``
+      characters, so distinct pattern n-grams (n = 1..gram) are joined to node
+      prefixes on (bundle, n-gram) and only those candidates are verified.
+      Work there grows with the text, not with patterns x nodes."""
     keys, pid = list(keys), list(pattern_id)
     p = patterns.select(*keys, *pid, F.lower(F.col("pattern")).alias("__plc"))
-    grams = F.array_distinct(F.concat(*[_grams(F.col("__plc"), n) for n in range(1, gram + 1)]))
-    pg = p.select(*keys, *pid, F.explode(grams).alias("__g"))
     node_len = F.length("node_lc")
-    nodes = priorities.where(node_len > 0).withColumn("__g", F.substring("node_lc", 1, gram))
-    cand = pg.join(nodes, [*keys, "__g"]).select(*keys, *pid, "node_lc", "priority")
-    hits = (cand.join(p, [*keys, *pid]).where(F.col("__plc").contains(F.col("node_lc")))
-            .groupBy(*keys, *pid).agg(F.max("priority").alias("__hit")))
+    nodes = priorities.where(node_len > 0)
+    n_p = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("__np"))
+    n_n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nn"))
+    size = n_p.join(n_n, keys).select(*keys, (F.col("__np") * F.col("__nn") > max_pairs).alias("__big"))
+    ps = p.join(size, keys)
+    small = (ps.where(~F.col("__big")).join(nodes, keys)
+             .where(F.col("__plc").contains(F.col("node_lc")))
+             .select(*keys, *pid, "priority"))
+    big = ps.where(F.col("__big")).drop("__big")
+    grams = F.array_distinct(F.concat(*[_grams(F.col("__plc"), n) for n in range(1, gram + 1)]))
+    pg = big.select(*keys, *pid, F.explode(grams).alias("__g"))
+    cand = pg.join(nodes.withColumn("__g", F.substring("node_lc", 1, gram)), [*keys, "__g"]).select(
+        *keys, *pid, "node_lc", "priority")
+    large = (cand.join(big, [*keys, *pid]).where(F.col("__plc").contains(F.col("node_lc")))
+             .select(*keys, *pid, "priority"))
+    hits = small.unionByName(large).groupBy(*keys, *pid).agg(F.max("priority").alias("__hit"))
     # an empty node name is contained in every pattern of its bundle
     empty = priorities.where(node_len == 0).groupBy(*keys).agg(F.max("priority").alias("__all"))
     out = patterns.join(hits, [*keys, *pid], "left").join(empty, keys, "left")

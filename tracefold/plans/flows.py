@@ -94,18 +94,17 @@ def hour_batches(entries: DataFrame) -> DataFrame:
 def graph_b(spark: SparkSession, sf_dir: str):
     """U1 + W7 over the A2 patterns: (patterns, services, chain_depth, nodes)."""
     from tracefold.operators import depgraph as G
+    from tracefold.plans.materialize import materialize
     pats = patterns_b(spark, sf_dir)
     services, depth = G.all_services(pats)
-    return pats, services, depth, G.order_by_depth(services, depth)
+    return pats, services, depth, materialize(G.order_by_depth(services, depth), "graph_nodes")
 
 
 @memo
 def causes_with_graph_b(spark: SparkSession, sf_dir: str, gap_seconds: float = FIXTURE_GAP_SECONDS) -> DataFrame:
     """The correlator's path: empty user graph -> auto-extracted graph (U2) ->
     J2 dependency scores -> W2 clusters -> W3 ranked causes."""
-    from tracefold.operators import depgraph as G
-    pats = patterns_b(spark, sf_dir)
-    nodes = G.build_graph(pats)
+    pats, _, _, nodes = graph_b(spark, sf_dir)   # U2: no user graph here, so every bundle is auto-extracted
     scored = C.match_dependencies(pats, C.dependency_priority(nodes))
     return C.rank_root_causes(C.cluster_by_gap(scored, gap_seconds=gap_seconds))
 
