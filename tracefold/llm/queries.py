@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import quality
+from tracefold.llm import mixing, quality, sharding
 from tracefold.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,73 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines")
 
 
+SHARDING_SQL = f"""
+WITH r AS (
+  SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS h,
+         coalesce(strlen(text), 0)::BIGINT AS n_bytes FROM documents),
+lv AS (SELECT doc_id, h, n_bytes, d, h >> ({sharding.BITS} - d) AS prefix
+       FROM r, (SELECT unnest(generate_series(0, {sharding.BITS})) AS d)),
+b AS (SELECT d, prefix FROM lv GROUP BY d, prefix HAVING sum(n_bytes) <= {sharding.SHARD_BYTES}),
+f AS (SELECT doc_id, any_value(n_bytes) AS n_bytes, any_value(h) AS h, min(d) AS depth
+      FROM lv JOIN b USING (d, prefix) GROUP BY doc_id)
+SELECT doc_id, n_bytes, depth::BIGINT AS depth, (h >> ({sharding.BITS} - depth))::BIGINT AS prefix, 0::BIGINT AS page,
+       CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> ({sharding.BITS} - depth)), depth::INT, '0') END AS shard,
+       n_bytes > {sharding.SHARD_BYTES} AS oversized
+FROM f"""
+
+
+@register("op4_sharding", SHARDING_SQL)
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(load(spark, sf_dir, "documents"))
+
+
+def mixing_sql(source: str = "documents") -> str:
+    steps, last = [], "k0"
+    for n in range(1, mixing.SWEEPS + 1):
+        for dim in mixing.DIMS:
+            name = f"k{n}_{dim}"
+            steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (w * goal_{dim} / sum(w) OVER (PARTITION BY {dim}) AS w) "
+                         f"FROM {last})")
+            last = name
+    goals = ", ".join(
+        f"g_{d} AS (SELECT {d}, (SELECT sum(tokens) FROM c) * pow(sum(tokens), {p}) / "
+        f"(SELECT sum(pow(m, {p})) FROM (SELECT sum(tokens) AS m FROM c GROUP BY {d})) AS goal_{d} FROM c GROUP BY {d})"
+        for d, p in mixing.FLATTEN.items())
+    return f"""
+WITH f AS (
+  SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang,
+         CASE WHEN coalesce(text, '') = '' THEN 'none' WHEN lower(text) LIKE '%licen%' THEN 'licence'
+              WHEN text LIKE '% | %' THEN 'table' WHEN text LIKE '%' || chr(10) || '%' THEN 'paragraphs'
+              ELSE 'passage' END AS topic,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS tokens
+  FROM {source}),
+c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM f GROUP BY ALL HAVING sum(tokens) > 0),
+{goals},
+k0 AS MATERIALIZED (SELECT *, tokens AS w FROM c JOIN g_source USING (source) JOIN g_lang USING (lang)
+                    JOIN g_topic USING (topic)),
+{", ".join(steps)},
+r AS (SELECT source, lang, topic, tokens AS t, w, w / tokens AS ratio FROM {last}),
+u AS (SELECT ratio, sum(t) AS t, sum(w) AS w FROM r GROUP BY ratio),
+v AS (SELECT ratio, ({mixing.KEEP_SHARE} * sum(t) OVER () - coalesce(sum(t) OVER (ORDER BY ratio DESC ROWS BETWEEN
+             UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio DESC ROWS BETWEEN CURRENT ROW
+             AND UNBOUNDED FOLLOWING) AS c FROM u),
+best AS (SELECT max(c) AS c FROM v WHERE c * ratio <= 1),
+o AS (SELECT f.*, coalesce(r.ratio, 1.0) AS ratio,
+             CASE WHEN f.tokens = 0 THEN 1.0 ELSE least(1.0, coalesce(best.c, 1.0) * r.ratio) END AS p
+      FROM f LEFT JOIN r USING (source, lang, topic) CROSS JOIN best)
+SELECT doc_id, source, lang, topic, tokens, round(ratio, 4) AS ratio, round(p, 4) AS p,
+       ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / {float(1 << 52)}
+         < p AS kept
+FROM o"""
+
+
+@register("op5_mixing", mixing_sql())
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens",
+        F.round("ratio", 4).alias("ratio"), F.round("p", 4).alias("p"), "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
