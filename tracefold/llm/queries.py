@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import mixing, quality, sharding
+from tracefold.llm import mixing, packing, quality, sharding
 from tracefold.llm.common import load
 
+#: Byte-level BPE vocabulary file that packing uses.
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -142,6 +145,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("ratio", 4).alias("ratio"), F.round("p", 4).alias("p"), "kept")
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@register("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(load(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
