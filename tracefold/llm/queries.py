@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import minhash, mixing, packing, quality, sharding, suffix, topk
+from tracefold.llm import html_extract, minhash, mixing, packing, quality, sharding, suffix, topk
 from tracefold.llm.common import load
 
 #: Byte-level BPE vocabulary file that packing uses.
@@ -201,6 +201,12 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_embeddings(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@register("op8_html_extraction")
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.main_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
