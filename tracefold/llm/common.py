@@ -42,6 +42,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed at this point: a later filter on one of
+    them stays above.  Pushed below, it would repeat the expression - inside a
+    higher-order function once per element."""
+    row = F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("x")
+    return df.select(row).select("x.*")
+
+
 def text_id(text: Column) -> list[Column]:
     """Two 64-bit hashes that together identify a text (128 bits)."""
     t = F.coalesce(text, F.lit(""))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import WORD_GAP, uniform, written
+from tracefold.llm.common import WORD_GAP, computed, uniform, written
 
 #: Target share of a marginal value: its token share to this power, renormalised.
 FLATTEN = {"source": 0.7, "lang": 0.7, "topic": 0.9}
@@ -122,4 +122,4 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", lang: str = "
 
 def sample(df: DataFrame, **options) -> DataFrame:
     """The drawn documents, with their own columns."""
-    return mix(df, **options).filter("kept").select("row.*")
+    return computed(mix(df, **options).select("row", "kept")).filter("kept").select("row.*")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import WORD_GAP
+from tracefold.llm.common import WORD_GAP, computed
 
 #: Fixed values of the base rule.
 MIN_WORDS = 20
@@ -121,4 +121,4 @@ def quality_report(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
 
 def keep_good(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows of ``df`` that pass every rule, with their own columns."""
-    return quality_report(df, text, rules).filter("kept").select("row.*")
+    return computed(quality_report(df, text, rules).select("row", "kept")).filter("kept").select("row.*")

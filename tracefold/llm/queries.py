@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import html_extract, minhash, mixing, packing, quality, sharding, suffix, topk
+from tracefold.llm import chat, html_extract, license_scan, minhash, mixing, packing, quality, sharding, suffix, topk
 from tracefold.llm.common import load
 
 #: Byte-level BPE vocabulary file that packing uses.
@@ -207,6 +207,80 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(pages).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+CHAT_SQL = """
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, any_value(role) AS role, any_value(coalesce(text, '')) AS text FROM conversations
+  GROUP BY conv_id, turn),
+l AS MATERIALIZED (
+  SELECT DISTINCT conv_id, turn, x AS line, trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS h
+  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x FROM c)),
+o AS MATERIALIZED (SELECT DISTINCT conv_id, turn, h FROM l WHERE h <> ''),
+m AS (
+  SELECT c.*, CASE WHEN turn > 0 AND turn % 5 <> 3 THEN CASE WHEN turn % 4 = 0 THEN turn - 2 ELSE turn - 1 END END AS to1
+  FROM c),
+g AS (
+  SELECT m.conv_id, m.turn, a.turn AS t1, b.turn AS t2 FROM m
+  LEFT JOIN m a ON a.conv_id = m.conv_id AND a.turn = m.to1
+  LEFT JOIN m b ON b.conv_id = a.conv_id AND b.turn = a.to1),
+q AS (
+  SELECT g.conv_id, g.turn, 1 AS level, x.line, x.h FROM g JOIN (SELECT conv_id, turn, line, h, n FROM (
+    SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
+    FROM c) JOIN l USING (conv_id, turn, line)) x ON x.conv_id = g.conv_id AND x.turn = g.t1
+  UNION ALL
+  SELECT g.conv_id, g.turn, 2, x.line, x.h FROM g JOIN (SELECT conv_id, turn, line, h, n FROM (
+    SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
+    FROM c) JOIN l USING (conv_id, turn, line)) x ON x.conv_id = g.conv_id AND x.turn = g.t2),
+w AS (
+  SELECT q.conv_id, q.turn, level, q.line, (SELECT max(o.turn) FROM o WHERE o.conv_id = q.conv_id AND o.h = q.h
+         AND o.turn < q.turn) AS origin FROM q WHERE q.h <> ''),
+v AS (SELECT conv_id, turn, level, origin, count(*) AS n FROM w WHERE origin IS NOT NULL GROUP BY ALL),
+b AS (SELECT conv_id, turn, level, origin FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn, level
+      ORDER BY n DESC, origin DESC) = 1),
+p AS (
+  SELECT g.conv_id, g.turn, (t1 IS NOT NULL)::BIGINT + (t2 IS NOT NULL)::BIGINT AS n_passages,
+         (SELECT count(*) FROM b WHERE b.conv_id = g.conv_id AND b.turn = g.turn) AS n_linked,
+         coalesce((SELECT first(origin ORDER BY level) FROM b WHERE b.conv_id = g.conv_id AND b.turn = g.turn),
+                  (SELECT max(turn) FROM c WHERE c.conv_id = g.conv_id AND c.turn < g.turn)) AS parent FROM g),
+r AS (
+  SELECT conv_id, turn, turn AS root, 0 AS depth FROM p WHERE parent IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, r.root, r.depth + 1 FROM r JOIN p ON p.conv_id = r.conv_id AND p.parent = r.turn)
+SELECT conv_id, turn, c.role, p.parent AS parent_turn, r.root AS root_turn, r.depth::BIGINT AS depth,
+       row_number() OVER (PARTITION BY conv_id ORDER BY r.depth, turn) - 1 AS position, n_passages, n_linked,
+       trim(c.text, ' ' || chr(10)) AS text, '<|' || c.role || '|>' || chr(10) || trim(c.text, ' ' || chr(10)) AS formatted
+FROM c JOIN p USING (conv_id, turn) JOIN r USING (conv_id, turn)"""
+
+
+@register("op1_chat_formatting", CHAT_SQL)
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(chat.as_mail(load(spark, sf_dir, "conversations")))
+
+
+def license_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''"))
+                     for k, v in sorted(license_scan.TEMPLATES.items()))
+    split = ("list_filter(string_split_regex(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')")
+    shingles = "[array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 3, 1))]"
+    return f"""
+WITH t AS (SELECT template, {split.format('body')} AS w FROM (VALUES {rows}) v(template, body)),
+ts AS (SELECT template, unnest(list_distinct({shingles})) AS x FROM t WHERE len(w) >= {license_scan.WIDTH}),
+n AS (SELECT template, count(*) AS size FROM ts GROUP BY template),
+d AS (SELECT doc_id, {split.format('text')} AS w FROM documents),
+ds AS (SELECT doc_id, unnest({shingles}) AS x, unnest(range(0, greatest(len(w) - 4, 0))) AS pos
+       FROM d WHERE len(w) >= {license_scan.WIDTH}),
+hits AS (SELECT doc_id, template, size, x, pos FROM ds JOIN ts USING (x) JOIN n USING (template)),
+wins AS (SELECT doc_id, template, size, x, pos, pos // size AS k FROM hits
+         UNION ALL SELECT doc_id, template, size, x, pos, pos // size - 1 FROM hits WHERE pos >= size),
+f AS (SELECT doc_id, template, k, count(DISTINCT x) / any_value(size)::DOUBLE AS share, min(pos) AS word
+      FROM wins GROUP BY doc_id, template, k)
+SELECT doc_id, template, round(max(share), 6) AS containment, count(*) AS n_windows, min(word) AS first_word
+FROM f WHERE share >= {license_scan.CONTAINMENT} GROUP BY doc_id, template"""
+
+
+@register("op10_license_scan", license_sql())
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents")).withColumn("containment", F.round("containment", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
