@@ -1,11 +1,19 @@
-"""Corpus pipeline over ``documents``; every stage calls one operator of ``tracefold.llm``."""
+"""Corpus pipeline over ``documents``; every stage calls one operator of ``tracefold.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next one's docs.  All but the last return the
+columns of ``documents``, extra columns included.  Nulls, empty texts, repeated
+rows and empty tables have the results the operators state.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracefold.llm import quality
+from tracefold.llm import minhash, mixing, packing, quality, suffix
 from tracefold.llm.common import load, written
+from tracefold.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +21,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, 0.8)."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every byte of a 200-byte string that occurs twice goes; ``n_chars`` follows."""
+    out = suffix.strip_repeats(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of the documents by their raked probabilities."""
+    return mixing.sample(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents with their sequences and offsets."""
+    cut = packing.pieces(docs, tokenizer_path())
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Packing has no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -51,3 +51,17 @@ def near_groups(rows, width, percent=80):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def strip(rows, length=200):
+    """doc_id -> text without the bytes of repeated strings, for distinct ids."""
+    raws = {i: (t or "").encode() for i, t in rows}
+    starts = Counter(r[k:k + length] for r in raws.values() for k in range(len(r) - length + 1))
+    out = {}
+    for i, r in raws.items():
+        hit = bytearray(len(r))
+        for k in range(len(r) - length + 1):
+            if starts[r[k:k + length]] > 1:
+                hit[k:k + length] = b"\1" * length
+        out[i] = bytes(c for c, h in zip(r, hit) if not h).decode("utf-8", "ignore")
+    return out

@@ -120,6 +120,8 @@ class Dom(HTMLParser):
             self._close(*CLOSES[tag])
         if tag == "body":
             self._close(("head",), ())
+        elif tag == "br":
+            self.handle_data(" ")
         family, mark = "", None
         for name, value in attrs:
             if name in ("class", "id", "role") and value:

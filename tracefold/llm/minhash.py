@@ -252,5 +252,6 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` whose document is the first of its group, with their own
     columns.  Rows repeating a kept (id, text) are that same document and stay."""
-    gone = near_duplicates(df, text, key, **options).filter("not kept").select(F.col(key).alias("__gone")).distinct()
-    return df.join(gone, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    gone = near_duplicates(df, text, key, **options).filter("not kept").select(F.col(key).alias("k")).distinct()
+    rows = df.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("k"))
+    return rows.join(gone, "k", "left_anti").select("row.*")

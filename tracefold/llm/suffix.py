@@ -396,5 +396,5 @@ def strip_repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> Da
     rows = rows.join(copies.withColumn("all", F.lit(True)), ["t1", "t2"], "left").join(
         partly.select("t1", "t2", "kept"), ["t1", "t2"], "left")
     own = F.col(f"row.{text}")
-    new = F.when(F.col("all"), F.lit("")).when(F.col("kept").isNotNull(), kept).otherwise(own)
+    new = F.when(F.col("all"), F.lit("")).otherwise(F.coalesce("kept", own))
     return rows.select(F.col("row").withField(text, new).alias("row")).select("row.*")
