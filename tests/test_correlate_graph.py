@@ -134,13 +134,28 @@ def test_ordinal_against_row_number(spark):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, ref.select(cols).collect()))
 
 
-def test_match_dependencies_both_paths_agree(spark):
+def test_match_dependencies_is_contains(spark):
     nodes = spark.createDataFrame([("b", n, i, 6) for i, n in enumerate(
         ["Redis", "UserService", "api", "s", "pool", "x-y"])], "bundle_id string, node string, position long, n_nodes long")
     texts = ["timeout calling redis from userservice", "nothing here", "HikariPool exhausted", "x-y and s3",
              "API gateway", ""]
     p = pats(spark, [(t, 1, 0.0, "INFO", 2) for t in texts])
     prio = C.dependency_priority(nodes)
-    small = {r.pattern_key: r.dependency_score for r in C.match_dependencies(p, prio).collect()}
-    big = {r.pattern_key: r.dependency_score for r in C.match_dependencies(p, prio, max_pairs=0).collect()}
-    assert small == big == {"k0": 5, "k1": 0, "k2": 2, "k3": 2, "k4": 3, "k5": 0}
+    got = {r.pattern_key: r.dependency_score for r in C.match_dependencies(p, prio).collect()}
+    assert got == {"k0": 5, "k1": 0, "k2": 2, "k3": 2, "k4": 3, "k5": 0}
+
+
+def test_error_lookback_reaches_into_earlier_batches(spark):
+    rows = [("s", "b0", 1, 0, "INFO"), ("s", "b0", 2, 500, "INFO"), ("s", "b0", 3, 590, "INFO"), ("s", "b1", 4, 610, "ERROR"),
+            ("s", "b1", 5, 620, "ERROR"), ("s", "b1", 6, 100, "INFO"), ("s", "b2", 7, 630, "INFO"), ("s", "b3", 8, 5000, "INFO"),
+            ("s", "b4", 9, 700, "ERROR"), ("t", "b1", 1, 605, "INFO")]
+    df = spark.createDataFrame(rows, "source_id string, batch_id string, entry_no long, sec long, level string").withColumn(
+        "ts", F.timestamp_seconds("sec"))
+    got = C.error_lookback(df, lookback_seconds=300).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.batch_id, []).append(r.entry_no)
+    # no entry that arrived later, none of another source; a later time that arrived earlier stays
+    assert {k: sorted(v) for k, v in by.items()} == {"b1": [2, 3, 4, 5], "b4": [2, 3, 4, 5, 7, 8, 9]}
+    newest = C.error_lookback(df, lookback_seconds=300, max_entries=2).collect()
+    assert sorted(r.entry_no for r in newest if r.batch_id == "b4") == [8, 9]

@@ -24,7 +24,7 @@ class StubState:
     def remove(self):
         self.value = None
 
-    def setTimeoutTimestamp(self, ms):
+    def setTimeoutDuration(self, ms):
         self.timeout = ms
 
 
@@ -32,7 +32,7 @@ def lines(rows):
     """rows: (line_no, second or None, level or None, text); file 'f'."""
     recs = []
     for n, sec, lvl, text in rows:
-        head = sec is not None or lvl == "FLUSH"
+        head = sec is not None or lvl in ("FLUSH", "SHUTDOWN")
         recs.append({"source_id": "s", "file": "f", "line_no": n, "line": text, "is_head": head,
                      "ts": None if sec is None else pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=sec),
                      "level": lvl})
@@ -50,10 +50,11 @@ def test_error_flush_prune_and_fold():
     out = run(fn, st, lines([(1, 0, "INFO", "a"), (2, 100, "WARNING", "b"), (3, None, None, "  at x"),
                              (4, 130, "ERROR", "c"), (5, 131, "ERROR", "d")]))
     got = list(zip(out["flush_no"], out["entry_no"], out["reason"]))
+    assert got.pop(0) == (-1, 1, "pruned")
     # entry 1 is pruned (older than 60 s before entry 2); entry 2 folds line 3
     assert got == [(0, 2, "error_detected"), (0, 4, "error_detected"), (1, 5, "error_detected")]
     assert out[out["entry_no"] == 2]["message"].iloc[0] == "b\n  at x"
-    assert st.value[0] == 2 and st.value[3] == [] and st.timeout is not None
+    assert st.value[0] == 2 and st.value[3] == []
 
 
 def test_interval_manual_and_late():
@@ -62,16 +63,45 @@ def test_interval_manual_and_late():
     out = run(fn, st, lines([(1, 0, "INFO", "a"), (2, 10, "INFO", "b"), (3, 45, "INFO", "c"),
                              (4, None, "FLUSH", "FLUSH"), (5, 50, "INFO", "e")]))
     assert list(out["reason"]) == ["time_elapsed", "time_elapsed", "manual"]   # a,b at 45 s; c by hand
-    assert run(fn, st, lines([(6, 200, "INFO", "f")])).empty
+    assert list(run(fn, st, lines([(6, 200, "INFO", "f")]))["reason"]) == ["pruned"]
     out3 = run(fn, st, lines([(7, 20, "INFO", "late one")]))                 # behind the newest by > 60 s
     assert list(out3["reason"]) == ["late"] and out3["entry_no"].iloc[0] == 7
     assert [e for e in st.value[4]] == [6]                                   # e pruned, f buffered
 
 
-def test_timeout_drops_state():
-    fn = make_flush_fn(window_seconds=60)
+def test_timeout_gives_the_buffer_out():
+    fn = make_flush_fn(window_seconds=60, idle_ms=1000)
     st = StubState()
     run(fn, st, lines([(1, 0, "INFO", "a")]))
-    assert st.exists
+    assert st.exists and st.timeout
     st.hasTimedOut = True
-    assert list(fn(("s",), iter([]), st)) == [] and not st.exists
+    out = pd.concat(list(fn(("s",), iter([]), st)))
+    assert list(out["reason"]) == ["shutdown"] and st.value[0] == 1 and st.value[3] == []
+
+
+def test_every_line_leaves_once():
+    import random
+    rnd = random.Random(4)
+    for trial in range(40):
+        fn = make_flush_fn(window_seconds=30, allowed_lateness_seconds=20, max_entries=rnd.choice([None, 3]))
+        st, seen, n, now = StubState(), [], 0, 100
+        for _ in range(4):
+            rows = []
+            for _ in range(rnd.randint(1, 12)):
+                n += 1
+                kind = rnd.random()
+                if kind < 0.2:
+                    rows.append((n, None, None, "  at frame"))
+                else:
+                    now += rnd.randint(0, 12)
+                    rows.append((n, now - rnd.choice([0, 0, 0, 15, 60]), "ERROR" if kind > 0.9 else "INFO", f"e{n}"))
+            batch = lines(rows)
+            out = run(fn, st, batch)
+            seen += [(int(e), m) for e, m in zip(out.get("entry_no", []), out.get("message", []))]
+        n += 1
+        end = run(fn, st, lines([(n, None, "SHUTDOWN", "SHUTDOWN")]))
+        seen += [(int(e), m) for e, m in zip(end.get("entry_no", []), end.get("message", []))]
+        assert not st.value[3]
+        # every line is in exactly one entry, behind its own head
+        got = [e + k for e, m in seen for k in range(len(m.split("\n")))]
+        assert sorted(got) == list(range(1, n))

@@ -48,26 +48,36 @@ def flush_segments(entries: DataFrame, keys: tuple[str, ...] = ("source_id",), l
     return d.where(keep).drop("__err_no")
 
 
-def error_lookback(entries: DataFrame, keys: tuple[str, ...] = ("source_id", "batch_id"),
-                   lookback_seconds: int = 300, prune_seconds: int | None = 600,
-                   max_entries: int = 10000, order: str = "entry_no") -> DataFrame:
-    """J1 (code variant): per batch, the entries kept by the ring buffer (the
-    newest ``max_entries`` in arrival order, pruned to ``prune_seconds`` before
-    the newest ts) with ``ts >= first_error.ts - lookback``; no upper bound.
-    Batches without an ERROR give nothing."""
-    keys = list(keys)
-    stats = entries.groupBy(*keys).agg(
-        F.min_by(F.col("ts"), F.when(F.col("level") == "ERROR", F.col(order))).alias("first_error_ts"),
-        F.max("ts").alias("__max_ts"),
-        F.count_if(F.col("level") == "ERROR").alias("__n_err"))
-    stats = stats.where(F.col("__n_err") > 0).drop("__n_err")
-    newest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    capped = entries.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= max_entries)
-    d = capped.join(stats, keys, "inner")
-    cond = F.col("ts") >= F.col("first_error_ts") - F.make_dt_interval(secs=F.lit(lookback_seconds))
-    if prune_seconds is not None:
-        cond = cond & (F.col("ts") >= F.col("__max_ts") - F.make_dt_interval(secs=F.lit(prune_seconds)))
-    return d.where(cond).drop("__rn", "__max_ts")
+def error_lookback(entries: DataFrame, key: str = "source_id", batch: str = "batch_id", lookback_seconds: int = 300,
+                   max_entries: int | None = None, order: str = "entry_no") -> DataFrame:
+    """For every batch with an ERROR, all entries of the *source* that had
+    arrived by the end of the batch - earlier batches included - with
+    ``ts >= first_error.ts - lookback``; no upper bound in time.  The result's
+    batch column names the batch of the error; adds ``first_error_ts``.
+
+    The few (source, batch) windows are expanded over time buckets of the
+    lookback's width and meet the entries on (source, bucket): the window ends at
+    the newest time seen so far, a running maximum over the source's batches.
+    ``max_entries`` keeps only the newest entries per window, on request."""
+    cond_err = F.col("level") == "ERROR"
+    stats = entries.groupBy(key, batch).agg(
+        F.min_by(F.col("ts"), F.when(cond_err, F.col(order))).alias("first_error_ts"),
+        F.max("ts").alias("__max_ts"), F.max(order).alias("__last"), F.max(cond_err).alias("__err"))
+    so_far = Window.partitionBy(key).orderBy("__last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stats = stats.withColumn("__max_ts", F.max("__max_ts").over(so_far)).where("__err and first_error_ts is not null")
+    since = F.col("first_error_ts") - F.make_dt_interval(secs=F.lit(lookback_seconds))
+
+    def bucket(ts: Column) -> Column:
+        return F.floor(F.unix_micros(ts) / F.lit(max(1, lookback_seconds) * 1_000_000)).cast("long")
+
+    windows = stats.select(key, batch, "first_error_ts", "__last", since.alias("__since"),
+                           F.explode(F.sequence(bucket(since), bucket(F.col("__max_ts")))).alias("__b"))
+    d = (entries.drop(batch).withColumn("__b", bucket(F.col("ts"))).join(windows, [key, "__b"])
+         .where((F.col(order) <= F.col("__last")) & (F.col("ts") >= F.col("__since"))))
+    if max_entries is not None:
+        newest = Window.partitionBy(key, batch).orderBy(F.col(order).desc())
+        d = d.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= max_entries).drop("__rn")
+    return d.drop("__b", "__last", "__since")
 
 
 def cluster_by_gap(patterns: DataFrame, keys: tuple[str, ...] = ("bundle_id",), ts: str = "first_ts",
@@ -100,43 +110,29 @@ def dependency_priority(nodes: DataFrame, keys: tuple[str, ...] = ("bundle_id",)
 
 def _grams(text: Column, n: int) -> Column:
     """All substrings of length ``n`` of ``text`` (empty when shorter)."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(0))),
-                       lambda i: F.substring(text, i, n))
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1),
+                                                   lambda i: F.substring(text, i, n))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def match_dependencies(patterns: DataFrame, priorities: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
-                       pattern_id: tuple[str, ...] = ("pattern_key",), gram: int = 3,
-                       max_pairs: int = 1_000_000) -> DataFrame:
+                       pattern_id: tuple[str, ...] = ("pattern_key",), gram: int = 3) -> DataFrame:
     """Dependency score of each pattern = max priority of the graph nodes
-    contained in lower(pattern); 0 when none.  Exact in both of its paths:
-
-    * a bundle with at most ``max_pairs`` (pattern, node) combinations joins
-      its patterns to its nodes on the bundle and tests ``contains`` (a
-      bounded, small candidate set per bundle);
-    * a larger bundle does not pair every pattern with every node: a node can
-      only occur in a pattern that contains the node's first ``min(gram, len)``
-      characters, so distinct pattern n-grams (n = 1..gram) are joined to node
-      prefixes on (bundle, n-gram) and only those candidates are verified.
-      Work there grows with the text, not with patterns x nodes."""
+    contained in lower(pattern); 0 when none.
+
+    Patterns are not paired with every node: a node can only occur in a pattern
+    that contains the node's first ``min(gram, len)`` characters, so distinct
+    pattern n-grams (n = 1..gram) are joined to node prefixes on (bundle,
+    n-gram) and only those candidates are verified with ``contains``.  Work
+    grows with the text, not with patterns x nodes, and the result is exact."""
     keys, pid = list(keys), list(pattern_id)
     p = patterns.select(*keys, *pid, F.lower(F.col("pattern")).alias("__plc"))
     node_len = F.length("node_lc")
-    nodes = priorities.where(node_len > 0)
-    n_p = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("__np"))
-    n_n = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nn"))
-    size = n_p.join(n_n, keys).select(*keys, (F.col("__np") * F.col("__nn") > max_pairs).alias("__big"))
-    ps = p.join(size, keys)
-    small = (ps.where(~F.col("__big")).join(nodes, keys)
-             .where(F.col("__plc").contains(F.col("node_lc")))
-             .select(*keys, *pid, "priority"))
-    big = ps.where(F.col("__big")).drop("__big")
+    nodes = priorities.where(node_len > 0).withColumn("__g", F.substring("node_lc", 1, gram))
     grams = F.array_distinct(F.concat(*[_grams(F.col("__plc"), n) for n in range(1, gram + 1)]))
-    pg = big.select(*keys, *pid, F.explode(grams).alias("__g"))
-    cand = pg.join(nodes.withColumn("__g", F.substring("node_lc", 1, gram)), [*keys, "__g"]).select(
-        *keys, *pid, "node_lc", "priority")
-    large = (cand.join(big, [*keys, *pid]).where(F.col("__plc").contains(F.col("node_lc")))
-             .select(*keys, *pid, "priority"))
-    hits = small.unionByName(large).groupBy(*keys, *pid).agg(F.max("priority").alias("__hit"))
+    hits = (p.select(*keys, *pid, "__plc", F.explode(grams).alias("__g")).join(nodes, [*keys, "__g"])
+            .where(F.col("__plc").contains(F.col("node_lc")))
+            .groupBy(*keys, *pid).agg(F.max("priority").alias("__hit")))
     # an empty node name is contained in every pattern of its bundle
     empty = priorities.where(node_len == 0).groupBy(*keys).agg(F.max("priority").alias("__all"))
     out = patterns.join(hits, [*keys, *pid], "left").join(empty, keys, "left")

@@ -13,11 +13,12 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from tracefold.session import ensure_checkpoint_dir
+from tracefold.session import delete_on_exit, ensure_checkpoint_dir
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tracefold-tables/{name}-{uuid.uuid4().hex[:12]}"
+    delete_on_exit(spark, path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -137,19 +137,17 @@ def q_flush_segments(spark, sf_dir):
 _J1_SQL = "WITH " + O.entries_ctes() + f""",
 be AS (SELECT *, coalesce(strftime(ts, '%Y-%m-%d %H'), 'none') AS batch_id FROM entries),
 j1s AS (SELECT source_id, batch_id, arg_min(ts, entry_no) FILTER (WHERE level = 'ERROR') AS first_error_ts,
-    max(ts) AS max_ts, count_if(level = 'ERROR') AS n_err FROM be GROUP BY source_id, batch_id),
-j1c AS (SELECT *, row_number() OVER (PARTITION BY source_id, batch_id ORDER BY entry_no DESC) AS rn FROM be)
-SELECT source_id, batch_id, entry_no, level, {O.iso_s('ts')} AS ts, {O.iso_s('first_error_ts')} AS first_error_ts
-FROM j1c JOIN j1s USING (source_id, batch_id)
-WHERE n_err > 0 AND rn <= 10000 AND ts >= first_error_ts - INTERVAL {LOOKBACK} SECOND
-  AND ts >= max_ts - INTERVAL {LOOKBACK + 300} SECOND"""
+    max(entry_no) AS last_no FROM be GROUP BY source_id, batch_id)
+SELECT e.source_id, s.batch_id, e.entry_no, e.level, {O.iso_s('e.ts')} AS ts,
+  {O.iso_s('s.first_error_ts')} AS first_error_ts
+FROM j1s s JOIN be e ON e.source_id = s.source_id AND e.entry_no <= s.last_no
+  AND e.ts >= s.first_error_ts - INTERVAL {LOOKBACK} SECOND"""
 
 
 @register("J1_error_lookback", _J1_SQL)
 def q_error_lookback(spark, sf_dir):
     from tracefold.operators.correlate import error_lookback
-    e = FL.hour_batches(FL.entries_b(spark, sf_dir))
-    j = error_lookback(e, keys=("source_id", "batch_id"), lookback_seconds=LOOKBACK, prune_seconds=LOOKBACK + 300)
+    j = error_lookback(FL.hour_batches(FL.entries_b(spark, sf_dir)), lookback_seconds=LOOKBACK)
     return j.select("source_id", "batch_id", "entry_no", "level", iso_seconds(F.col("ts")).alias("ts"),
                     iso_seconds(F.col("first_error_ts")).alias("first_error_ts"))
 

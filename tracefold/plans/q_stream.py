@@ -17,7 +17,7 @@ from tracefold.plans import flows as FL
 from tracefold.plans import oracle as O
 from tracefold.plans.fixture import log_lines
 from tracefold.plans.registry import register
-from tracefold.session import ensure_checkpoint_dir
+from tracefold.session import delete_on_exit, ensure_checkpoint_dir
 from tracefold.streaming import flush as SF
 from tracefold.streaming import sources as SS
 from tracefold.streaming import windows as SW
@@ -26,7 +26,7 @@ GAP = FL.FIXTURE_GAP_SECONDS
 
 
 def _scratch(spark) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tracefold-stream-{uuid.uuid4().hex[:12]}"
+    return delete_on_exit(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tracefold-stream-{uuid.uuid4().hex[:12]}")
 
 
 def _land_lines(spark, sf_dir, base: str) -> str:
@@ -77,13 +77,13 @@ SELECT source_id, segment AS flush_no, 'error_detected' AS reason, entry_no, lev
   {O.iso_s('error_ts')} AS flushed_at FROM seg""")
 def q_stream_flush(spark, sf_dir):
     base, _ = _run_flush(spark, sf_dir)
-    out = spark.read.parquet(f"{base}/out")
+    out = spark.read.parquet(f"{base}/out").where("flush_no >= 0")
     return out.select("source_id", "flush_no", "reason", "entry_no", "level", iso_seconds(F.col("ts")).alias("ts"),
                       iso_seconds(F.col("flushed_at")).alias("flushed_at"))
 
 
 def _upsert_flushes(batch: DataFrame, batch_id: int, path: str) -> None:
-    inc = (batch.where(F.col("reason") != "late")
+    inc = (batch.where("flush_no >= 0")
            .groupBy("source_id", "flush_no").agg(F.count(F.lit(1)).alias("n_entries"),
                                                  F.max("ts").alias("last_ts"))
            .select(F.concat(F.col("source_id"), F.lit("#"), F.col("flush_no").cast("string")).alias("id"),

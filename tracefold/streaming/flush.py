@@ -1,27 +1,33 @@
 """T1 stream_flush + T2 prune_window: the log agent's keyed flush buffer as a
 Structured Streaming stateful operator (``applyInPandasWithState``).
 
-Per source the state holds the buffered entries of the last ``window_seconds``
-(pruned by event time, capped at ``max_entries``), the time of the last flush
-and a flush counter.  Lines are folded into entries per file inside the batch
-(the file source delivers whole files, so a file is one ordered unit), sorted
-by (ts, file, line) and replayed:
+Per source the state holds the buffered entries of the last ``window_seconds``,
+the time of the last flush, the newest time and a flush counter.  Lines are folded
+into entries per file inside the batch (the file source delivers whole files, so a
+file is one ordered unit) before any of them is judged by its time, so a line
+always stays with its own entry.  Entries are sorted by (ts, file, line) and
+replayed; every one of them leaves with exactly one reason, or stays buffered:
 
 * ERROR entry -> emit buffer + entry, reason ``error_detected``, clear;
 * ``flush_interval_seconds`` set and that much event time since the last
   flush -> emit the buffer, reason ``time_elapsed``, clear;
-* a control line ``FLUSH`` -> emit, reason ``manual``;
-* entries older than ``window_seconds`` before the newest are pruned (T2);
-* entries arriving behind the source's newest ts by more than the allowed
-  lateness are emitted as reason ``late`` (counted, never silently lost).
-
-The state expires (event-time timeout) once the watermark passes the newest
-buffered entry plus the window: by then every buffered entry has aged out, so
-no bundle is lost (a tail without ERROR yields no bundle, as specified).
+* a control line ``FLUSH`` or ``SHUTDOWN`` -> emit, reason ``manual`` / ``shutdown``;
+* entries older than ``window_seconds`` before the newest leave as ``pruned`` (T2);
+* entries behind the *source's own* newest ts by more than the allowed lateness
+  leave as ``late``;
+* with ``max_entries`` set, the oldest beyond it leave as ``overflow``;
+* lines before the first head of their file leave as ``orphan``.
+
+Lateness is judged per source, never by a watermark: Spark's watermark is global,
+and a source that lags behind the others would lose its rows to it.  With ``idle``
+set, a source without data for so long (processing time) gives its buffer out as
+``shutdown`` and keeps its counters only; that suits a continuous trigger, as
+Spark runs batches without data for it (``availableNow`` would not end).
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +44,8 @@ OUTPUT_SCHEMA = ("source_id string, flush_no long, reason string, flushed_at tim
 STATE_SCHEMA = ("flush_no long, last_flush_us long, max_us long, buf_file array<string>, buf_entry array<long>, "
                 "buf_us array<long>, buf_level array<string>, buf_msg array<string>")
 MANUAL_FLUSH = "FLUSH"
+SHUTDOWN = "SHUTDOWN"
+CONTROL = {MANUAL_FLUSH: "manual", SHUTDOWN: "shutdown"}
 
 
 def prepare_lines(lines: DataFrame) -> DataFrame:
@@ -46,19 +54,21 @@ def prepare_lines(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     head = TM.is_head_b(line)
     return (lines.where(line.rlike(r"\S"))
-            .withColumn("is_head", head | (F.trim(line) == MANUAL_FLUSH))
+            .withColumn("is_head", head | F.trim(line).isin(*CONTROL))
             .withColumn("ts", F.when(head, TM.ts_b(line)))
-            .withColumn("level", F.when(head, T.level_b(line)).when(F.trim(line) == MANUAL_FLUSH, F.lit(MANUAL_FLUSH))))
+            .withColumn("level", F.when(head, T.level_b(line)).when(F.trim(line).isin(*CONTROL), F.trim(line))))
 
 
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lines of one source in this batch -> entries (per file, line order)."""
+def _fold(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Lines of one source in this batch -> entries (per file, line order), and
+    the lines before the first head of their file."""
     pdf = pdf.sort_values(["file", "line_no"], kind="stable")
     eid = pdf.groupby("file", sort=False)["is_head"].cumsum()
     pdf = pdf.assign(__e=eid.to_numpy())
+    orphans = pdf[pdf["__e"] == 0]
     pdf = pdf[pdf["__e"] > 0]
     if pdf.empty:
-        return pd.DataFrame(columns=["file", "entry_no", "us", "level", "message", "sort_us"])
+        return pd.DataFrame(columns=["file", "entry_no", "us", "level", "message", "sort_us"]), orphans
     g = pdf.groupby(["file", "__e"], sort=False)
     out = pd.DataFrame({
         "file": g["file"].first(),
@@ -72,67 +82,83 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     # rows without a timestamp (control rows) keep their arrival position:
     # they sort at the time of the entry before them in the same file
     out["sort_us"] = out.groupby("file", sort=False)["us"].ffill()
-    return out.drop(columns=["ts"])
+    return out.drop(columns=["ts"]), orphans
 
 
 def make_flush_fn(window_seconds: int = 60, flush_interval_seconds: int | None = None,
-                  max_entries: int = 10000, allowed_lateness_seconds: int = 60):
+                  max_entries: int | None = None, allowed_lateness_seconds: int = 60, idle_ms: int | None = None):
     win_us = window_seconds * 1_000_000
     interval_us = None if flush_interval_seconds is None else flush_interval_seconds * 1_000_000
     late_us = allowed_lateness_seconds * 1_000_000
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         source = key[0]
-        if state.hasTimedOut:
-            state.remove()
-            return
         if state.exists:
             (flush_no, last_flush, max_us, bf, be, bu, bl, bm) = state.get
-            buf = list(zip(bf, be, bu, bl, bm))
+            buf = deque(zip(bf, be, bu, bl, bm))
         else:
-            flush_no, last_flush, max_us, buf = 0, None, None, []
-        batch = pd.concat(list(pdfs), ignore_index=True)
-        entries = _fold(batch)
-        if "sort_us" not in entries:
-            entries["sort_us"] = entries["us"]
-        entries = entries.sort_values(["sort_us", "file", "entry_no"], kind="stable", na_position="first")
+            flush_no, last_flush, max_us, buf = 0, None, None, deque()
         out: list[tuple] = []
+        disordered = any(x is None or y is None or x > y for x, y in zip([b[2] for b in buf], [b[2] for b in buf][1:]))
+
+        def leave(entry, reason, at_us, number=-1):
+            out.append((source, number, reason, at_us, *entry))
 
         def emit(reason, at_us):
-            nonlocal flush_no, buf, last_flush
-            for (f, e, u, lv, m) in buf:
-                out.append((source, flush_no, reason, at_us, f, e, u, lv, m))
+            nonlocal flush_no, last_flush
+            while buf:
+                leave(buf.popleft(), reason, at_us, flush_no)
             flush_no += 1
-            buf = []
             last_flush = at_us
 
-        for row in entries.itertuples(index=False):
-            us = None if pd.isna(row.us) else int(row.us)
-            if us is not None and max_us is not None and us < max_us - late_us:
-                out.append((source, -1, "late", us, row.file, int(row.entry_no), us, row.level, row.message))
-                continue
-            if us is not None:
-                max_us = us if max_us is None else max(max_us, us)
-                buf = [b for b in buf if b[2] is None or b[2] >= us - win_us]          # T2 prune
-                if interval_us is not None and buf and last_flush is not None and us - last_flush >= interval_us:
-                    emit("time_elapsed", us)
-                if last_flush is None:
-                    last_flush = us
-            if row.level == MANUAL_FLUSH:
-                if buf:
-                    emit("manual", us if us is not None else max_us)
-                continue
-            buf.append((row.file, int(row.entry_no), us, row.level, row.message))
-            if len(buf) > max_entries:
-                buf = buf[-max_entries:]
-            if row.level == "ERROR":
-                emit("error_detected", us if us is not None else max_us)
-
-        if buf or flush_no or max_us is not None:
-            state.update((flush_no, last_flush, max_us, [b[0] for b in buf], [b[1] for b in buf],
-                          [b[2] for b in buf], [b[3] for b in buf], [b[4] for b in buf]))
-            if max_us is not None:
-                state.setTimeoutTimestamp(int((max_us + win_us) // 1000))
+        def prune(us):
+            # Only entries within the lateness can stand out of time order, so
+            # the left end is dropped and a rescan follows only where one lags
+            while buf and buf[0][2] is not None and buf[0][2] < us - win_us:
+                leave(buf.popleft(), "pruned", us)
+            if disordered and any(b[2] is not None and b[2] < us - win_us for b in buf):
+                for b in [b for b in buf if b[2] is not None and b[2] < us - win_us]:
+                    buf.remove(b)
+                    leave(b, "pruned", us)
+
+        if state.hasTimedOut:
+            if buf:
+                emit("shutdown", max_us)
+        else:
+            entries, orphans = _fold(pd.concat(list(pdfs), ignore_index=True))
+            for row in orphans.itertuples(index=False):
+                leave((row.file, int(row.line_no), None, None, row.line), "orphan", None)
+            entries = entries.sort_values(["sort_us", "file", "entry_no"], kind="stable", na_position="first")
+            for row in entries.itertuples(index=False):
+                us = None if pd.isna(row.us) else int(row.us)
+                entry = (row.file, int(row.entry_no), us, row.level, row.message)
+                if us is not None and max_us is not None and us < max_us - late_us:
+                    leave(entry, "late", us)
+                    continue
+                if us is None or (max_us is not None and us < max_us):
+                    disordered = True  # the buffer is no longer in time order
+                if us is not None:
+                    max_us = us if max_us is None else max(max_us, us)
+                    prune(us)
+                    if interval_us is not None and buf and last_flush is not None and us - last_flush >= interval_us:
+                        emit("time_elapsed", us)
+                    if last_flush is None:
+                        last_flush = us
+                if row.level in CONTROL:
+                    if buf:
+                        emit(CONTROL[row.level], us if us is not None else max_us)
+                    continue
+                buf.append(entry)
+                while max_entries is not None and len(buf) > max_entries:
+                    leave(buf.popleft(), "overflow", us)
+                if row.level == "ERROR":
+                    disordered = False
+                    emit("error_detected", us if us is not None else max_us)
+
+        state.update((flush_no, last_flush, max_us, [b[0] for b in buf], [b[1] for b in buf],
+                      [b[2] for b in buf], [b[3] for b in buf], [b[4] for b in buf]))
+        if buf and idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if out:
             df = pd.DataFrame(out, columns=["source_id", "flush_no", "reason", "flushed_at", "file", "entry_no",
                                             "ts", "level", "message"])
@@ -144,15 +170,15 @@ def make_flush_fn(window_seconds: int = 60, flush_interval_seconds: int | None =
 
 
 def stream_flush(lines: DataFrame, window_seconds: int = 60, flush_interval_seconds: int | None = None,
-                 max_entries: int = 10000, watermark: str = "60 seconds") -> DataFrame:
-    """Streaming lines ``(source_id, file, line_no, line)`` -> flushed
-    entries with their flush number and reason."""
-    prepared = prepare_lines(lines).withWatermark("ts", watermark)
+                 max_entries: int | None = None, allowed_lateness: str = "60 seconds", idle: str | None = None) -> DataFrame:
+    """Streaming lines ``(source_id, file, line_no, line)`` -> entries with
+    their flush number (-1 where they leave outside a flush) and reason."""
     fn = make_flush_fn(window_seconds, flush_interval_seconds, max_entries,
-                       allowed_lateness_seconds=_seconds(watermark))
-    return (prepared.select("source_id", "file", "line_no", "line", "is_head", "ts", "level")
+                       allowed_lateness_seconds=_seconds(allowed_lateness), idle_ms=1000 * _seconds(idle) if idle else None)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return (prepare_lines(lines).select("source_id", "file", "line_no", "line", "is_head", "ts", "level")
             .groupBy("source_id")
-            .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout))
 
 
 def _seconds(interval: str) -> int:
