@@ -81,22 +81,21 @@ def load_feedback(docs: DataFrame, json_col: str = "json", keep: tuple[str, ...]
         *keep, "signature", F.col("c.success").alias("success"), F.col("c.total").alias("total"))
 
 
-def feedback_counts(log: DataFrame, signature: str = "signature", success: str = "success") -> DataFrame:
-    """Feedback append log ``(signature, success BOOLEAN)`` -> counters."""
-    return log.groupBy(signature).agg(F.count_if(F.col(success)).alias("success"),
-                                      F.count(F.lit(1)).alias("total"))
-
-
 def success_rates(counts: DataFrame) -> DataFrame:
     """Success / total per signature; NULL below the minimum sample size."""
     return counts.withColumn("success_rate", F.when(F.col("total") >= MIN_FEEDBACK_SAMPLES,
                                                     F.col("success") / F.col("total")))
 
 
-def attach_history(proposals: DataFrame, rates: DataFrame, title: str = "title") -> DataFrame:
-    """Left outer join of proposals to the success rate of their title."""
-    r = rates.select(F.col("signature").alias("__sig"), F.col("success_rate").alias("history_score"))
-    return proposals.join(r, proposals[title] == r["__sig"], "left").drop("__sig")
+def attach_history(proposals: DataFrame, rates: DataFrame, title: str = "title", as_of: str | None = None) -> DataFrame:
+    """Left outer join of proposals to the success rate of their title; with
+    ``as_of`` (a column of both, such as the day) to the rate known then."""
+    r = rates.select(F.col("signature").alias("__sig"), *([F.col(as_of).alias("__as_of")] if as_of else []),
+                     F.col("success_rate").alias("history_score"))
+    on = proposals[title] == r["__sig"]
+    if as_of:
+        on = on & (proposals[as_of] == r["__as_of"])
+    return proposals.join(r, on, "left").drop("__sig", "__as_of")
 
 
 def _fmt_threshold(t: float) -> str:

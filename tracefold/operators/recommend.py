@@ -169,8 +169,11 @@ def parse_proposals(replies: DataFrame, key: str = "bundle_id", reply: str = "re
                                                  F.coalesce(a["arguments"], F.array().cast("array<string>"))
                                                  .alias("arguments"),
                                                  F.coalesce(a["context"], F.lit(".")).alias("context")))
+    # a missing type has a default, an explicit null is no known type
+    raw = F.coalesce(F.from_json(F.col("__j"), "actions array<map<string,string>>")["actions"], F.array())
     valid = F.col("__j").isNotNull() & F.col("__p").isNotNull() & _all(
-        typed, lambda a: a["type"].isin(*ACTION_TYPES))
+        typed, lambda a: a["type"].isin(*ACTION_TYPES)) & ~F.exists(
+        raw, lambda a: F.coalesce(F.map_contains_key(a, "type") & a["type"].isNull(), F.lit(False)))
     return p.select(key, valid.alias("accepted"),
                     *[F.when(valid, F.coalesce(F.col(f"__p.plan.{k}"), F.lit(v))).alias(k)
                       for k, v in PLAN_DEFAULTS.items()],

@@ -125,15 +125,6 @@ def _unit_rows(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return m / norms, ok
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two equal-length arrays as a native expression (for small
-    joins and checks; the kNN above uses the blocked matmul)."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.when((na > 0) & (nb > 0), dot / (na * nb))
-
-
 def upsert_incidents(*versions: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
     """Last write per id wins (highest ``version``), as one aggregation
     (partial per mapper) over the union of all writes."""

@@ -97,7 +97,7 @@ def graph_b(spark: SparkSession, sf_dir: str):
     from tracefold.plans.materialize import materialize
     pats = patterns_b(spark, sf_dir)
     services, depth = G.all_services(pats)
-    return pats, services, depth, materialize(G.order_by_depth(services, depth), "graph_nodes")
+    return pats, services, depth, materialize(G.build_graph(pats), "graph_nodes")
 
 
 @memo

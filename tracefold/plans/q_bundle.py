@@ -115,8 +115,14 @@ def q_assemble_bundles(spark, sf_dir):
 
 @register("S3_write_bundles")
 def q_write_bundles(spark, sf_dir):
-    from tracefold.sources.bundles import bundles_to_json
-    return bundles_to_json(FL.assembled_b(spark, sf_dir))
+    """The sink's documents, read back from its files and keyed by their id."""
+    import uuid
+
+    from tracefold.session import delete_on_exit, ensure_checkpoint_dir
+    from tracefold.sources.bundles import write_bundles
+    path = delete_on_exit(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundles-{uuid.uuid4().hex[:12]}")
+    write_bundles(FL.assembled_b(spark, sf_dir), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.bundle.id").alias("id"), F.col("value").alias("json"))
 
 
 @register("S4_read_bundles", _B + f"""

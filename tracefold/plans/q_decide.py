@@ -110,10 +110,7 @@ def history_as_of(spark, sf_dir) -> DataFrame:
 
 def scored(spark, sf_dir) -> DataFrame:
     p = proposals(spark, sf_dir)
-    h = history_as_of(spark, sf_dir).select(F.col("signature").alias("__sig"), F.col("day").alias("__day"),
-                                             F.col("success_rate").alias("history_score"))
-    j = p.join(h, (p["title"] == h["__sig"]) & (p["day"] == h["__day"]), "left").drop("__sig", "__day")
-    return D.score_proposals(j)
+    return D.score_proposals(D.attach_history(p, history_as_of(spark, sf_dir), as_of="day"))
 
 
 # --- oracle SQL ------------------------------------------------------------------
