@@ -312,9 +312,11 @@ def train(pages: list[str | None], skeletons: list[str] | None = None) -> Model:
 
 def fit(df: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES) -> Model:
     """Fit on a bounded sample: the pages whose text hashes lowest."""
-    sample = (df.select(F.col(html).alias("h")).filter(F.col("h").isNotNull()).withColumn("o", F.xxhash64("h"))
-              .orderBy("o", "h").limit(train_pages))
-    return train([r[0] for r in sample.select("h").collect()])
+    pages = df.select(F.col(html).cast("string").alias("h")).filter(F.col("h").isNotNull()).withColumn("o", F.xxhash64("h"))
+    # hashes first: only the chosen pages themselves go to the driver
+    chosen = [r[0] for r in pages.select("o").distinct().orderBy("o").limit(train_pages).collect()]
+    rows = pages.filter(F.col("o").isin(chosen)).groupBy("o").agg(F.min("h").alias("h")).orderBy("o").collect()
+    return train([r["h"] for r in rows])
 
 
 def main_text(df: DataFrame, html: str = "html", model: Model | None = None, out: str = "text") -> DataFrame:
