@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 # Fixed values that must equal the reference's behaviour.
 # ---------------------------------------------------------------------------
 
-# Variant A severity keywords, in the reference's priority order, with scores.
+# Variant A severity keywords, in the reference's priority order.
 SEVERITY_KEYWORDS_A = [
-    ("FATAL", 100), ("PANIC", 100), ("CRITICAL", 100), ("EMERG", 100),
-    ("ERROR", 80), ("EXCEPTION", 80), ("FAIL", 80), ("CRASH", 80),
-    ("WARN", 50), ("WARNING", 50),
-    ("INFO", 20), ("DEBUG", 10), ("TRACE", 5),
+    "FATAL", "PANIC", "CRITICAL", "EMERG",
+    "ERROR", "EXCEPTION", "FAIL", "CRASH",
+    "WARN", "WARNING",
+    "INFO", "DEBUG", "TRACE",
 ]
 
 # Variant A normalisation rules, applied in this order after timestamps are removed.
@@ -103,7 +103,7 @@ def severity_a(line: Column) -> Column:
     scan in keyword order (so WARN shadows WARNING and 'failover' is FAIL)."""
     bracket = F.upper(F.regexp_extract(line, r"\[(\w+)\]", 1))
     up = F.upper(line)
-    words = [w for w, _ in SEVERITY_KEYWORDS_A]
+    words = list(SEVERITY_KEYWORDS_A)
     by_bracket = reduce(lambda acc, w: acc.when(bracket == w, F.lit(w)),
                         words[1:], F.when(bracket == words[0], F.lit(words[0])))
     by_scan = reduce(lambda acc, w: acc.when(up.contains(w), F.lit(w)),

@@ -36,7 +36,7 @@ lines AS (
            WHEN 2 THEN concat('    at com.example.app.', CASE WHEN user_id % 2 = 0 THEN 'UserRepository' ELSE 'PaymentService' END,
              '.process(Main.java:', CAST(40 + event_id % 2 AS STRING), ')')
            ELSE 'Caused by: java.sql.SQLTimeoutException: Pool exhausted' END
-  FROM base CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) s WHERE event_type = 'error')
+  FROM (SELECT *, @each_of_123 AS k FROM base WHERE event_type = 'error') s)
 SELECT service AS source_id, line_no, line, concat(service, '-7d4f8b-xkz2p') AS container FROM lines
 """
 
@@ -44,12 +44,12 @@ SELECT service AS source_id, line_no, line, concat(service, '-7d4f8b-xkz2p') AS
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(source_id, line_no, line, container)`` derived from ``events``."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return spark.sql(LOG_LINES_SQL, events=events)
+    return spark.sql(LOG_LINES_SQL.replace("@each_of_123", "explode(array(1, 2, 3))"), events=events)
 
 
 def log_lines_cte() -> str:
     """The same SQL as a DuckDB CTE named ``log_lines``."""
-    body = LOG_LINES_SQL.strip()
+    body = LOG_LINES_SQL.replace("@each_of_123", "unnest([1, 2, 3])").strip()
     assert body.startswith("WITH ")
     head, _, select = body.rpartition("\nSELECT service AS source_id")
     ctes = head[len("WITH "):].replace("{events}", "events")

@@ -153,7 +153,7 @@ causes AS (SELECT *, {reason_sql('severity_score', 'dependency_score', 'count')}
 # --- variant A (line parser) -----------------------------------------------
 
 def severity_a_sql(line: str) -> str:
-    words = [w for w, _ in T.SEVERITY_KEYWORDS_A]
+    words = list(T.SEVERITY_KEYWORDS_A)
     br = f"upper(regexp_extract({line}, '\\[(\\w+)\\]', 1))"
     in_list = ", ".join(f"'{w}'" for w in words)
     scan = " ".join(f"WHEN contains(upper({line}), '{w}') THEN '{w}'" for w in words)

@@ -261,8 +261,7 @@ def repo_lines(spark, sf_dir) -> DataFrame:
     base = F.element_at(F.array(*[F.lit(x) for x in REPO_FILES]), idx + 1)
     x = d.select(F.concat(F.lit("repo/"), F.col("lang"), F.lit("/src/"), base).alias("file_path"), "doc_id",
                  F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    x = x.withColumn("__o", F.col("doc_id") * (1 << 20) + F.col("pos"))
-    x = running_sum(x, ["file_path"], ["__o"], F.lit(1), "line_no", numeric_bucket("__o", 1 << 30))
+    x = running_sum(x, ["file_path"], ["doc_id", "pos"], F.lit(1), "line_no", numeric_bucket("doc_id", 1024))
     return x.select("file_path", "line_no", "text")
 
 
