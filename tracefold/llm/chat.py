@@ -106,17 +106,22 @@ def link(messages: DataFrame) -> DataFrame:
 
 
 def reply_depth(messages: DataFrame) -> DataFrame:
-    """conv, turn, parent -> with depth and root, by pointer doubling."""
-    state = written(messages.select("conv", "turn", "parent", F.coalesce("parent", "turn").alias("up"),
+    """conv, turn, parent -> with depth and root, by pointer doubling.  Messages
+    whose pointer has reached a root are settled; a round joins only the others,
+    and only with messages of conversations that still have any."""
+    start = written(messages.select("conv", "turn", "parent", F.coalesce("parent", "turn").alias("up"),
                                     F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "replies")
+    settled, active, state = start.filter("parent is null"), start.filter("parent is not null"), start
     while True:
         above = state.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        new = written(state.join(above, ["conv", "up"]).select(
+        new = written(active.join(above, ["conv", "up"]).select(
             "conv", "turn", "parent", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
             (F.col("up") != F.col("up2")).alias("moved")), "replies")
-        if new.filter("moved").isEmpty():
-            return new.select("conv", "turn", "parent", "depth", F.col("up").alias("root"))
-        state = new.drop("moved")
+        settled = settled.unionByName(new.filter("not moved").drop("moved"))
+        active = new.filter("moved").drop("moved")
+        if active.isEmpty():
+            return settled.select("conv", "turn", "parent", "depth", F.col("up").alias("root"))
+        state = settled.unionByName(active).join(active.select("conv").distinct(), "conv", "left_semi")
 
 
 def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
