@@ -11,10 +11,11 @@ Candidates.  ``BANDS`` bands of ``ROWS`` coordinates: a pair of similarity 0.8
 shares no band with probability (1 - 0.8^6)^48 < 5e-7.  Copies - documents with
 equal sets - are merged before banding.  A band value shared by many documents is
 never expanded into pairs: every member is compared with one pivot per band value
-(three rounds with other pivots), confirmed links are merged into components, and
-only members of different components that still share a band value are compared
-directly, the smaller components against the rest.  So no candidate between
-unlinked documents is left out, and a large group costs its size, not its square.
+(three rounds with other pivots) and confirmed links are merged into components.
+What is left are pairs of different components that share a band value.  Their
+differences to a common centre bound the overlap of any two of them, so only pairs
+that this exact bound admits are compared (``_unresolved``).  So no link between
+different texts is left out, and a large group costs its size, not its square.
 
 Verification.  Links are confirmed on the full shingle sets, computed anew from
 both whole texts.
@@ -163,6 +164,31 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, b, inter, extra): how many shingles a and b share, and the hashes of
+    those that only a has."""
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
+        last, last_set = None, None
+        for b in batches:
+            inter, extra = [], []
+            for x, y in zip(b.column("ta"), b.column("tb")):
+                y = y.as_py()
+                if y != last:
+                    last, last_set = y, words.shingles(y, width)
+                s = words.shingles(x.as_py(), width)
+                new = np.setdiff1d(s, last_set, assume_unique=True)
+                inter.append(len(s) - len(new))
+                extra.append(new.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(inter, pa.int64()),
+                                              pa.array(extra, pa.list_(pa.int64()))], ["a", "b", "inter", "extra"])
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, inter long, extra array<long>")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of ``links`` (a, b): comp is the smallest node
     reachable.  Each round takes the smallest label among the neighbours and then
@@ -188,6 +214,51 @@ def _with_components(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _unresolved(m: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a band value and can still
+    be linked.
+
+    In each band value the largest component lends a centre P (the member that
+    shares most band values).  With i(x) = |x & P| and x\\P the rest of x, any two
+    sets share at most min(i(x), i(y)) + |x\\P & y\\P| shingles.  So a pair either
+    reaches the needed overlap within P alone, or must have shingles outside P in
+    common; the latter are counted by a join on (P, shingle) instead of pairing
+    the members.  Nothing that could be linked is left out."""
+    per = m.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    major = per.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps"),
+                                    F.sum("c").alias("size")).filter("comps > 1")
+    m = written(m.join(major.select("band", "major", "size"), "band"), "open-members")
+    centre = (m.filter("comp = major").groupBy("major", "node").agg(F.sum("size").alias("s"))
+              .groupBy("major").agg(F.max_by("node", F.struct("s", "node")).alias("p")))
+    m = m.join(centre, "major")
+    known = written(differences(m.select(F.col("node").alias("a"), F.col("p").alias("b")).distinct(), texts, width)
+                    .withColumnsRenamed({"a": "node", "b": "p"}), "differences")
+    need = F.ceil(F.col("percent") * (F.col("na") + F.col("nb")) / (100 + F.col("percent")))
+
+    def side(df: DataFrame, x: str, *keys: str) -> DataFrame:
+        return df.select(*keys, *[F.col(c).alias(k + x) for c, k in (("node", ""), ("n", "n"), ("comp", "c"), ("inter", "i"))],
+                         *([F.col("major")] if x == "a" else []))
+
+    def cross(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        """Different components, one of them not the largest; each pair once."""
+        return (left.join(right, on).filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major"))
+                                                                            | (F.col("a") < F.col("b"))))
+                .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).withColumn("percent", F.lit(percent)))
+
+    # within P: the overlap must be at least `percent` of either set
+    rows = m.join(known.select("node", "p", "inter"), ["node", "p"])
+    able = rows.filter(F.col("inter") * 100 >= F.col("n") * percent)
+    inside = (cross(side(able.filter("comp != major"), "a", "band"), side(able, "b", "band"), ["band"])
+              .filter(F.least("ia", "ib") >= need).select("a", "b"))
+    # outside P: count common shingles
+    nodes = (m.select("node", "n", "comp", "major", "p").distinct().join(known, ["node", "p"])
+             .withColumn("x", F.explode("extra")))
+    outside = (cross(side(nodes.filter("comp != major"), "a", "p", "x"), side(nodes, "b", "p", "x"), ["p", "x"])
+               .groupBy("a", "b", "p", "ia", "ib", "na", "nb", "percent").agg(F.count("*").alias("common"))
+               .filter(F.least("ia", "ib") + F.col("common") >= need).select("a", "b"))
+    return inside.unionByName(outside).distinct()
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
                     percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: ``key``, n_shingles, component_id, kept."""
@@ -218,18 +289,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
         good = written(verified(pairs, texts, width, percent), "confirmed")
         confirmed = good if confirmed is None else confirmed.unionByName(good)
         comps = components(confirmed)
-    # members of different components that share a band value: the smaller ones against the rest
-    m = _with_components(members, comps)
-    per = m.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    major = per.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"),
-                                    F.count("*").alias("comps")).filter("comps > 1")
-    m = m.join(major.select("band", "major"), "band")
-    minor = m.filter(F.col("comp") != F.col("major")).select("band", F.col("node").alias("a"), F.col("n").alias("na"),
-                                                            F.col("comp").alias("ca"))
-    rest = m.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "major")
-    pairs = (minor.join(rest, "band").filter(
-        (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b").distinct())
+    pairs = _unresolved(_with_components(members, comps), texts, width, percent)
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti").join(
             tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
