@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from tracefold.llm.common import written
 
 K = 5
-SLICES = 4
+#: More lists mean a lower cutoff for each and many more entries above it.
+SLICES = 2
 BLOCK = 4096
 #: Integer scale of the components.
 SCALE = 256
