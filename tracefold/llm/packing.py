@@ -43,7 +43,7 @@ SMALL = (CAPACITY // 8, CAPACITY // 4, CAPACITY // 3, CAPACITY // 2)
 #: Equal-cardinality groups of the large lengths.
 GROUPS = 64
 #: Words whose ids a task remembers, at most.
-_CACHE_WORDS = 1_200_000
+_CACHE_WORDS = 1_000_000
 _STOPS = (".", ",")
 #: Column generation rounds at most (each adds one configuration).
 COLUMNS = 600
@@ -116,6 +116,16 @@ class ChunkCoder(dict):
         return out
 
 
+_CODERS: dict[str, ChunkCoder] = {}
+
+
+def coder_for(path: str) -> ChunkCoder:
+    """One coder per Python worker, so that its words serve the worker's next task."""
+    if path not in _CODERS:
+        _CODERS[path] = ChunkCoder(path)
+    return _CODERS[path]
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n`` ids."""
     first = n % capacity or min(n, capacity)
@@ -135,7 +145,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkCoder(tokenizer)
+        coder = coder_for(tokenizer)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
