@@ -323,6 +323,28 @@ def test_license_windows_and_near_matches(spark, odd, empty):
     assert license_scan.scan(empty).collect() == []
 
 
+def test_license_lines_shorter_than_the_shingle_width(spark):
+    """Against all positions: a template of fewer than five words is found as a whole, and only then."""
+    import re
+    short = {"one": "Proprietary.", "two": "(c) Acme", "four": "All rights are reserved", "six": "do not copy or share this"}
+    rows = [(1, "All rights reserved."), (2, "a b (C) ACME, c d proprietary e"), (3, "rights reserved all"), (4, "Acme c"),
+            (5, "x " * 50 + "all rights\nARE reserved " * 3 + "do not copy or share this"), (6, ""), (7, None), (8, "proprietary")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = {}
+    for i, text in rows:
+        w = [x for x in re.split(r"[^a-z0-9]+", (text or "").lower()) if x]
+        for name, body in short.items():
+            t = [x for x in re.split(r"[^a-z0-9]+", body.lower()) if x]
+            at = [k for k in range(len(w) - len(t) + 1) if w[k:k + len(t)] == t]
+            if at:
+                expected[i, name] = at[0]
+    got = license_scan.scan(df, templates=short).collect()
+    assert {(r["doc_id"], r["template"]): r["first_word"] for r in got} == expected and len(got) == 5
+    assert all(r["containment"] == 1.0 for r in got)
+    assert [(r["doc_id"], r["template"]) for r in license_scan.scan(df).collect()] == [(1, "All rights reserved notice")]
+    assert license_scan.scan(df, templates={"none": " ... "}).collect() == []
+
+
 def test_quote_parsing_and_links(spark):
     own, quoted = chat.split_quotes("Hi\n\nAnn wrote:\n> Bob wrote:\n> > deep one\n> > deep two\n> top\n\nmine\n>again")
     assert own == ["Hi", "", "", "mine"]

@@ -1,7 +1,10 @@
 """Licence scans: MinHash bands over overlapping text windows retrieve licence
 templates, exact shingle containment verifies them.  DataFrame operations only.
 
-A template of ``s`` five-word shingles is looked for in windows of ``2 s``
+Shingles are of five words; a template of fewer words is one shingle of all its
+words, and the windows for it are made of shingles of that many words.
+
+A template of ``s`` shingles is looked for in windows of ``2 s``
 shingles that start every ``s``, so that an occurrence lies wholly inside one
 window.  At containment 0.8 the similarity of window and template is at least
 0.8 s / (2 s + 0.2 s) = 0.36; ``BANDS`` one-row bands then collide with probability
@@ -14,9 +17,10 @@ tests every shingle hash of every text against the templates' hash set.  The
 templates are a parameter, at most ``MAX_TEMPLATES``, so their bands are a small
 broadcast table.
 
-Defined results: null, empty and very short texts match nothing; rows repeating
-an id are scanned each, and their matches are reported together under the id
-(null ids too); a template needs at least five words; empty in, empty out.
+Defined results: null and empty texts and texts shorter than every template match
+nothing; rows repeating an id are scanned each, and their matches are reported
+together under the id (null ids too); a template needs at least one word; empty
+in, empty out.
 """
 
 from __future__ import annotations
@@ -42,6 +46,7 @@ TEMPLATES = {
     "CC-BY-SA notice": "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "All rights reserved": "All rights reserved. No part of this publication may be reproduced without prior written permission.",
+    "All rights reserved notice": "All rights reserved.",
     "Apache-2.0 header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
         "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
@@ -66,7 +71,7 @@ def scan_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), lambda w: w != "")
 
 
-def _hashes(words: Column, width: int) -> Column:
+def _hashes(words: Column, width: Column) -> Column:
     """64-bit hashes of the shingles of a word array; empty if it has too few words."""
     n = F.size(words)
     return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - (width - 1)),
@@ -81,28 +86,34 @@ def _bands(shingles: Column, bands: int) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str], width: int = WIDTH) -> DataFrame:
-    """template, shingles (distinct hashes), size - at most MAX_TEMPLATES rows."""
+    """template, width, shingles (distinct hashes), size - at most MAX_TEMPLATES rows."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
     rows = spark.createDataFrame(sorted(templates.items()), "template string, body string")
-    t = rows.withColumn("w", scan_words(F.col("body"))).withColumn(
-        "shingles", F.array_distinct(_hashes(F.col("w"), width)))
-    return t.filter(F.size("shingles") > 0).select("template", "shingles", F.size("shingles").alias("size"))
-
-
-def windows(df: DataFrame, template_rows: DataFrame, text: str, key: str, width: int = WIDTH) -> DataFrame:
-    """key, size, start, shingles: every window that holds a template shingle."""
-    known = sorted({h for r in template_rows.select("shingles").collect() for h in r[0]})
-    sizes = sorted({r[0] for r in template_rows.select("size").distinct().collect()})
-    w = df.select(F.col(key).alias("key"), scan_words(F.col(text)).alias("w"))
-    h = w.select("key", _hashes(F.col("w"), width).alias("h"))
+    w = computed(rows.withColumn("w", scan_words(F.col("body")))).filter(F.size("w") > 0)
+    t = w.withColumn("width", F.least(F.size("w"), F.lit(width))).withColumn(
+        "shingles", F.array_distinct(_hashes(F.col("w"), F.col("width"))))
+    return t.select("template", "width", "shingles", F.size("shingles").alias("size"))
+
+
+def windows(df: DataFrame, template_rows: DataFrame, text: str, key: str) -> DataFrame:
+    """key, width, size, start, shingles: every window that holds a template shingle."""
+    rows = template_rows.select("width", "size", "shingles").collect()
+    known = sorted({h for r in rows for h in r["shingles"]})
+    sizes = {w: sorted({r["size"] for r in rows if r["width"] == w}) for w in sorted({r["width"] for r in rows})}
+    if not sizes:
+        sizes = {WIDTH: [1]}  # no template: nothing is known, so nothing is found
+    w = computed(df.select(F.col(key).alias("key"), scan_words(F.col(text)).alias("w")))
+    h = computed(w.select("key", "w", F.explode(F.array(*[F.lit(x) for x in sizes])).alias("width"))
+                 .select("key", "width", _hashes(F.col("w"), F.col("width")).alias("h")))
     hit = F.filter(F.transform("h", lambda x, i: F.when(x.isin(known), i)), lambda i: i.isNotNull())
-    found = computed(h.select("key", "h", hit.alias("at"))).filter(F.size("at") > 0)
-    per_size = found.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    found = computed(h.select("key", "width", "h", hit.alias("at"))).filter(F.size("at") > 0)
+    of_width = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    per_size = found.withColumn("size", F.explode(of_width[F.col("width")]))
     number = F.array_distinct(F.flatten(F.transform("at", lambda i: F.filter(
         F.array(F.floor(i / F.col("size")), F.floor(i / F.col("size")) - 1), lambda k: k >= 0))))
-    return per_size.select("key", "size", "h", F.explode(number).alias("k")).select(
-        "key", "size", (F.col("k") * F.col("size")).alias("start"),
+    return per_size.select("key", "width", "size", "h", F.explode(number).alias("k")).select(
+        "key", "width", "size", (F.col("k") * F.col("size")).alias("start"),
         F.slice("h", (F.col("k") * F.col("size") + 1).cast("int"), F.col("size") * 2).alias("shingles"))
 
 
@@ -110,11 +121,11 @@ def scan(df: DataFrame, text: str = "text", key: str = "doc_id", templates: dict
          containment: float = CONTAINMENT, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
     """key, template, containment (the best window's), n_windows, first_word."""
     t = template_table(df.sparkSession, templates or TEMPLATES, width)
-    win = windows(df, t, text, key, width)
-    index = t.select("template", "size", F.col("shingles").alias("wanted"),
+    win = windows(df, t, text, key)
+    index = t.select("template", "width", "size", F.col("shingles").alias("wanted"),
                      F.posexplode(_bands(F.col("shingles"), bands)).alias("band", "value"))
-    banded = win.select("key", "size", "start", "shingles", F.posexplode(_bands(F.col("shingles"), bands)).alias("band", "value"))
-    pairs = (banded.join(F.broadcast(index), ["size", "band", "value"])  # bounded by MAX_TEMPLATES * bands
+    banded = win.select("key", "width", "size", "start", "shingles", F.posexplode(_bands(F.col("shingles"), bands)).alias("band", "value"))
+    pairs = (banded.join(F.broadcast(index), ["width", "size", "band", "value"])  # bounded by MAX_TEMPLATES * bands
              .select("key", "template", "size", "start", "shingles", "wanted"))
     share = F.size(F.array_intersect("shingles", "wanted")) / F.col("size")
     first = F.array_min(F.transform(F.filter(F.transform("shingles", lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
