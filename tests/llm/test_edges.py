@@ -94,6 +94,25 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert minhash.near_duplicates(empty).collect() == []
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Each text is judged by itself: its id neither links it to nor takes it away with another text of that id."""
+    rng = random.Random(12)
+    a, b, x, y, z = (sentence(rng, 60) for _ in range(5))
+    rows = [(1, a), (2, a), (2, b), (4, x + " more"), (5, x), (5, y), (9, y + " more"), (9, y + " more"), (7, z), (7, z + " more"),
+            (None, a), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r[0], r[1]): (r[2], r[3]) for r in minhash._judged(df, "text", "doc_id").join(
+        df.select(minhash.text_id(F.col("text"))[0], "text").distinct(), "t1").select("k", "text", "component_id", "kept").collect()}
+    once = got.pop((7, z)), got.pop((7, z + " more"))
+    assert sorted(once) == [(7, False), (7, True)]
+    assert got == {(1, a): (1, True), (2, a): (1, False), (2, b): (2, True), (4, x + " more"): (4, True), (5, x): (4, False),
+                   (5, y): (5, True), (9, y + " more"): (5, False), (None, a): (None, True), (2, None): (2, True)}
+    kept = Counter(tuple(r) for r in minhash.drop_near_duplicates(df).collect())
+    assert sum(n for (i, _), n in kept.items() if i == 7) == 1
+    assert {r: n for r, n in kept.items() if r[0] != 7} == {
+        (1, a): 1, (2, b): 1, (4, x + " more"): 1, (5, y): 1, (None, a): 1, (2, None): 1}
+
+
 def test_near_duplicate_chains_and_large_group(spark):
     """A chain whose ends are unlike, a large group of near copies and strangers."""
     rng = random.Random(8)

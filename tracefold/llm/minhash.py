@@ -23,7 +23,8 @@ both whole texts.
 Defined results: a text that is null, empty or without words has an empty set and
 is linked with nothing; fewer words than the shingle width make one shingle of the
 whole sequence; rows with a null id take no part (component null, kept true);
-rows that repeat an id are judged each by its own text; empty in, empty out.
+rows that repeat an id are judged each by its own text: sets are the nodes, an id
+only names a component; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import written
+from tracefold.llm.common import text_id, written
 
 #: Shingle width and similarity (percent) unless the caller says otherwise.
 WIDTH = 5
@@ -110,8 +111,9 @@ def band_hashes(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def sketches(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, bands: int = BANDS,
              rows: int = ROWS) -> DataFrame:
-    """key, n_shingles, s1, s2 (128-bit identity of the set), bands (null if empty)."""
-    src = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    """key, t1, t2 (identity of the text), n_shingles, s1, s2 (128-bit identity of the set), bands (null if empty)."""
+    t = F.col(text).cast("string")
+    src = df.select(F.col(key).cast("long").alias("k"), t.alias("t"), *text_id(t))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -131,11 +133,11 @@ def sketches(df: DataFrame, text: str = "text", key: str = "doc_id", width: int
                 offsets = np.concatenate([[0], np.cumsum(np.asarray(has, dtype=np.int32) * bands)]).astype(np.int32)
                 ident = np.stack(ident)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("k"), pa.array(size, pa.int64()), pa.array(ident[:, 0].copy()), pa.array(ident[:, 1].copy()),
+                    [b.column("k"), b.column("t1"), b.column("t2"), pa.array(size, pa.int64()), pa.array(ident[:, 0].copy()), pa.array(ident[:, 1].copy()),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.ravel()))],
-                    ["k", "n_shingles", "s1", "s2", "bands"])
+                    ["k", "t1", "t2", "n_shingles", "s1", "s2", "bands"])
 
-    return src.mapInArrow(run, "k long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return src.mapInArrow(run, "k long, t1 long, t2 long, n_shingles long, s1 long, s2 long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -259,18 +261,21 @@ def _unresolved(m: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return inside.unionByName(outside).distinct()
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH,
-                    percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: ``key``, n_shingles, component_id, kept."""
+def _judged(df: DataFrame, text: str, key: str, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS,
+            rows: int = ROWS) -> DataFrame:
+    """One row per input row: k, t1, t2, n_shingles, component_id, kept."""
     sk = written(sketches(df, text, key, width, bands, rows), "sketches")
     sets = written(sk.filter("n_shingles > 0 and k is not null").groupBy("s1", "s2").agg(
-        F.min("k").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "sets")
+        F.min("k").alias("label"), F.min(F.struct("t1", "t2")).alias("sample"), F.first("n_shingles").alias("n"),
+        F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "sets")
     values = sets.select("node", "n", F.explode("bands").alias("band"))
     shared = values.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     members = written(values.join(shared.select("band"), "band"), "members")
     wanted = members.select("node").distinct()
-    texts = written(df.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("t"))
-                    .join(wanted, "node"), "texts")
+    samples = sets.join(wanted, "node").select("node", "sample.*")
+    t = F.col(text).cast("string")
+    texts = written(df.select(*text_id(t), t.alias("t")).groupBy("t1", "t2").agg(F.first("t").alias("t"))
+                    .join(samples, ["t1", "t2"]).select("node", "t"), "texts")
     confirmed, comps, tried = None, None, None
     for turn in range(PIVOT_ROUNDS):
         m = _with_components(members, comps)
@@ -298,20 +303,30 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", widt
         good = written(verified(pairs, texts, width, percent), "confirmed")
         confirmed = good if confirmed is None else confirmed.unionByName(good)
         comps = components(confirmed)
-    sets = sets.select("s1", "s2", "node")
+    # a component is named by its smallest id; of the sets of that id, one is the first
+    own = F.struct("label", "s1", "s2")
+    sets = sets.select("s1", "s2", "node", own.alias("own"))
     if comps is not None:
-        sets = sets.join(comps, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("component_id"))
+        firsts = sets.join(comps, "node").groupBy("comp").agg(F.min("own").alias("first"))
+        sets = sets.join(comps.join(firsts, "comp").select("node", "first"), "node", "left").select(
+            "s1", "s2", F.coalesce("first", "own").alias("first"))
     else:
-        sets = sets.withColumnRenamed("node", "component_id")
-    out = sk.join(sets, ["s1", "s2"], "left")
-    comp = F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(F.when(F.col("k").isNotNull(), F.col("component_id")))
-    return out.select(F.col("k").alias(key), "n_shingles", comp.alias("component_id"),
-                      F.coalesce(F.col("k") == comp, F.lit(True)).alias("kept"))
+        sets = sets.withColumnRenamed("own", "first")
+    out = sk.join(sets.select("s1", "s2", "first"), ["s1", "s2"], "left")
+    comp = F.when(F.col("n_shingles") == 0, F.col("k")).otherwise(F.when(F.col("k").isNotNull(), F.col("first.label")))
+    kept = (F.col("n_shingles") == 0) | (F.struct(F.col("k").alias("label"), "s1", "s2") == F.col("first"))
+    return out.select("k", "t1", "t2", "n_shingles", comp.alias("component_id"),
+                      (F.col("k").isNull() | F.coalesce(kept, F.lit(True))).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """One row per input row: ``key``, n_shingles, component_id, kept."""
+    return _judged(df, text, key, **options).select(F.col("k").alias(key), "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` whose document is the first of its group, with their own
     columns.  Rows repeating a kept (id, text) are that same document and stay."""
-    gone = near_duplicates(df, text, key, **options).filter("not kept").select(F.col(key).alias("k")).distinct()
-    rows = df.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("k"))
-    return rows.join(gone, "k", "left_anti").select("row.*")
+    gone = _judged(df, text, key, **options).filter("not kept").select("k", "t1", "t2").distinct()
+    rows = df.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("k"), *text_id(F.col(text).cast("string")))
+    return rows.join(gone, ["k", "t1", "t2"], "left_anti").select("row.*")
