@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import chat, html_extract, license_scan, minhash, mixing, packing, quality, sharding, suffix, topk
+from tracefold.llm import (chat, html_extract, lexical, license_scan, minhash, mixing, packing, quality, resample,
+                           sharding, suffix, topk)
 from tracefold.llm.common import load
 
 #: Byte-level BPE vocabulary file that packing uses.
@@ -281,6 +282,72 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(load(spark, sf_dir, "documents")).withColumn("containment", F.round("containment", 6))
 
 
+#: crc32 of each distinct word ``w``, as SQL over a table ``voc(w)``.
+CRC_SQL = """
+crc_table AS (
+  SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(0, 256))::BIGINT AS i))),
+crcs AS MATERIALIZED (
+  SELECT w, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, strlen(w)),
+    lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1]))) AS crc FROM voc, crc_table)"""
+
+BYTE_WORDS_SQL = ("regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+                  "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+RESAMPLE_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {BYTE_WORDS_SQL.format('text')} AS ws FROM documents),
+dw AS MATERIALIZED (SELECT doc_id, unnest(ws) AS w FROM d),
+bw AS MATERIALIZED (SELECT unnest({BYTE_WORDS_SQL.format('text')}) AS w FROM benchmark),
+voc AS (SELECT w FROM dw UNION SELECT w FROM bw),
+{CRC_SQL},
+b AS MATERIALIZED (SELECT w, crc % {resample.BUCKETS} AS bucket FROM crcs),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN b USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN b USING (w) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM dw) + {resample.BUCKETS} AS ns, (SELECT count(*) FROM bw) + {resample.BUCKETS} AS nt),
+g AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ns / ((coalesce(s, 0) + 1)::DOUBLE * nt)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket), n),
+e AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM dw JOIN b USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+h AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+             ('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN e USING (doc_id)),
+o AS (SELECT doc_id, n_features, weight,
+             weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM o
+      WHERE n_features >= {resample.MIN_WORDS})
+SELECT o.*, CASE WHEN rank <= {resample.SHARE[0]} * n // {resample.SHARE[1]} THEN rank END AS rank
+FROM o LEFT JOIN r USING (doc_id)"""
+
+
+@register("op11_importance_resampling", RESAMPLE_SQL)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return r.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SEARCH_SQL = f"""
+WITH dw AS MATERIALIZED (
+  SELECT doc_id, unnest({BYTE_WORDS_SQL.format('text')}) AS w FROM documents),
+len AS (SELECT doc_id, count(*) AS n FROM dw GROUP BY doc_id),
+size AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM len),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM dw GROUP BY doc_id, w),
+df AS (SELECT w, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+       FROM tf, size GROUP BY w, docs),
+qt AS (SELECT item_id, unnest({BYTE_WORDS_SQL.format('text')}) AS w FROM benchmark),
+s AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT
+         AS score
+  FROM qt JOIN tf USING (w) JOIN df USING (w) JOIN len USING (doc_id), size GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= {lexical.TOP}"""
+
+
+@register("op12_ranked_lexical_search", SEARCH_SQL)
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
 
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
