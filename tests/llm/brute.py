@@ -1,7 +1,9 @@
 """Plain Python versions of the training-data operators, for the tests."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,3 +67,53 @@ def strip(rows, length=200):
                 hit[k:k + length] = b"\1" * length
         out[i] = bytes(c for c, h in zip(r, hit) if not h).decode("utf-8", "ignore")
     return out
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def ascii_lower(text):
+    return (text or "").translate({c: c + 32 for c in range(65, 91)})
+
+
+def resampled(rows, target, buckets=10000, orders=1, share=(10, 100), min_words=20):
+    """Sorted (id, n_features, weight, score, rank) of (id, text) rows."""
+    def features(text):
+        ws = WORD.findall(ascii_lower(text))
+        return [" ".join(ws[i:i + n]) for n in range(1, orders + 1) for i in range(len(ws) - n + 1)], len(ws)
+
+    def bucket(f):
+        return zlib.crc32(f.encode()) % buckets
+
+    s = Counter(bucket(f) for _, t in rows for f in features(t)[0])
+    t = Counter(bucket(f) for x in target for f in features(x)[0])
+    ns, nt = sum(s.values()) + buckets, sum(t.values()) + buckets
+    out = []
+    for i, text in rows:
+        fs, n = features(text)
+        weight = sum(math.floor(1000 * math.log((t[b] + 1) * ns / ((s[b] + 1) * nt))) for b in map(bucket, fs))
+        h = int(hashlib.sha256(f"2024:{'null' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n))
+    able = sorted((o for o in out if o[4] >= min_words), key=lambda o: (-o[3], o[0] is None, o[0] or 0))
+    drawn = {id(o): n for n, o in enumerate(able[:share[0] * len(able) // share[1]], 1)}
+    return sorted(((*o[:4], drawn.get(id(o))) for o in out), key=str)
+
+
+def ranked(docs, items, k=10):
+    """(item, rank, id, score) rows by scoring every document."""
+    bags = [(i, Counter(WORD.findall(ascii_lower(t)))) for i, t in docs]
+    bags = [(i, b) for i, b in bags if b]
+    n_docs, total = len(bags), sum(sum(b.values()) for _, b in bags)
+    df = Counter(w for _, b in bags for w in b)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, b in bags:
+            m = 25 + 75 * sum(b.values()) * n_docs // total
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[w] + 1))) * (1000000000 * b[w] // (1000 * b[w] + 8 * m))
+                        for w in WORD.findall(ascii_lower(text)) if w in b)
+            if score > 0:
+                scored.append((-score, i is None, i))
+        scored.sort(key=lambda x: (x[0], x[1], x[2] or 0))
+        out.extend((item, r, x[2], -x[0]) for r, x in enumerate(scored[:k], 1))
+    return sorted(out, key=str)

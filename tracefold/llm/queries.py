@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import (chat, html_extract, lexical, license_scan, minhash, mixing, packing, quality, resample,
-                           sharding, suffix, topk)
+from tracefold.llm import (chat, html_extract, lexical, license_scan, minhash, mixing, packing, quality, quality_model,
+                           resample, sharding, suffix, topk)
 from tracefold.llm.common import load
 
 #: Byte-level BPE vocabulary file that packing uses.
@@ -349,6 +349,11 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+@register("op13_quality_classifier")
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
