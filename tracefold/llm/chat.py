@@ -5,21 +5,28 @@ at a level (the number of marks), and one message can hold nested levels.
 
 1. Each text is parsed once into its own lines and its quoted passages (runs of
    lines at one level); an attribution line right above a passage is dropped.
-2. Lines are normalised (lower case, letters and digits only) and hashed.  A quoted
-   line belongs to the latest earlier message of its conversation that wrote the
-   line itself: an as-of scan per (conversation, line hash), cut into buckets of
-   turns, so that a line everybody writes is not one task.
-3. A passage belongs to the message that wrote most of its lines (ties: the latest).
-   The message replied to is the origin of the passage with the lowest level, the
+2. Lines are normalised (lower case, letters and digits only; lines without any
+   are left out) and a passage is hashed as a whole.  An original message can
+   hold it as any run of its own lines: runs are hashed only where a line begins
+   some passage of the conversation, and only in the lengths asked for.
+3. Passage hashes join run hashes: a passage belongs to the latest earlier message
+   that wrote it, an as-of scan per (conversation, passage hash) cut into buckets
+   of messages, so that a passage everybody writes is not one task.
+4. The message replied to is the origin of the passage with the lowest level, the
    last of these; without a linked quote it is the previous message.
-4. Depth in the reply tree comes from pointer doubling over (conversation, turn).
-   Messages are numbered in reply order - by depth, then turn - and formatted
+5. Depth in the reply tree comes from pointer doubling over message numbers.
+   Messages are placed in reply order - by depth, then number - and formatted
    without their quotes.
 
-Defined results: a null text is empty; null conversation ids form one conversation
-of their own; messages repeating (conversation, turn) are merged into the one with
-the smallest (role, text); a null turn counts as -1; a quote with no origin is
-still cut; empty in, empty out.
+Messages are numbered by (turn, role, text) within their conversation, nulls
+first, and every link is between numbers, so messages that share a turn stay
+apart.
+
+Defined results: a null text or role is empty; rows equal in all four fields are
+one message, no others are merged; a message without a conversation id is a
+conversation of its own; ids and turns keep their type and their nulls; a quote
+with no origin is still cut; very long texts are parsed whole; only the four
+columns are read, so no extra column can clash; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -36,7 +43,6 @@ from tracefold.operators.scan import carry_forward_max, numeric_bucket, ordinal
 
 _MARKS = re.compile(r"\A[ \t]*((?:>[ \t]?)+)")
 _ATTRIBUTION = re.compile(r"\A.{0,200}\bwrote:\s*\Z")
-NO_CONVERSATION = -(1 << 62)
 
 
 def split_quotes(text: str | None) -> tuple[list[str], list[tuple[int, int, str]]]:
@@ -86,76 +92,95 @@ def line_hash(line: Column) -> Column:
     return F.when(plain != "", F.md5(plain))
 
 
+def runs(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """conv, n, h: hashes of the runs of own lines that begin like a passage of the
+    conversation and are as long."""
+    lines = messages.select("conv", "n", F.filter(F.transform(F.split("own", "\n"), line_hash),
+                                                  lambda h: h.isNotNull()).alias("lines"))
+    starts = lines.select("conv", "n", F.posexplode("lines").alias("i", "first"))
+    wanted = starts.join(asked.select("conv", "first", "size").distinct(), ["conv", "first"])
+    places = wanted.groupBy("conv", "n").agg(F.collect_set(F.struct("i", "size")).alias("places"))
+    cut = F.transform(F.filter("places", lambda p: p["i"] + p["size"] <= F.size("lines")),
+                      lambda p: F.md5(F.concat_ws(",", F.slice("lines", p["i"] + 1, p["size"]))))
+    return lines.join(places, ["conv", "n"]).select("conv", "n", F.explode(F.array_distinct(cut)).alias("h"))
+
+
 def link(messages: DataFrame) -> DataFrame:
-    """conv, turn, passage, level, origin (turn or null) of every quoted passage."""
-    wrote = (messages.select("conv", "turn", F.explode(F.split("own", "\n")).alias("line"))
-             .select("conv", "turn", line_hash(F.col("line")).alias("h")).filter("h is not null").distinct()
-             .select("conv", "h", "turn", F.lit(1).alias("order"), F.col("turn").alias("mark"),
-                     F.lit(None).cast("int").alias("passage"), F.lit(None).cast("int").alias("level")))
-    quoted = (messages.select("conv", "turn", F.explode("quotes").alias("q"))
-              .select("conv", "turn", "q.passage", "q.level", line_hash(F.col("q.line")).alias("h")))
-    asked = quoted.filter("h is not null").select(
-        "conv", "h", "turn", F.lit(0).alias("order"), F.lit(None).cast("long").alias("mark"), "passage", "level")
-    # quotes of a turn come before what the turn writes itself, so "last so far" is an earlier turn
-    events = wrote.unionByName(asked)
-    seen = carry_forward_max(events, ["conv", "h"], ["turn", "order"], F.col("mark"), "origin", numeric_bucket("turn", 64))
-    votes = (seen.filter("order = 0 and origin is not null").groupBy("conv", "turn", "passage", "origin")
-             .agg(F.count("*").alias("lines")))
-    best = votes.groupBy("conv", "turn", "passage").agg(F.max_by("origin", F.struct("lines", "origin")).alias("origin"))
-    return quoted.select("conv", "turn", "passage", "level").distinct().join(best, ["conv", "turn", "passage"], "left")
+    """conv, n, passage, level, origin (number or null) of every quoted passage."""
+    quoted = messages.select("conv", "n", F.posexplode("quotes").alias("i", "q")).select(
+        "conv", "n", "i", "q.passage", "q.level", line_hash(F.col("q.line")).alias("h"))
+    whole = F.transform(F.sort_array(F.collect_list(F.when(F.col("h").isNotNull(), F.struct("i", "h")))), lambda x: x["h"])
+    passages = written(quoted.groupBy("conv", "n", "passage", "level").agg(whole.alias("lines")).select(
+        "conv", "n", "passage", "level", F.get("lines", F.lit(0)).alias("first"), F.size("lines").alias("size"),
+        F.when(F.size("lines") > 0, F.md5(F.concat_ws(",", "lines"))).alias("h")), "quotes")
+    asked = passages.filter("h is not null")
+    wrote = runs(messages, asked).select("conv", "h", "n", F.lit(1).alias("order"), F.col("n").alias("mark"),
+                                         F.lit(None).cast("int").alias("passage"))
+    events = wrote.unionByName(asked.select("conv", "h", "n", F.lit(0).alias("order"), F.lit(None).cast("long").alias("mark"),
+                                            "passage"))
+    # quotes of a message come before what it writes itself, so "last so far" is an earlier message
+    seen = carry_forward_max(events, ["conv", "h"], ["n", "order"], F.col("mark"), "origin", numeric_bucket("n", 64))
+    origins = seen.filter("order = 0").select("n", "passage", "origin")
+    return passages.select("conv", "n", "passage", "level").join(origins, ["n", "passage"], "left")
 
 
 def reply_depth(messages: DataFrame) -> DataFrame:
-    """conv, turn, parent -> with depth and root, by pointer doubling.  Messages
+    """conv, n, parent -> with depth and root, by pointer doubling.  Messages
     whose pointer has reached a root are settled; a round joins only the others,
     and only with messages of conversations that still have any."""
-    start = written(messages.select("conv", "turn", "parent", F.coalesce("parent", "turn").alias("up"),
+    start = written(messages.select("conv", "n", "parent", F.coalesce("parent", "n").alias("up"),
                                     F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "replies")
     settled, active, state = start.filter("parent is null"), start.filter("parent is not null"), start
     while True:
-        above = state.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        new = written(active.join(above, ["conv", "up"]).select(
-            "conv", "turn", "parent", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
+        above = state.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        new = written(active.join(above, "up").select(
+            "conv", "n", "parent", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"),
             (F.col("up") != F.col("up2")).alias("moved")), "replies")
         settled = settled.unionByName(new.filter("not moved").drop("moved"))
         active = new.filter("moved").drop("moved")
         if active.isEmpty():
-            return settled.select("conv", "turn", "parent", "depth", F.col("up").alias("root"))
+            return settled.select("n", "depth", F.col("up").alias("root"))
         state = settled.unionByName(active).join(active.select("conv").distinct(), "conv", "left_semi")
 
 
+def numbered(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """The distinct messages with ``n``, increasing in (conversation, turn, role,
+    text): dealt out by range, sorted and counted up part by part."""
+    base = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
+                     F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
+                     F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).distinct()
+    order = ["conv_id", "turn", "role", "text"]
+    ranged = base.repartitionByRange(*order).sortWithinPartitions(*order)
+    own = F.when(F.col("conv_id").isNull(), F.concat(F.lit("message "), F.col("n").cast("string"))).otherwise(
+        F.concat(F.lit("id "), F.col("conv_id").cast("string")))
+    return written(ranged.withColumn("n", F.monotonically_increasing_id()).withColumn("conv", own), "messages")
+
+
 def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                 text: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, parent_turn, root_turn, depth,
     position, n_passages, n_linked, text (own lines), formatted."""
-    base = df.select(F.coalesce(F.col(conv).cast("long"), F.lit(NO_CONVERSATION)).alias("conv"),
-                     F.coalesce(F.col(turn).cast("long"), F.lit(-1)).alias("turn"),
-                     F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
-                     F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    base = base.groupBy("conv", "turn").agg(F.min(F.struct("role", "text")).alias("m")).select(
-        "conv", "turn", "m.role", "m.text")
-    messages = written(parse(base, "text"), "messages")
-    passages = written(link(messages), "passages")
-    per = passages.groupBy("conv", "turn").agg(
+    messages = written(parse(numbered(df, conv, turn, role, text), "text"), "parsed")
+    passages = link(messages)
+    per = passages.groupBy("n").agg(
         F.count("*").alias("n_passages"), F.count("origin").alias("n_linked"),
         F.max(F.when(F.col("origin").isNotNull(), F.struct(-F.col("level"), F.col("passage"), F.col("origin")))).alias("best"))
     # the previous message of the conversation, as a scan that spreads a long conversation
-    order = messages.select("conv", "turn")
-    marks = order.select("conv", "turn", F.lit(1).alias("order"), F.col("turn").alias("mark")).unionByName(
-        order.select("conv", "turn", F.lit(0).alias("order"), F.lit(None).cast("long").alias("mark")))
-    before = carry_forward_max(marks, ["conv"], ["turn", "order"], F.col("mark"), "previous",
-                               numeric_bucket("turn", 64)).filter("order = 0").select("conv", "turn", "previous")
-    parents = (order.join(before, ["conv", "turn"]).join(per, ["conv", "turn"], "left")
-               .select("conv", "turn", F.coalesce("best.origin", "previous").alias("parent"),
-                       F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")))
-    parents = written(parents, "parents")
-    tree = reply_depth(parents).select("conv", "turn", "depth", "root")
-    all_of = (messages.select("conv", "turn", "role", "own").join(parents, ["conv", "turn"]).join(tree, ["conv", "turn"]))
-    numbered = ordinal(all_of, ["conv"], ["depth", "turn"], F.struct("depth", numeric_bucket("turn", 64).alias("t")),
-                       "position")
-    return numbered.select(
-        F.when(F.col("conv") != NO_CONVERSATION, F.col("conv")).alias(conv), "turn", "role",
-        F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), "depth",
+    marks = messages.select("conv", "n", F.lit(1).alias("order"), F.col("n").alias("mark")).unionByName(
+        messages.select("conv", "n", F.lit(0).alias("order"), F.lit(None).cast("long").alias("mark")))
+    before = carry_forward_max(marks, ["conv"], ["n", "order"], F.col("mark"), "previous",
+                               numeric_bucket("n", 64)).filter("order = 0").select("conv", "n", "previous")
+    parents = written(before.join(per, "n", "left").select(
+        "conv", "n", F.coalesce("best.origin", "previous").alias("parent"),
+        F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "parents")
+    tree = reply_depth(parents)
+    whole = messages.select("conv", "n", "conv_id", "turn", "role", "own").join(parents.drop("conv"), "n").join(tree, "n")
+    turns = messages.select("n", "turn")
+    named = whole.join(turns.select(F.col("n").alias("parent"), F.col("turn").alias("parent_turn")), "parent", "left").join(
+        turns.select(F.col("n").alias("root"), F.col("turn").alias("root_turn")), "root")
+    placed = ordinal(named, ["conv"], ["depth", "n"], F.struct("depth", numeric_bucket("n", 64).alias("t")), "position")
+    return placed.select(
+        F.col("conv_id").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), "parent_turn", "root_turn", "depth",
         F.col("position").cast("long").alias("position"), "n_passages", "n_linked", F.col("own").alias("text"),
         F.concat(F.lit("<|"), "role", F.lit("|>\n"), "own").alias("formatted"))
 

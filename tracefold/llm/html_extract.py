@@ -43,7 +43,9 @@ BLOCK = frozenset(
     "pre section select summary table tbody td tfoot th thead title tr ul video audio iframe object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never text of the page.
-SILENT = frozenset("script style template head title noscript iframe object textarea select svg math".split())
+SILENT = frozenset("script style template head title noscript iframe object textarea select svg".split())
+#: Elements that may stand in a head; any other tag, or text, ends one that is open.
+HEAD_CONTENT = frozenset("html head title base link meta style script noscript template".split())
 #: An opening tag closes these open elements, up to the given borders.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -118,8 +120,8 @@ class Dom(HTMLParser):
             self.fresh = True
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        if tag == "body":
-            self._close(("head",), ())
+        if self.silent and tag not in HEAD_CONTENT:
+            self._close(("head",), SILENT - {"head"})
         elif tag == "br":
             self.handle_data(" ")
         family, mark = "", None
@@ -155,6 +157,8 @@ class Dom(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.tag[self.stack[-1]] == "head" and not data.isspace():
+            self._close(("head",), ())
         if self.silent:
             return
         n = len(data)

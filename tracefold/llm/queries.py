@@ -199,7 +199,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 @register("op6_exact_top_k", TOP_K_SQL)
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k_embeddings(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    out = topk.top_k_embeddings(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return out.select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("vec_id").cast("long").alias("vec_id"),
+                      "score")
 
 
 @register("op8_html_extraction")
@@ -209,34 +211,24 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAT_SQL = """
-WITH RECURSIVE c AS (
-  SELECT conv_id, turn, any_value(role) AS role, any_value(coalesce(text, '')) AS text FROM conversations
-  GROUP BY conv_id, turn),
-l AS MATERIALIZED (
-  SELECT DISTINCT conv_id, turn, x AS line, trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS h
-  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x FROM c)),
-o AS MATERIALIZED (SELECT DISTINCT conv_id, turn, h FROM l WHERE h <> ''),
-m AS (
-  SELECT c.*, CASE WHEN turn > 0 AND turn % 5 <> 3 THEN CASE WHEN turn % 4 = 0 THEN turn - 2 ELSE turn - 1 END END AS to1
+WITH RECURSIVE c AS MATERIALIZED (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+s AS MATERIALIZED (
+  SELECT *, chr(1) || array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+    lambda x: trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g'))), lambda x: x <> ''), chr(1)) || chr(1) AS lines
   FROM c),
+m AS (
+  SELECT s.*, CASE WHEN turn > 0 AND turn % 5 <> 3 THEN CASE WHEN turn % 4 = 0 THEN turn - 2 ELSE turn - 1 END END AS to1
+  FROM s),
 g AS (
-  SELECT m.conv_id, m.turn, a.turn AS t1, b.turn AS t2 FROM m
+  SELECT m.conv_id, m.turn, a.turn AS t1, a.lines AS l1, b.turn AS t2, b.lines AS l2 FROM m
   LEFT JOIN m a ON a.conv_id = m.conv_id AND a.turn = m.to1
   LEFT JOIN m b ON b.conv_id = a.conv_id AND b.turn = a.to1),
-q AS (
-  SELECT g.conv_id, g.turn, 1 AS level, x.line, x.h FROM g JOIN (SELECT conv_id, turn, line, h, n FROM (
-    SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
-    FROM c) JOIN l USING (conv_id, turn, line)) x ON x.conv_id = g.conv_id AND x.turn = g.t1
-  UNION ALL
-  SELECT g.conv_id, g.turn, 2, x.line, x.h FROM g JOIN (SELECT conv_id, turn, line, h, n FROM (
-    SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
-    FROM c) JOIN l USING (conv_id, turn, line)) x ON x.conv_id = g.conv_id AND x.turn = g.t2),
-w AS (
-  SELECT q.conv_id, q.turn, level, q.line, (SELECT max(o.turn) FROM o WHERE o.conv_id = q.conv_id AND o.h = q.h
-         AND o.turn < q.turn) AS origin FROM q WHERE q.h <> ''),
-v AS (SELECT conv_id, turn, level, origin, count(*) AS n FROM w WHERE origin IS NOT NULL GROUP BY ALL),
-b AS (SELECT conv_id, turn, level, origin FROM v QUALIFY row_number() OVER (PARTITION BY conv_id, turn, level
-      ORDER BY n DESC, origin DESC) = 1),
+q AS (SELECT conv_id, turn, 1 AS level, l1 AS lines FROM g WHERE t1 IS NOT NULL
+      UNION ALL SELECT conv_id, turn, 2, l2 FROM g WHERE t2 IS NOT NULL),
+b AS (
+  SELECT q.conv_id, q.turn, level, max(s.turn) AS origin FROM q JOIN s ON s.conv_id = q.conv_id AND s.turn < q.turn
+  AND length(q.lines) > 2 AND contains(s.lines, q.lines) GROUP BY q.conv_id, q.turn, level),
 p AS (
   SELECT g.conv_id, g.turn, (t1 IS NOT NULL)::BIGINT + (t2 IS NOT NULL)::BIGINT AS n_passages,
          (SELECT count(*) FROM b WHERE b.conv_id = g.conv_id AND b.turn = g.turn) AS n_linked,
@@ -256,23 +248,30 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(chat.as_mail(load(spark, sf_dir, "conversations")))
 
 
-def license_sql() -> str:
+def license_sql(templates: dict[str, str] = license_scan.TEMPLATES, source: str = "documents") -> str:
+    """Shingles of min(5, words of the template) words; windows of twice the power of two that a template fits in."""
     rows = ", ".join("('{}', '{}')".format(k.replace("'", "''"), v.replace("'", "''"))
-                     for k, v in sorted(license_scan.TEMPLATES.items()))
+                     for k, v in sorted(templates.items()))
     split = ("list_filter(string_split_regex(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')")
-    shingles = "[array_to_string(w[i:i + 4], ' ') for i in range(1, greatest(len(w) - 3, 1))]"
     return f"""
 WITH t AS (SELECT template, {split.format('body')} AS w FROM (VALUES {rows}) v(template, body)),
-ts AS (SELECT template, unnest(list_distinct({shingles})) AS x FROM t WHERE len(w) >= {license_scan.WIDTH}),
-n AS (SELECT template, count(*) AS size FROM ts GROUP BY template),
-d AS (SELECT doc_id, {split.format('text')} AS w FROM documents),
-ds AS (SELECT doc_id, unnest({shingles}) AS x, unnest(range(0, greatest(len(w) - 4, 0))) AS pos
-       FROM d WHERE len(w) >= {license_scan.WIDTH}),
-hits AS (SELECT doc_id, template, size, x, pos FROM ds JOIN ts USING (x) JOIN n USING (template)),
-wins AS (SELECT doc_id, template, size, x, pos, pos // size AS k FROM hits
-         UNION ALL SELECT doc_id, template, size, x, pos, pos // size - 1 FROM hits WHERE pos >= size),
+ts AS (SELECT template, least(len(w), {license_scan.WIDTH}) AS width, unnest(range(1, len(w) - width + 2)) AS i, w
+       FROM t WHERE len(w) > 0),
+th AS MATERIALIZED (SELECT template, width, count(*) OVER (PARTITION BY template) AS span,
+                    array_to_string(w[i:i + width - 1], ' ') AS x FROM ts),
+n AS (SELECT template, width, count(DISTINCT x) AS size, pow(2, ceil(log2(any_value(span))))::BIGINT AS step
+      FROM th GROUP BY template, width),
+d AS (SELECT doc_id, {split.format('text')} AS w FROM {source}),
+ds AS MATERIALIZED (
+  SELECT doc_id, width, unnest(range(0, len(xs))) AS pos, unnest(xs) AS x
+  FROM (SELECT doc_id, width, list_transform(range(1, len(w) - width + 2),
+                                             lambda i: array_to_string(w[i:i + width - 1], ' ')) AS xs
+        FROM d, (SELECT DISTINCT width FROM n) WHERE len(w) >= width)),
+hits AS (SELECT doc_id, template, x, pos FROM ds JOIN (SELECT DISTINCT template, width, x FROM th) USING (width, x)),
+wins AS (SELECT doc_id, template, x, pos, pos // step AS k FROM hits JOIN n USING (template)
+         UNION ALL SELECT doc_id, template, x, pos, pos // step - 1 FROM hits JOIN n USING (template) WHERE pos >= step),
 f AS (SELECT doc_id, template, k, count(DISTINCT x) / any_value(size)::DOUBLE AS share, min(pos) AS word
-      FROM wins GROUP BY doc_id, template, k)
+      FROM wins JOIN n USING (template) GROUP BY doc_id, template, k)
 SELECT doc_id, template, round(max(share), 6) AS containment, count(*) AS n_windows, min(word) AS first_word
 FROM f WHERE share >= {license_scan.CONTAINMENT} GROUP BY doc_id, template"""
 

@@ -13,14 +13,17 @@ of a row's entries in the lists of all slices.
    below tau is dropped; the scores of the others are resolved exactly and ranked.
 
 Blocks of queries meet blocks of rows in tasks of bounded size; only entries
-leave a task, never a score matrix.  Rows with equal vectors are represented by
-the k + 1 with the smallest ids (no other can be among the k best), so a very
-common vector costs no more than any.
+leave a task, never a score matrix.  Of the rows with equal vectors at most k of
+an id are kept, and of these the 2 k with the smallest ids: whichever id a query
+leaves out as its own, the k smallest others are among them.  A very common
+vector so costs no more than any.
 
 Defined results: vectors that are null or hold null or non-finite components, and
 rows with a null id, take no part; shorter vectors count as filled up with zeros;
 a query row never meets rows of its own id; query rows repeating an id are each
-answered; fewer candidates than k give them all; empty in, empty out.
+answered; fewer candidates than k give them all, equal scores go by the smaller
+id; ids keep their type; only id and vector are read, so no extra column can
+clash; empty in, empty out.
 """
 
 from __future__ import annotations
@@ -60,6 +63,14 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def _numbers(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal integers for equal ids, whatever their type."""
+    if pa.types.is_integer(a.type):
+        return a.to_numpy(), b.to_numpy()
+    codes = pa.chunked_array([*a.chunks, *b.chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+    return codes[:len(a)], codes[len(a):]
+
+
 def _partials(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact integer products; floating point where it is exact, as it is faster."""
     top = max(1, int(np.abs(q).max(initial=0))) * max(1, int(np.abs(v).max(initial=0))) * q.shape[1]
@@ -77,7 +88,8 @@ def _meet(queries: DataFrame, rows: DataFrame, entries, width: int):
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, types)})
         part = _partials(_matrix(left["v"], width), _matrix(right["v"], width))
-        own = left["id"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
+        mine, theirs = _numbers(left["id"], right["id"])
+        own = mine[:, None] == theirs[None, :]
         tau = left["tau"].to_numpy() if "tau" in left.column_names else None
         i, j = entries(part, tau, own)
         return pa.table({"q": pa.array(left["q"].to_numpy()[i]), "r": pa.array(right["r"].to_numpy()[j]),
@@ -90,10 +102,12 @@ def _meet(queries: DataFrame, rows: DataFrame, entries, width: int):
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = K, slices: int = SLICES, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` and ``rows`` given as
-    (id long, v array<long>)."""
+    (id, v array<long>); ids of any orderable type."""
     q = written(queries.filter("id is not null and v is not null").withColumn("q", F.monotonically_increasing_id()), "topk-q")
+    of_id = F.row_number().over(Window.partitionBy("v", "id").orderBy("id"))
     few = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    r = rows.filter("id is not null and v is not null").withColumn("n", few).filter(F.col("n") <= k + 1).drop("n")
+    r = rows.filter("id is not null and v is not null").withColumn("n", of_id).filter(F.col("n") <= k)
+    r = r.withColumn("n", few).filter(F.col("n") <= 2 * k).drop("n")
     r = written(r.withColumn("r", F.monotonically_increasing_id()), "topk-r")
     n_q, dim_q = q.agg(F.count("*"), F.max(F.size("v"))).first()
     n_r, dim_r = r.agg(F.count("*"), F.max(F.size("v"))).first()
@@ -153,5 +167,5 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, slices: int = SLICES,
 
 def top_k_embeddings(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding",
                      k: int = K, **options) -> DataFrame:
-    v = df.select(F.col(key).cast("long").alias("id"), scaled(F.col(vector)).alias("v"), is_query.alias("asked"))
+    v = df.select(F.col(key).alias("id"), scaled(F.col(vector)).alias("v"), is_query.alias("asked"))
     return top_k(v.filter("asked").select("id", "v"), v.select("id", "v"), k, **options)
