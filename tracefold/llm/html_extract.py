@@ -86,7 +86,7 @@ class Dom(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.family, self.mark = ["#root"], [-1], [""], [None]
         self.size, self.linked = [0], [0]
-        self.stack, self.silent, self.links = [0], 0, 0
+        self.stack, self.silent, self.links, self.formula = [0], 0, 0, False
         self.blocks: list[tuple[int, list[str]]] = []
         self.fresh = True
 
@@ -115,6 +115,9 @@ class Dom(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        self.formula = tag == "math" or self.formula and tag not in BLOCK
+        if self.formula:  # words like any others, no element of the page
+            return
         if tag in BLOCK:
             self._close(("p",), P_BORDER)
             self.fresh = True
@@ -148,6 +151,10 @@ class Dom(HTMLParser):
             self._pop(len(self.stack) - 1)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.formula:
+            self.formula = tag != "math" and tag not in BLOCK
+            if tag not in BLOCK:
+                return
         for depth in range(len(self.stack) - 1, 0, -1):
             own = self.tag[self.stack[depth]]
             if own == tag:
