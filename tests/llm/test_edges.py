@@ -8,6 +8,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,13 +249,18 @@ def test_top_k_against_all_pairs(spark):
     assert topk.top_k_embeddings(few.limit(0), F.col("vec_id") == 0).collect() == []
 
 
-def test_word_coder_equals_whole_encoding():
+def test_word_coder_equals_whole_encoding(monkeypatch):
     coder = packing.ChunkCoder(Q.tokenizer_path())
     rng = random.Random(1)
     parts = ["a", "B", "é", "1", ".", ",", "\n", " ", " ", "_", "!", "'s", "́", "\t", " ", "<|endoftext|>", "日", "\r"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + ["word " * 50 + "end."]
-    whole = [np.asarray(e.ids, dtype="<u4").tobytes() for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert coder.encode(texts) == whole and coder.encode(texts) == whole
+    whole = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    column = pa.array(texts, pa.string())
+    for bound in (500_000, 500_000, 20, 20):  # both generations, with and without words known
+        monkeypatch.setattr(packing, "_CACHE_WORDS", bound)
+        assert [list(x) for x in coder.encode(column)] == whole
+    assert [list(x) for x in coder.encode(column.slice(7, 900))] == whole[7:907]
+    assert coder.encode(column.slice(0, 0)) == []
 
 
 def test_plan_holds_every_piece_within_capacity():

@@ -25,12 +25,12 @@ import bisect
 import os
 import re
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,77 +42,116 @@ END_ID = 0
 SMALL = (CAPACITY // 8, CAPACITY // 4, CAPACITY // 3, CAPACITY // 2)
 #: Equal-cardinality groups of the large lengths.
 GROUPS = 64
-#: Words whose ids a task remembers, at most.
-_CACHE_WORDS = 1_000_000
+#: Words of a generation whose ids a worker remembers, at most.
+_CACHE_WORDS = 500_000
 _STOPS = (".", ",")
+#: White space other than a single blank or line end between words, as a pattern's alternatives.
+_GAPS = (r"[ \n][ \n]", r"\A[ \n]", r"[ \n]\z",
+         "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Column generation rounds at most (each adds one configuration).
 COLUMNS = 600
 
 
 
-class ChunkCoder(dict):
-    """Token ids of a text, word by word.
+class ChunkCoder:
+    """Token ids of texts, word by word.
 
     The byte-level pre-tokenizer starts a new word at white space that follows
     something else.  So where words stand apart by single blanks and line ends,
     the ids of a text are those of its words in order, each with the blank (not
-    written in the key) or line end before it.  Words repeat: a batch encodes only
-    those not seen lately, and the memory of seen words is emptied when it reaches
-    its bound.  Any other text, and one with a special token, is encoded whole."""
+    written in the key) or line end before it.  Any other text, and one with a
+    special token, is encoded whole.
+
+    A batch is split and its distinct words are numbered by Arrow; only these are
+    looked up.  New ones are encoded together, a line each: the line end is a token
+    of its own there, which no word holds, so it tells them apart.  The memory of
+    words has two generations of at most ``_CACHE_WORDS``: a full one becomes the
+    old one, and words found there move up, so frequent words are never lost."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.stops = dict(zip(_STOPS, self._ids(list(_STOPS))))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _simple(self, text: str) -> bool:
-        parts = text.split()
-        gaps = len(text) - sum(map(len, parts))
-        return gaps == len(parts) - 1 == text.count(" ") + text.count("\n") and not any(x in text for x in self.special)
-
-    @staticmethod
-    def _keys(text: str) -> list[str]:
-        lines = text.split("\n")
-        keys = lines[0].split(" ")
-        keys[0] = "\r" + keys[0]  # the text's first word has nothing before it
-        for line in lines[1:]:
-            at = len(keys)
-            keys += line.split(" ")
-            keys[at] = "\n" + keys[at]
-        return keys
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self) > _CACHE_WORDS:
-            self.clear()
-        keys = [self._keys(t) if self._simple(t) else None for t in texts]
-        found = [k and list(map(self.get, k)) for k in keys]
-        fresh = {w for k, f in zip(keys, found) if k and None in f for w, v in zip(k, f) if v is None}
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.line_end = self._whole("\n")
+        assert len(self.line_end) == 1
+        self.stops = {x: self._whole(x).tobytes() for x in _STOPS}
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.not_simple = "|".join([*special, *_GAPS])
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _lines(self, lines: list[str]) -> list[bytes]:
+        """Ids of short texts without a line end."""
+        out: list[bytes] = []
+        for at in range(0, len(lines), 4096):
+            part = lines[at:at + 4096]
+            ids = self._whole("\n".join(part))
+            cuts = np.flatnonzero(ids == self.line_end[0])
+            raw = ids.tobytes()
+            starts = [0, *((cuts + 1) * 4).tolist()]
+            ends = [*(cuts * 4).tolist(), len(raw)]
+            assert len(starts) == len(part)
+            out.extend(raw[a:b] for a, b in zip(starts, ends))
+        return out
+
+    def _learn(self, fresh: list[str]) -> None:
         # a stop or comma after a letter or digit is a token run of its own
-        stopped = [w for w in fresh if w[-1:] in _STOPS and w[-2:-1].isalnum()]
-        fresh.difference_update(stopped)
-        fresh.update(w for w in {w[:-1] for w in stopped} if w not in self)
-        todo = list(fresh)
-        whole = [t for t, k in zip(texts, keys) if not k]
-        ids = self._ids([w[1:] if w[0] == "\r" else w if w[0] == "\n" else " " + w for w in todo] + whole)
-        self.update(zip(todo, ids))
-        self.update((w, self[w[:-1]] + self.stops[w[-1]]) for w in stopped)
-        rest = iter(ids[len(todo):])
-        out = []
-        for k, f in zip(keys, found):
-            if not k:
-                out.append(next(rest))
+        stopped = [w for w in fresh if w[-1] in self.stops and w[-2:-1].isalnum()]
+        plain = set(fresh).difference(stopped)
+        plain.update(w for w in {w[:-1] for w in stopped} if w not in self.words)
+        todo = list(plain)
+        # keys: blank before (not written), first word of a text (carriage return), first of a line (line end)
+        marked = [w[0] == "\n" for w in todo]
+        ids = self._lines([w[1:] if w[0] in "\r\n" else " " + w for w in todo])
+        before = self.line_end.tobytes()
+        self.words.update(zip(todo, (before + i if m else i for i, m in zip(ids, marked))))
+        self.words.update((w, self.words[w[:-1]] + self.stops[w[-1]]) for w in stopped)
+
+    def _values(self, distinct: list[str]) -> list[bytes]:
+        if len(self.words) > _CACHE_WORDS:
+            self.old, self.words = self.words, {}
+        values = list(map(self.words.get, distinct))
+        missing = [i for i, v in enumerate(values) if v is None]
+        fresh = []
+        for i in missing:
+            v = self.old.get(distinct[i])
+            if v is None:
+                fresh.append(distinct[i])
             else:
-                out.append(b"".join(map(self.__getitem__, k) if None in f else f))
-        for w in [*todo, *stopped]:
+                self.words[distinct[i]] = v
+        self._learn(fresh)
+        for i in missing:
+            values[i] = self.words[distinct[i]]
+        for w in fresh:
             if len(w) > 64:
-                del self[w]
+                del self.words[w]
+        return values
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Little-endian 32-bit ids of each text."""
+        whole = pc.or_(pc.match_substring_regex(texts, self.not_simple), pc.equal(pc.binary_length(texts), 0))
+        simple = texts.filter(pc.invert(whole))
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._whole(texts[i].as_py())
+        if len(simple):
+            marked = pc.binary_join_element_wise("\r", pc.replace_substring(simple, "\n", " \n"), "")
+            keys = pc.split_pattern(marked, " ")
+            numbers = keys.flatten().dictionary_encode()
+            values = self._values(numbers.dictionary.to_pylist())
+            flat = np.frombuffer(b"".join(values), dtype="<u4")
+            size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+            start = np.cumsum(size) - size
+            at = numbers.indices.to_numpy()
+            n = size[at]
+            end = np.cumsum(n)
+            ids = flat[np.repeat(start[at] - end + n, n) + np.arange(end[-1])]
+            border = np.concatenate([[0], end])[keys.offsets.to_numpy()]
+            for k, i in enumerate(np.flatnonzero(~whole.to_numpy(zero_copy_only=False)).tolist()):
+                out[i] = ids[border[k]:border[k + 1]]
         return out
 
 
@@ -147,18 +186,18 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 rows, cols = [], defaultdict(list)
-                for i, ids in enumerate(coder.encode(b.column("t").to_pylist())):
-                    ids += end
-                    for p, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        part = ids[4 * start:4 * (start + n)]
+                for i, ids in enumerate(coder.encode(b.column("t"))):
+                    for p, (start, n) in enumerate(cut(len(ids) + 1, capacity)):
+                        part = ids[start:start + n]
+                        last = end if len(part) < n else b""
                         rows.append(i)
-                        for c, v in (("piece", p), ("start", start), ("length", n), ("crc", zlib.crc32(part))):
+                        for c, v in (("piece", p), ("start", start), ("length", n), ("crc", zlib.crc32(last, zlib.crc32(part)))):
                             cols[c].append(v)
                         if with_ids:
-                            cols["ids"].append(part)
+                            cols["ids"].append(part.tobytes() + last)
                 data = [b.column("k").take(pa.array(rows, pa.int32())), pa.array(cols["piece"], pa.int32()),
                         pa.array(cols["start"], pa.int64()), pa.array(cols["length"], pa.int64()),
                         pa.array(cols["crc"], pa.int64())]
