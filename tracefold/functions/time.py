@@ -69,3 +69,9 @@ def iso_micros(ts: Column) -> Column:
 
 def epoch_us(ts: Column) -> Column:
     return F.unix_micros(ts)
+
+
+def interval_seconds(interval: str) -> int:
+    """Seconds of a text like ``5 minutes``."""
+    n, unit = interval.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as T
@@ -55,13 +55,30 @@ def fold_entries(lines: DataFrame, keys: tuple[str, ...] = ("source_id",), order
                     "message", *carry)
 
 
-def read_log_lines(spark, path: str, source_from: str = "file") -> DataFrame:
-    """Text files -> ``(source_id, line_no, line)``; blank lines dropped.
+def read_log_lines(spark, path: str, split_bytes: int | None = None) -> DataFrame:
+    """Text files -> ``(source_id, line_no, line)``; blank lines are counted, then dropped.
 
-    Each file is one ordered source; it is read whole (``wholetext``) so line
-    numbers are exact, then split with ``posexplode``.  For very large single
-    files, land them as a table that already carries ``line_no``."""
-    raw = spark.read.text(path, wholetext=True).withColumn("source_id", F.input_file_name())
-    exploded = raw.select("source_id", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("pos", "line"))
-    return (exploded.where(non_blank(F.col("line")))
-            .select("source_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line"))
+    Each file is one ordered source and is read by as many tasks as it has splits.
+    A scan numbers the rows of a task in order, so a line's number is its distance
+    to the first row of its split (``file_block_start``) plus the lines of the
+    file's earlier splits, a prefix sum over one row per split.  The numbered scan
+    is written once, as another scan could be cut into other splits; lines are never
+    shuffled unless that split table is too large to be broadcast.  ``split_bytes``
+    replaces the session's split size for this scan."""
+    from tracefold.plans.materialize import materialize
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", "\r$", "").alias("line"))
+    setting = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(setting)
+    try:
+        if split_bytes:
+            spark.conf.set(setting, str(split_bytes))
+        rows = materialize(raw, "log_lines")
+    finally:
+        spark.conf.set(setting, usual)
+    splits = rows.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    earlier = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("source_id", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return (rows.where(non_blank(F.col("line"))).join(offsets, ["source_id", "block"])
+            .select("source_id", (F.col("seq") - F.col("first") + F.col("before") + 1).alias("line_no"), "line"))

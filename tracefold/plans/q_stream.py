@@ -1,9 +1,10 @@
 """Registered queries: streaming operators.
 
-T3/T4/T5 are run as their batch twins (the same function on a static frame);
-T1/S2/T6 really run a Structured Streaming query (``availableNow``) over the
-fixture lines landed as files in a scratch folder under the session's
-checkpoint directory, writing to a parquet sink that is read back."""
+All of them run Structured Streaming queries (``availableNow``) over files in a
+scratch folder under the session's checkpoint directory, writing to sinks that
+are read back.  T1/S2/T6 read the fixture lines; T3/T4/T5 read entries that arrive
+in shipments, one file each, in which two sources lag behind the others: a gate
+query parts the late entries, a windowed query with a watermark aggregates the rest."""
 
 from __future__ import annotations
 
@@ -100,38 +101,94 @@ def q_stream_upsert(spark, sf_dir):
     return u.select("id", "n_entries", iso_seconds(F.col("last_ts")).alias("last_ts"))
 
 
-@register("T3_stream_patterns", "WITH " + O.entries_ctes() + f""",
-k AS (SELECT *, md5({O.norm_b_sql('message')}) AS pattern_key,
-  make_timestamp(CAST(floor(epoch(ts) / 3600) * 3600 * 1000000 AS BIGINT)) AS window_start FROM entries)
-SELECT {O.iso_s('window_start')} AS window_start, source_id, pattern_key, count(*) AS count,
-  {O.iso_s('min(ts)')} AS first_ts, {O.iso_s('max(ts)')} AS last_ts, min(entry_no) AS first_entry_no
-FROM k GROUP BY ALL""")
+# --- T3, T4, T5: shipments of entries, a gate, windowed state ----------------
+
+SHIP_DAYS = 4
+DELAY_DAYS = 6
+#: shipments by which a source lags: one is within the delay, two are not always
+LAGS = {"payment-service": 1, "frontend-web": 2}
+CLOSE = "__close__"
+
+_GATE = "WITH " + O.entries_ctes() + f""",
+shipped AS (SELECT *, CAST(floor(epoch(ts) / {SHIP_DAYS * 86400}) AS BIGINT)
+  + CASE source_id {" ".join(f"WHEN '{s}' THEN {n}" for s, n in LAGS.items())} ELSE 0 END AS ship FROM entries),
+marks AS (SELECT ship, max(max(ts)) OVER (ORDER BY ship ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest
+  FROM shipped GROUP BY ship),
+judged AS (SELECT shipped.*, CASE WHEN ts < newest - INTERVAL {DELAY_DAYS} DAY THEN 'late' ELSE 'window' END AS kind
+  FROM shipped JOIN marks USING (ship))"""
+
+
+def _land_shipments(spark, sf_dir, base: str):
+    """Entries as agents would ship them: a file per shipment, written in order,
+    then a control row whose time closes every window."""
+    from tracefold.plans.materialize import materialize
+    e = FL.entries_b(spark, sf_dir).select("source_id", "entry_no", "ts", "level", "message")
+    lag = F.lit(0)
+    for source, n in LAGS.items():
+        lag = F.when(F.col("source_id") == source, n).otherwise(lag)
+    e = materialize(e.withColumn("ship", F.floor(F.unix_timestamp("ts") / (SHIP_DAYS * 86400)).cast("long") + lag), "shipments")
+    ships = [r[0] for r in e.select("ship").distinct().orderBy("ship").collect()]
+    for n in ships:
+        e.where(F.col("ship") == n).drop("ship").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    close = spark.range(1).select(F.lit(CLOSE).alias("source_id"), F.lit(0).cast("long").alias("entry_no"),
+                                  F.lit("2100-01-01 00:00:00").cast(e.schema["ts"].dataType).alias("ts"),
+                                  F.lit("INFO").alias("level"), F.lit("").alias("message"))
+    close.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return e.drop("ship").schema
+
+
+def _run_windows(spark, sf_dir, aggregate) -> DataFrame:
+    """``aggregate`` over the stream of passed entries (kind ``window``) and over the late ones (kind ``late``)."""
+    from tracefold.streaming import gate as G
+    base = _scratch(spark)
+    schema = _land_shipments(spark, sf_dir, base)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    G.start_gate(stream, f"{base}/gate", f"{base}/gate-ckpt", DELAY_DAYS * 86400).awaitTermination()
+    (aggregate(G.passed_stream(spark, f"{base}/gate", schema)).writeStream.format("parquet").outputMode("append")
+     .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
+     .start().awaitTermination())
+    late = aggregate(G.late_rows(spark, f"{base}/gate", schema))
+    return (spark.read.schema(late.schema).parquet(f"{base}/out").withColumn("kind", F.lit("window"))
+            .unionByName(late.withColumn("kind", F.lit("late"))))
+
+
+@register("T3_stream_patterns", _GATE + f""",
+k AS (SELECT *, md5({O.norm_b_sql('message')}) AS pattern_key, make_timestamp(CAST((floor(epoch(ts) / 1800) * 1800 - s)
+  * 1000000 AS BIGINT)) AS window_start FROM judged, (SELECT unnest([0, 1800]) AS s))
+SELECT kind, {O.iso_s('window_start')} AS window_start, {O.iso_s('window_start + INTERVAL 1 HOUR')} AS window_end, source_id,
+  pattern_key, count(*) AS count, {O.iso_s('min(ts)')} AS first_ts, {O.iso_s('max(ts)')} AS last_ts,
+  min(entry_no) AS first_entry_no
+FROM k GROUP BY kind, window_start, source_id, pattern_key""")
 def q_stream_patterns(spark, sf_dir):
-    p = SW.windowed_patterns(FL.entries_b(spark, sf_dir), window="1 hour")
-    return p.select(iso_seconds(F.col("window_start")).alias("window_start"), "source_id", "pattern_key", "count",
+    """Sliding windows of an hour, each half hour."""
+    p = _run_windows(spark, sf_dir, lambda e: SW.windowed_patterns(
+        e, window="1 hour", slide="30 minutes", watermark=f"{DELAY_DAYS} days"))
+    return p.select("kind", iso_seconds(F.col("window_start")).alias("window_start"),
+                    iso_seconds(F.col("window_end")).alias("window_end"), "source_id", "pattern_key", "count",
                     iso_seconds(F.col("first_ts")).alias("first_ts"), iso_seconds(F.col("last_ts")).alias("last_ts"),
                     "first_entry_no")
 
 
-@register("T4_stream_clusters", "WITH " + O.entries_ctes() + f""",
-g0 AS (SELECT *, lag(ts) OVER (PARTITION BY source_id ORDER BY ts, entry_no) AS prev FROM entries),
+@register("T4_stream_clusters", _GATE + f""",
+g0 AS (SELECT *, lag(ts) OVER (PARTITION BY kind, source_id ORDER BY ts, entry_no) AS prev FROM judged),
 g1 AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > {GAP * 1_000_000} THEN 1 ELSE 0 END)
-  OVER (PARTITION BY source_id ORDER BY ts, entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sess FROM g0)
-SELECT source_id, {O.iso_s('min(ts)')} AS first_ts, {O.iso_s('max(ts)')} AS last_ts, count(*) AS n_entries,
-  count_if(level = 'ERROR') AS n_errors FROM g1 GROUP BY source_id, sess""")
+  OVER (PARTITION BY kind, source_id ORDER BY ts, entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sess FROM g0)
+SELECT kind, source_id, {O.iso_s('min(ts)')} AS first_ts, {O.iso_s('max(ts)')} AS last_ts, count(*) AS n_entries,
+  count_if(level = 'ERROR') AS n_errors FROM g1 GROUP BY kind, source_id, sess""")
 def q_stream_clusters(spark, sf_dir):
-    c = SW.session_clusters(FL.entries_b(spark, sf_dir), gap=f"{GAP} seconds")
-    return c.select("source_id", iso_seconds(F.col("first_ts")).alias("first_ts"),
+    c = _run_windows(spark, sf_dir, lambda e: SW.session_clusters(e, gap=f"{GAP} seconds", watermark=f"{DELAY_DAYS} days"))
+    return c.select("kind", "source_id", iso_seconds(F.col("first_ts")).alias("first_ts"),
                     iso_seconds(F.col("last_ts")).alias("last_ts"), "n_entries", "n_errors")
 
 
-@register("T5_stream_error_rate", "WITH " + O.entries_ctes() + f""",
-k AS (SELECT *, make_timestamp(CAST(floor(epoch(ts) / 3600) * 3600 * 1000000 AS BIGINT)) AS window_start FROM entries)
-SELECT {O.iso_s('window_start')} AS window_start, source_id, count_if(level = 'ERROR') AS error_count,
-  count(*) AS entry_count, count_if(level = 'ERROR') / count(*) * 10.0 AS error_rate_z FROM k GROUP BY ALL""")
+@register("T5_stream_error_rate", _GATE + f""",
+k AS (SELECT *, make_timestamp(CAST(floor(epoch(ts) / 3600) * 3600 * 1000000 AS BIGINT)) AS window_start FROM judged)
+SELECT kind, {O.iso_s('window_start')} AS window_start, source_id, count_if(level = 'ERROR') AS error_count,
+  count(*) AS entry_count, count_if(level = 'ERROR') / count(*) * 10.0 AS error_rate_z
+FROM k GROUP BY kind, window_start, source_id""")
 def q_stream_error_rate(spark, sf_dir):
-    r = SW.windowed_error_rate(FL.entries_b(spark, sf_dir), window="1 hour")
-    return r.select(iso_seconds(F.col("window_start")).alias("window_start"), "source_id", "error_count",
+    r = _run_windows(spark, sf_dir, lambda e: SW.windowed_error_rate(e, window="1 hour", watermark=f"{DELAY_DAYS} days"))
+    return r.select("kind", iso_seconds(F.col("window_start")).alias("window_start"), "source_id", "error_count",
                     "entry_count", "error_rate_z")
 
 
@@ -140,12 +197,12 @@ SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY line_n
 FROM log_lines""")
 def q_read_log_lines(spark, sf_dir):
     """The fixture lines written as one text file per source (as a log agent
-    would leave them), read back with line numbers."""
+    would leave them), read back in splits of 64 KiB with line numbers."""
     from tracefold.operators.parse import read_log_lines
     base = _scratch(spark)
     # sorted by (source, line) so the partitioned writer keeps the line order
     (log_lines(spark, sf_dir).repartition("source_id").sortWithinPartitions("source_id", "line_no")
      .select("source_id", "line").write.partitionBy("source_id").text(f"{base}/text"))
-    r = read_log_lines(spark, f"{base}/text/*/*.txt")
+    r = read_log_lines(spark, f"{base}/text/*/*.txt", split_bytes=1 << 16)
     src = F.regexp_extract("source_id", r"source_id=([^/]+)/", 1)
     return r.select(src.alias("source_id"), "line_no", "line")

@@ -38,6 +38,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracefold.functions import text as T
 from tracefold.functions import time as TM
+from tracefold.functions.time import interval_seconds as _seconds
 
 OUTPUT_SCHEMA = ("source_id string, flush_no long, reason string, flushed_at timestamp, file string, "
                  "entry_no long, ts timestamp, level string, message string")
@@ -180,8 +181,3 @@ def stream_flush(lines: DataFrame, window_seconds: int = 60, flush_interval_seco
             .groupBy("source_id")
             .applyInPandasWithState(fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", timeout))
 
-
-def _seconds(interval: str) -> int:
-    n, unit = interval.split()
-    mult = {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600}[unit]
-    return int(n) * mult
