@@ -201,17 +201,6 @@ def q_score_proposals(spark, sf_dir):
     return s.select("proposal_id", F.round("final_score", 6).alias("final_score"), "threshold", "decision", "reason")
 
 
-def _actions(spark, sf_dir) -> DataFrame:
-    p = proposals(spark, sf_dir)
-    a = p.select("proposal_id", "environment", F.posexplode("actions").alias("pos", "a"))
-    scope = (F.when(F.col("a.type").isin("FILE_EDIT", "XML_EDIT"), F.lit("SOURCE_CODE"))
-             .when(F.col("a.type") == "RUNTIME_OP", F.lit("INFRA"))
-             .when(F.col("a.command").contains("kubectl"), F.lit("INFRA")).otherwise(F.lit("CONFIG")))
-    mode = F.when(F.col("a.type").isin("FILE_EDIT", "XML_EDIT"), F.lit("AUTO_PR")).otherwise(F.lit("DIRECT_APPLY"))
-    return a.select("proposal_id", F.col("pos").cast("long").alias("pos"), "environment", scope.alias("scope"),
-                    mode.alias("execution_mode"), D.action_command_text(F.col("a")).alias("command"))
-
-
 def _rules_sql(cmd: str, matrix: str | None) -> str:
     def rl(pats):
         return " OR ".join(f"regexp_matches({cmd}, '{p}')" for p in pats) or "false"
@@ -233,13 +222,6 @@ def _rules_sql(cmd: str, matrix: str | None) -> str:
             f"ELSE 'REQUIRE_APPROVAL' END)")
 
 
-_MATRIX_SQL = ("(CASE WHEN environment = 'DEV' AND scope = 'INFRA' THEN 'REQUIRE_APPROVAL' "
-               "WHEN scope = 'SOURCE_CODE' AND execution_mode = 'DIRECT_APPLY' THEN 'BLOCKED' "
-               "WHEN scope = 'SOURCE_CODE' AND execution_mode = 'AUTO_PR' THEN 'REQUIRE_APPROVAL' "
-               "WHEN scope = 'INFRA' AND environment = 'PROD' AND execution_mode = 'DIRECT_APPLY' THEN 'REQUIRE_APPROVAL' "
-               "WHEN scope = 'INFRA' AND environment = 'DEV' AND execution_mode = 'DIRECT_APPLY' THEN 'SAFE' "
-               "ELSE 'REQUIRE_APPROVAL' END)")
-
 _ACTIONS_SQL = _PROPOSALS + """,
 acts0 AS (SELECT proposal_id, environment, unnest(actions) AS a, generate_subscripts(actions, 1) - 1 AS pos
   FROM proposals),
@@ -253,24 +235,6 @@ acts AS (SELECT proposal_id, CAST(pos AS BIGINT) AS pos, environment,
   FROM acts0)"""
 
 
-@register("J6_safety_matrix", _ACTIONS_SQL + f"""
-SELECT proposal_id, pos, environment, scope, execution_mode, {_MATRIX_SQL} AS matrix_level FROM acts""")
-def q_safety_matrix(spark, sf_dir):
-    a = _actions(spark, sf_dir)
-    lvl = D.safety_matrix(F.col("environment"), F.col("scope"), F.col("execution_mode"), RULES)
-    return a.select("proposal_id", "pos", "environment", "scope", "execution_mode", lvl.alias("matrix_level"))
-
-
-@register("J5_classify_commands", _ACTIONS_SQL + f"""
-SELECT proposal_id, pos, command, {_rules_sql('command', _MATRIX_SQL)} AS level FROM acts""")
-def q_classify_commands(spark, sf_dir):
-    a = _actions(spark, sf_dir)
-    a = a.withColumn("matrix_level", D.safety_matrix(F.col("environment"), F.col("scope"), F.col("execution_mode"),
-                                                     RULES))
-    a = D.with_command_level(a, "command", RULES, out="level", matrix="matrix_level")
-    return a.select("proposal_id", "pos", "command", "level")
-
-
 _G2_CMD = ("CASE WHEN starts_with(regexp_replace(command, '^\\s+|\\s+$', '', 'g'), 'git ') THEN "
            "'git -c user.name=''ops-bot'' -c user.email=''ops@company.com'' ' || "
            "substr(regexp_replace(command, '^\\s+|\\s+$', '', 'g'), 5) ELSE command END")

@@ -31,6 +31,7 @@ def _load_all() -> None:
     from tracefold.plans import q_graph  # noqa: F401
     from tracefold.plans import q_bundle  # noqa: F401
     from tracefold.plans import q_decide  # noqa: F401
+    from tracefold.plans import q_rules  # noqa: F401
     from tracefold.plans import q_similar  # noqa: F401
     from tracefold.plans import q_recommend  # noqa: F401
     from tracefold.plans import q_stream  # noqa: F401
