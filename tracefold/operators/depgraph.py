@@ -272,18 +272,44 @@ def root_service(nodes: DataFrame, keys: tuple[str, ...] = ("bundle_id",)) -> Da
                    F.max_by(F.col("node"), F.col("position"))).alias("root_service"))
 
 
+def merge_edges(edges: list[DataFrame], keys: tuple[str, ...] = ("bundle_id",)) -> DataFrame:
+    """One edge per (bundle, caller, callee): the highest confidence, the evidence
+    that has it (the smallest text of several) and how often the edge was found."""
+    found = reduce(DataFrame.unionByName, [e.select(*keys, "caller", "callee", "evidence", "confidence") for e in edges])
+    best = F.min(F.struct((-F.col("confidence")).alias("c"), F.col("evidence").alias("e"))).alias("best")
+    return found.groupBy(*keys, "caller", "callee").agg(best, F.count(F.lit(1)).alias("n_found")).select(
+        *keys, "caller", "callee", (-F.col("best.c")).alias("confidence"), F.col("best.e").alias("evidence"), "n_found")
+
+
+def without_graph(df: DataFrame, user_nodes: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The rows of bundles whose user graph is empty."""
+    if user_nodes is None:
+        return df
+    return df.join(user_nodes.select(*keys).distinct(), keys, "left_anti")
+
+
 def build_graph(patterns: DataFrame, user_nodes: DataFrame | None = None, keys: tuple[str, ...] = ("bundle_id",),
-                pattern_id: str = "pattern_key", text: str = "pattern") -> DataFrame:
+                pattern_id: str = "pattern_key", text: str = "pattern", extra: list[DataFrame] | None = None) -> DataFrame:
     """The graph nodes used for ranking.  Bundles with a user-supplied
     graph (``user_nodes``: keys, node, position, n_nodes) keep it; the rest are
-    auto-extracted from their patterns (U1 + W7)."""
+    auto-extracted (U1 + W7) from their patterns and, where ``extra`` service
+    tables (P6, P7) are given, from these."""
     keys = list(keys)
-    pats = patterns
-    if user_nodes is not None:
-        pats = patterns.join(user_nodes.select(*keys).distinct(), keys, "left_anti")
-    services, depth = all_services(pats, keys, pattern_id, text)
+    services, depth = all_services(without_graph(patterns, user_nodes, keys), keys, pattern_id, text,
+                                   [without_graph(e, user_nodes, keys) for e in extra or []])
     auto = order_by_depth(services, depth, keys)
     if user_nodes is None:
         return auto
     return auto.unionByName(user_nodes.select(*keys, "node", F.lit(None).cast("long").alias("depth_score"),
                                               "position", "n_nodes"))
+
+
+def graph_edges(patterns: DataFrame, events: DataFrame | None = None, user_nodes: DataFrame | None = None,
+                keys: tuple[str, ...] = ("bundle_id",), pattern_id: str = "pattern_key", text: str = "pattern") -> DataFrame:
+    """The edges of auto-extracted bundles, from causes (P4) and event reasons
+    (P6); a user graph is a list of nodes and has none."""
+    keys = list(keys)
+    edges = [extract_caused_by_edges(without_graph(patterns, user_nodes, keys), (*keys, pattern_id), text)]
+    if events is not None:
+        edges.append(extract_event_services(without_graph(events, user_nodes, keys), tuple(keys))[1])
+    return merge_edges(edges, tuple(keys))

@@ -3,8 +3,8 @@
 One SQL text is run unchanged by Spark (over the events DataFrame) and by the
 DuckDB oracle (over the ``events`` view), so both engines see identical lines.
 Output ``(source_id, line_no, line, container)``; line_no order is time order
-within a source.  The 3-row ``k`` literal only multiplies error events into
-their stack-trace continuation lines.
+within a source.  Error events have three continuation lines each (the 3-row ``k``
+literal): stack frames of one of six languages or chains of causes.
 """
 
 from __future__ import annotations
@@ -24,18 +24,44 @@ WITH base AS (
 lines AS (
   SELECT event_id * 4 AS line_no, service, event_id, concat(ts_txt, ' ', lvl, ' ',
     CASE event_type
-      WHEN 'error' THEN concat('java.sql.SQLException: Cannot acquire connection for user_id=', CAST(user_id AS STRING),
-        ' from 10.0.', CAST(user_id % 256 AS STRING), '.', CAST(event_id % 256 AS STRING))
+      WHEN 'error' THEN CASE CAST(event_id % 7 AS INT)
+        WHEN 2 THEN concat('TimeoutError: payment_service gave no answer to request_id=', CAST(event_id AS STRING))
+        WHEN 3 THEN concat('UnhandledRejection: worker ', CAST(user_id % 8 AS STRING), ' out of memory')
+        WHEN 4 THEN concat('panic: runtime error: index out of range, session_id=', CAST(user_id AS STRING))
+        WHEN 5 THEN concat('NoMethodError: route to order_id=', CAST(event_id AS STRING), ' not found')
+        WHEN 6 THEN concat('System.NullReferenceException: no order, id=', CAST(user_id AS STRING))
+        ELSE concat('java.sql.SQLException: Cannot acquire connection for user_id=', CAST(user_id AS STRING),
+          ' from 10.0.', CAST(user_id % 256 AS STRING), '.', CAST(event_id % 256 AS STRING)) END
       WHEN 'purchase' THEN concat('HikariPool-1 - Connection pool approaching limit: ', CAST(40 + event_id % 3 AS STRING), '/50 active')
       WHEN 'signup' THEN concat('[UserController] created account ', CAST(1000000 + event_id AS STRING))
       ELSE concat('Request received GET /api/', event_type, ' status ', CASE WHEN event_id % 7 = 0 THEN '404' ELSE '200' END) END) AS line
   FROM base
   UNION ALL
-  SELECT event_id * 4 + k, service, event_id,
-    CASE k WHEN 1 THEN '    at com.zaxxer.hikari.pool.HikariPool.getConnection(HikariPool.java:89)'
-           WHEN 2 THEN concat('    at com.example.app.', CASE WHEN user_id % 2 = 0 THEN 'UserRepository' ELSE 'PaymentService' END,
-             '.process(Main.java:', CAST(40 + event_id % 2 AS STRING), ')')
-           ELSE 'Caused by: java.sql.SQLTimeoutException: Pool exhausted' END
+  SELECT event_id * 4 + k, service, event_id, CASE CAST((event_id % 7) * 4 + k AS INT)
+    WHEN 5 THEN concat('    at com.example.app.', CASE WHEN user_id % 2 = 0 THEN 'UserRepository' ELSE 'PaymentService' END,
+      '.load(Main.java:', CAST(60 + event_id % 2 AS STRING), ')')
+    WHEN 6 THEN 'Caused by: com.example.pool.PoolExhaustedException: no connection left'
+    WHEN 7 THEN CASE WHEN user_id % 2 = 0 THEN 'Caused by: java.net.SocketTimeoutException: read timed out'
+      ELSE 'Caused by: java.io.IOError: broken pipe' END
+    WHEN 9 THEN '  File "/app/services/order_handler.py", line 42, in process'
+    WHEN 10 THEN '  File "/usr/lib/python3/site-packages/requests/api.py", line 59, in get'
+    WHEN 11 THEN concat('  File "/app/clients/', CASE WHEN user_id % 2 = 0 THEN 'payment_client' ELSE 'stock_client' END, '.py", line 7, in call')
+    WHEN 13 THEN '    at OrderController.create (/app/src/controllers/orderController.js:12:5)'
+    WHEN 14 THEN '    at /app/node_modules/express/lib/router.js:47:12'
+    WHEN 15 THEN '    at /app/src/workers/queueWorker.ts:88:3'
+    WHEN 17 THEN 'goroutine 1 [running]:'
+    WHEN 18 THEN '    /app/stock/inventory.go:88 +0x1d'
+    WHEN 19 THEN '    /usr/local/go/src/runtime/panic.go:884 +0x212'
+    WHEN 21 THEN concat('    from app/models/order.rb:15:in `total', chr(39))
+    WHEN 22 THEN concat('    from /gems/rack/lib/rack.rb:3:in `call', chr(39))
+    WHEN 23 THEN concat('    from lib/jobs/checkout_job.rb:8:in `run', chr(39))
+    WHEN 25 THEN '   at Shop.Orders.OrderService.Load(Int32 id)'
+    WHEN 26 THEN '   at System.Linq.Enumerable.First()'
+    WHEN 27 THEN '   at Shop.Web.CheckoutController.Post()'
+    ELSE CASE k WHEN 1 THEN '    at com.zaxxer.hikari.pool.HikariPool.getConnection(HikariPool.java:89)'
+      WHEN 2 THEN concat('    at com.example.app.', CASE WHEN user_id % 2 = 0 THEN 'UserRepository' ELSE 'PaymentService' END,
+        '.process(Main.java:', CAST(40 + event_id % 2 AS STRING), ')')
+      ELSE 'Caused by: java.sql.SQLTimeoutException: Pool exhausted' END END
   FROM (SELECT *, @each_of_123 AS k FROM base WHERE event_type = 'error') s)
 SELECT service AS source_id, line_no, line, concat(service, '-7d4f8b-xkz2p') AS container FROM lines
 """
@@ -56,8 +82,8 @@ def log_lines_cte() -> str:
     return (ctes + ",\nlog_lines AS (\nSELECT service AS source_id" + select + ")")
 
 
-# Incident events (K8s-style) derived from ``events``: error and purchase rows
-# become Warning / Normal events of the same service, naming a peer service.
+# Incident events (K8s-style): every row of ``events`` becomes a Warning (errors) or
+# Normal event of the same service; the reason's wording follows the event type.
 INCIDENT_EVENTS_SQL = """
 WITH ebase AS (
   SELECT event_id, ts, user_id, event_type,
@@ -69,10 +95,13 @@ WITH ebase AS (
 SELECT concat('evt_', CAST(event_id AS STRING)) AS id,
   CASE event_type WHEN 'error' THEN 'Warning' ELSE 'Normal' END AS type,
   CASE event_type WHEN 'error' THEN concat('BackOff: calling ', peer, ' failed with ConnectionTimeout')
-    ELSE concat('Unhealthy: readiness probe of [', peer, '] slow') END AS reason,
+    WHEN 'purchase' THEN concat('Unhealthy: readiness probe of [', peer, '] slow')
+    WHEN 'signup' THEN concat('Scaled: connecting to session_store for ', peer)
+    WHEN 'view' THEN 'Pulled' ELSE concat('Started: request to ', peer, CASE WHEN event_id % 2 = 0 THEN ' by GatewayRouter' ELSE '' END)
+    END AS reason,
   concat(service, '-5c9d7f-q', CAST(user_id % 10 AS STRING)) AS pod,
   service, ts
-FROM ebase WHERE event_type IN ('error', 'purchase')
+FROM ebase
 """
 
 

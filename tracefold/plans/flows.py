@@ -112,7 +112,8 @@ def causes_with_graph_b(spark: SparkSession, sf_dir: str, gap_seconds: float = F
 # --- bundle level ------------------------------------------------------------
 
 SERVICES = ["auth-service", "payment-service", "order-service", "api-gateway", "frontend-web"]
-METRIC_KINDS = {"view": "cpu_z", "click": "mem_z", "purchase": "latency_z", "error": "error_rate_z"}
+#: event type -> metric that its values are samples of
+METRIC_KINDS = {"view": "cpu_z", "click": "mem_z", "purchase": "latency_z", "signup": "latency_z", "error": "error_rate_z"}
 
 
 def service_of(user_id: str = "user_id"):
@@ -146,7 +147,9 @@ def metrics_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.session import table
     ev = table(spark, sf_dir, "events").select(
         service_of().alias("service"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "value")
-    z = zscore_metrics(ev, kinds=METRIC_KINDS)
+    metric = F.create_map(*[F.lit(x) for pair in METRIC_KINDS.items() for x in pair])
+    z = zscore_metrics(ev.withColumn("metric", metric[F.col("event_type")]), kind="metric",
+                       kinds={m: m for m in dict.fromkeys(METRIC_KINDS.values())})
     return z.withColumn("bundle_id", F.concat(F.col("service"), F.lit("/"), F.col("day")))
 
 

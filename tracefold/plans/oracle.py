@@ -8,6 +8,8 @@ lookarounds are replaced by the guard-and-remove rewrite.
 from __future__ import annotations
 
 from tracefold.functions import text as T
+from tracefold.functions.time import HEAD_B_RE as HEAD_B
+from tracefold.functions.time import TS_B_RE as TS_B
 from tracefold.plans.fixture import log_lines_cte
 
 NL = "chr(10)"
@@ -47,8 +49,6 @@ def clean_service_sql(c: str) -> str:
             f"'{T.POD_ORDINAL_SUFFIX_RE}', '')")
 
 
-TS_B = r"^\[?(\d{4}-\d{2}-\d{2})[T\s](\d{2}:\d{2}:\d{2})"
-HEAD_B = r"^\s*\[?\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}"
 
 
 def iso_s(ts: str) -> str:
@@ -316,14 +316,14 @@ win AS (SELECT bundle_id, split_part(bundle_id, '/', 1) AS source_id, min(first_
   max(last_ts) AS window_end FROM patterns_b GROUP BY bundle_id),
 ev_b AS (SELECT w.bundle_id, e.* FROM incident_events e JOIN win w ON e.service = w.source_id
   AND e.ts >= w.window_start AND e.ts <= w.window_end),
-daily AS (SELECT {service_case_sql()} AS service, strftime(ts, '%Y-%m-%d') AS day, event_type, avg(value) AS x
-  FROM events GROUP BY ALL),
-zs AS (SELECT *, CASE WHEN stddev_samp(x) OVER (PARTITION BY service, event_type) <> 0 THEN
-  (x - avg(x) OVER (PARTITION BY service, event_type)) / stddev_samp(x) OVER (PARTITION BY service, event_type)
+daily AS (SELECT {service_case_sql()} AS service, strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'view' THEN 'cpu'
+    WHEN 'click' THEN 'mem' WHEN 'error' THEN 'error_rate' ELSE 'latency' END AS metric, avg(value) AS x FROM events GROUP BY ALL),
+zs AS (SELECT *, CASE WHEN stddev_samp(x) OVER (PARTITION BY service, metric) <> 0 THEN
+  (x - avg(x) OVER (PARTITION BY service, metric)) / stddev_samp(x) OVER (PARTITION BY service, metric)
   END AS z FROM daily),
 metrics AS (SELECT service || '/' || day AS bundle_id, service, day,
-  max(z) FILTER (WHERE event_type = 'view') AS cpu_z, max(z) FILTER (WHERE event_type = 'click') AS mem_z,
-  max(z) FILTER (WHERE event_type = 'purchase') AS latency_z, max(z) FILTER (WHERE event_type = 'error')
+  max(z) FILTER (WHERE metric = 'cpu') AS cpu_z, max(z) FILTER (WHERE metric = 'mem') AS mem_z,
+  max(z) FILTER (WHERE metric = 'latency') AS latency_z, max(z) FILTER (WHERE metric = 'error_rate')
   AS error_rate_z FROM zs GROUP BY ALL),
 anomalies AS (SELECT bundle_id, ord, metric, label, z, printf('%s Z-score: %.2f', label, z) AS text FROM (
   SELECT bundle_id, 0 AS ord, 'cpu_z' AS metric, 'CPU' AS label, cpu_z AS z FROM metrics

@@ -1,8 +1,8 @@
 """Registered queries: remediation proposals, history, decisions, safety.
 
 Proposals are derived from the incident bundles (one per bundle with an error
-hint); the feedback log is derived from ``events`` (every purchase event is a
-past remediation outcome of its service); history for a bundle day is the
+hint); the feedback log is derived from ``events`` (every event is a past
+remediation outcome of its service, of the kind its type stands for); history for a bundle day is the
 cumulative feedback of the earlier days (as-of).  The safety configuration is
 a small rule list, as the reference reads it from a config file.
 """
@@ -43,6 +43,9 @@ SERVICE_ACTIONS = {
 CATEGORY = [("Database connection pool issues detected", "connection pool exhaustion"),
             ("HTTP 404 errors detected", "missing route"), ("Timeout errors detected", "timeouts"),
             ("Memory issues detected", "memory pressure")]
+#: event type -> the kind of incident whose remediation the event reports on
+FEEDBACK_CATEGORY = {"purchase": "connection pool exhaustion", "view": "missing route", "click": "timeouts",
+                     "signup": "memory pressure", "error": "errors"}
 DEV_SERVICES = ["api-gateway", "frontend-web"]
 
 
@@ -90,10 +93,11 @@ def proposals(spark, sf_dir) -> DataFrame:
 
 
 def feedback_by_day(spark, sf_dir) -> DataFrame:
-    """Feedback log from purchase events -> per (title, day) counts of that day."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
+    """Feedback log from all events, one past remediation each -> per (title, day) counts of that day."""
+    ev = table(spark, sf_dir, "events")
     svc = FL.service_of()
-    log = ev.select(F.concat(F.lit("Mitigate connection pool exhaustion on "), svc).alias("signature"),
+    name = F.create_map(*[F.lit(x) for pair in FEEDBACK_CATEGORY.items() for x in pair])
+    log = ev.select(F.concat(F.lit("Mitigate "), name[F.col("event_type")], F.lit(" on "), svc).alias("signature"),
                     F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("value") >= SUCCESS_VALUE).alias("success"))
     return log.groupBy("signature", "day").agg(F.count_if("success").alias("success"),
                                                F.count(F.lit(1)).alias("total"))
@@ -147,8 +151,9 @@ proposals AS (SELECT bundle_id AS proposal_id, service, day, 'Mitigate ' || {_ca
   CAST(round(0.60 + 0.04 * (n_patterns % 11), 2) AS DOUBLE) AS ai_confidence, {_acts_sql()} AS actions,
   CASE WHEN service IN ('api-gateway', 'frontend-web') THEN 'DEV' ELSE 'PROD' END AS environment,
   'ops-bot' AS git_user, 'ops@company.com' AS git_email FROM p0),
-fb AS (SELECT 'Mitigate connection pool exhaustion on ' || {O.service_case_sql()} AS signature,
-  strftime(ts, '%Y-%m-%d') AS day, value >= {SUCCESS_VALUE} AS success FROM events WHERE event_type = 'purchase'),
+fb AS (SELECT 'Mitigate ' || CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FEEDBACK_CATEGORY.items())} END
+    || ' on ' || {O.service_case_sql()} AS signature,
+  strftime(ts, '%Y-%m-%d') AS day, value >= {SUCCESS_VALUE} AS success FROM events),
 fbd AS (SELECT signature, day, count_if(success) AS success, count(*) AS total FROM fb GROUP BY ALL),
 hist AS (SELECT signature, day,
   CAST(coalesce(sum(success) OVER (PARTITION BY signature ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)

@@ -297,9 +297,9 @@ def q_attach_snippets(spark, sf_dir):
 # --- J10 recent commit ------------------------------------------------------------------
 
 def commits(spark, sf_dir) -> DataFrame:
-    """Commits derived from ``events``: every signup event is a commit touching
-    one or both source files."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    """Commits derived from ``events``: every event is a commit touching one or
+    both source files."""
+    ev = table(spark, sf_dir, "events")
     idx = (F.col("event_id") % 3).cast("int")
     files = (F.when(idx == 0, F.array(F.lit("Main.java"))).when(idx == 1, F.array(F.lit("HikariPool.java")))
              .otherwise(F.array(F.lit("Main.java"), F.lit("HikariPool.java"))))
@@ -316,7 +316,7 @@ bw AS (SELECT bundle_id, min(first_ts) AS incident_ts FROM patterns_b GROUP BY b
 f AS (SELECT bf.bundle_id, file, incident_ts FROM bf JOIN bw USING (bundle_id)),
 c AS (SELECT md5(CAST(event_id AS VARCHAR)) AS commit_hash, ts,
     unnest(CASE CAST(event_id % 3 AS INTEGER) WHEN 0 THEN ['Main.java'] WHEN 1 THEN ['HikariPool.java']
-      ELSE ['Main.java', 'HikariPool.java'] END) AS file FROM events WHERE event_type = 'signup'),
+      ELSE ['Main.java', 'HikariPool.java'] END) AS file FROM events),
 j AS (SELECT f.bundle_id, f.file, f.incident_ts, arg_max(c.commit_hash, struct_pack(t := c.ts, h := c.commit_hash))
     AS commit_hash, max(c.ts) AS commit_ts
   FROM f LEFT JOIN c ON c.file = f.file AND c.ts <= f.incident_ts GROUP BY f.bundle_id, f.file, f.incident_ts)

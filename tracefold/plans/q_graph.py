@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracefold.operators import correlate as C
@@ -9,6 +10,7 @@ from tracefold.operators import depgraph as G
 from tracefold.plans import flows as FL
 from tracefold.plans import oracle as O
 from tracefold.plans.registry import register
+from tracefold.session import table
 
 GAP = FL.FIXTURE_GAP_SECONDS
 _G = "WITH " + O.patterns_b_ctes() + O.graph_ctes()
@@ -76,3 +78,58 @@ def q_rank_with_graph(spark, sf_dir):
     r = FL.causes_with_graph_b(spark, sf_dir)
     return r.select("bundle_id", "cluster_no", "rank", "pattern_key",
                     F.col("severity_score").cast("long").alias("severity_score"), "dependency_score", "reason")
+
+
+# --- U2: nodes and edges, half the bundles with a graph of their own -------------
+
+def user_graph(spark, sf_dir):
+    """Stand-in user graphs: the bundles of even days list a handler per type of
+    their service's events, the most frequent first."""
+    ev = table(spark, sf_dir, "events").where(F.dayofmonth("ts") % 2 == 0).select(
+        F.concat(FL.service_of(), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("bundle_id"),
+        F.concat("event_type", F.lit("_handler")).alias("node"))
+    w = Window.partitionBy("bundle_id")
+    n = ev.groupBy("bundle_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("bundle_id", "node", (F.row_number().over(w.orderBy(F.col("n").desc(), "node")) - 1).cast("long").alias("position"),
+                    F.count(F.lit(1)).over(w).alias("n_nodes"))
+
+
+_EVENTS = O.graph_ctes() + O.bundle_ctes()
+
+
+@register("U2_build_graph", "WITH " + O.patterns_b_ctes() + _EVENTS + f""",
+un AS (SELECT {O.service_case_sql()} || '/' || strftime(ts, '%Y-%m-%d') AS bundle_id, event_type || '_handler' AS node,
+  count(*) AS n FROM events WHERE day(ts) % 2 = 0 GROUP BY ALL),
+users AS (SELECT bundle_id, node, row_number() OVER (PARTITION BY bundle_id ORDER BY n DESC, node) - 1 AS position FROM un),
+evx AS (SELECT *, regexp_extract(reason, '{G.EVENT_CALL_RE}', 1) AS target FROM ev_b
+  WHERE bundle_id NOT IN (SELECT bundle_id FROM users)),
+autos AS (
+  SELECT bundle_id, service FROM services UNION SELECT bundle_id, service FROM evx UNION
+  SELECT bundle_id, target FROM evx WHERE target <> '' UNION
+  SELECT bundle_id, unnest({O.mentions_sql('reason')}) FROM evx UNION
+  SELECT bundle_id, {O.clean_service_sql('pod')} FROM evx WHERE length({O.clean_service_sql('pod')}) > 2),
+auton AS (SELECT a.bundle_id, a.service AS node, CAST(greatest({O.infra_depth_sql('a.service')}, coalesce(d.chain_depth, 0)) AS BIGINT)
+    AS depth_score FROM autos a LEFT JOIN chain_depth d USING (bundle_id, service)
+  WHERE a.bundle_id NOT IN (SELECT bundle_id FROM users)),
+edges0 AS (
+  SELECT bundle_id, caused[i] AS caller, caused[i + 1] AS callee, substr(pattern, 1, 100) AS evidence, 0.8::DOUBLE AS confidence
+  FROM (SELECT *, unnest(generate_series(1, len(caused) - 1)) AS i FROM frame_lists WHERE len(caused) > 1)
+  WHERE bundle_id NOT IN (SELECT bundle_id FROM users)
+  UNION ALL SELECT bundle_id, service, target, substr(reason, 1, 100), 0.9::DOUBLE FROM evx WHERE target <> ''),
+edges AS (SELECT bundle_id, caller, callee, max(confidence) AS confidence, count(*) AS n_found FROM edges0 GROUP BY ALL)
+SELECT bundle_id, 'node' AS kind, 'user' AS origin, node, position, NULL::BIGINT AS depth_score, NULL AS caller, NULL AS callee,
+  NULL::DOUBLE AS confidence, NULL AS evidence, NULL::BIGINT AS n_found FROM users
+UNION ALL SELECT bundle_id, 'node', 'auto', node, row_number() OVER (PARTITION BY bundle_id ORDER BY depth_score DESC, node) - 1,
+  depth_score, NULL, NULL, NULL, NULL, NULL FROM auton
+UNION ALL SELECT e.bundle_id, 'edge', 'auto', NULL, NULL, NULL, caller, callee, e.confidence,
+  (SELECT min(evidence) FROM edges0 x WHERE x.bundle_id = e.bundle_id AND x.caller = e.caller AND x.callee = e.callee
+   AND x.confidence = e.confidence), n_found FROM edges e""")
+def q_build_graph(spark, sf_dir):
+    """Nodes and edges of every bundle."""
+    pats, ev, own = FL.patterns_b(spark, sf_dir), FL.events_b(spark, sf_dir), user_graph(spark, sf_dir)
+    named, _ = G.extract_event_services(ev)
+    nodes = G.build_graph(pats, own, extra=[named]).select(
+        "bundle_id", F.lit("node").alias("kind"), F.when(F.col("depth_score").isNull(), "user").otherwise("auto").alias("origin"),
+        "node", "position", "depth_score")
+    edges = G.graph_edges(pats, ev, own).withColumn("kind", F.lit("edge")).withColumn("origin", F.lit("auto"))
+    return nodes.unionByName(edges, allowMissingColumns=True)
