@@ -4,9 +4,11 @@ similar case ids, W11 running latency.
 
 Reply parsing is native: the JSON candidate is chosen with
 ``try_parse_json`` over (1) the whole text, (2) fenced blocks, (3) the widest
-``{...}`` span; the tree is read with ``from_json`` against the
-recommendation schema, and missing required parts make the row degraded (the
-reference falls back to a canned degraded recommendation).
+``{...}`` span.  It is parsed once into a VARIANT, which is cast to the model's
+tree; free-form members (evidence, states, decision factors, metadata) stay
+VARIANT.  A missing required part, or one of another type, makes the row degraded
+(the reference falls back to a canned degraded recommendation).  Values that the
+model fills from the clock or at random are NULL, or hashes of the key.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ PLAN_DEFAULTS = {"title": "Unknown Plan", "reasoning": "No reasoning provided",
 ACTION_TYPES = ["COMMAND", "PATCH", "API_CALL", "FILE_EDIT", "XML_EDIT", "RUNTIME_OP"]
 # ---------------------------------------------------------------------------
 
-S, D, L, B = T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType()
+S, D, L, B, V = T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType(), T.VariantType()
 _arr = T.ArrayType
 
 FILE_EDIT = T.StructType([T.StructField(n, S) for n in ("file_path", "original_context", "replacement_text",
@@ -55,21 +57,27 @@ SIMILAR_CASE = T.StructType([T.StructField("incident_id", S), T.StructField("sim
                              T.StructField("fix_applied", S), T.StructField("outcome", S),
                              T.StructField("resolution_time_minutes", L)])
 RECOMMENDATION = T.StructType([
-    T.StructField("rank", L), T.StructField("title", S), T.StructField("description", S),
+    T.StructField("rank", L), T.StructField("recommendation_id", S), T.StructField("title", S), T.StructField("description", S),
     T.StructField("fix_type", S), T.StructField("estimated_effort", S), T.StructField("estimated_time_minutes", L),
     T.StructField("risk_level", S), T.StructField("cost_impact", S), T.StructField("implementation", IMPLEMENTATION),
+    T.StructField("current_state", V), T.StructField("target_state", V),
     T.StructField("rollback", ROLLBACK), T.StructField("reasoning", S), T.StructField("side_effects", _arr(S)),
     T.StructField("ai_confidence", D), T.StructField("similar_cases", _arr(SIMILAR_CASE))])
-CAUSAL_STEP = T.StructType([T.StructField("step", L), T.StructField("event", S), T.StructField("timestamp", S)])
+CAUSAL_STEP = T.StructType([
+    T.StructField("step", L), T.StructField("event", S), T.StructField("timestamp", S), T.StructField("metric", S),
+    *[T.StructField(n, D) for n in ("value", "normal", "anomaly_score", "max", "wait_time_ms")],
+    T.StructField("affected_requests", L)])
 RCA = T.StructType([T.StructField("summary", S), T.StructField("primary_cause", S),
                     T.StructField("contributing_factors", _arr(S)), T.StructField("timeline", _arr(S)),
-                    T.StructField("impact", S)])
+                    T.StructField("evidence", V), T.StructField("impact", S)])
 CONFIDENCE = T.StructType([
     T.StructField("final_confidence", D), T.StructField("action", S), T.StructField("threshold_used", D),
     T.StructField("risk_level", S), T.StructField("breakdown", T.MapType(S, D)),
     T.StructField("adjustments", T.MapType(S, _arr(S))), T.StructField("reasoning", S),
-    T.StructField("decision_factors", T.MapType(S, S))])
+    T.StructField("decision_factors", V)])
 REPLY = T.StructType([
+    T.StructField("incident_id", S), T.StructField("analysis_id", S), T.StructField("analyzed_at", S),
+    T.StructField("processing_time_ms", D), T.StructField("metadata", V),
     T.StructField("root_cause_analysis", RCA), T.StructField("causal_chain", _arr(CAUSAL_STEP)),
     T.StructField("recommendations", _arr(RECOMMENDATION)), T.StructField("confidence_assessment", CONFIDENCE),
     T.StructField("requires_human_review", B), T.StructField("auto_heal_candidate", B)])
@@ -81,6 +89,12 @@ PROPOSAL = T.StructType([
     T.StructField("confidence_score", D)])
 
 
+def _frozen(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed at this point, once a row: what is selected or
+    exploded later reads them instead of repeating the parse for every use."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__x")).select("__x.*")
+
+
 def _valid(c: Column) -> Column:
     return F.try_parse_json(c).isNotNull()
 
@@ -119,6 +133,8 @@ def _required_ok(r: Column) -> Column:
         c = c & (impl.isNull() | (impl["type"].isNotNull() & _all(impl["file_edits"], lambda e: e["file_path"].isNotNull()
                                                                  & e["original_context"].isNotNull()
                                                                  & e["replacement_text"].isNotNull())))
+        for state in (x["current_state"], x["target_state"]):  # optional: null and absent are the same
+            c = c & (state.isNull() | F.is_variant_null(state) | _is_object(state))
         c = c & (x["rollback"].isNull() | x["rollback"]["rollback_time_seconds"].isNotNull())
         return c & _all(x["similar_cases"], lambda s: s["incident_id"].isNotNull() & s["similarity"].isNotNull()
                         & s["fix_applied"].isNotNull() & s["outcome"].isNotNull()
@@ -128,34 +144,84 @@ def _required_ok(r: Column) -> Column:
     for f in ("final_confidence", "action", "threshold_used", "risk_level", "breakdown", "adjustments", "reasoning",
               "decision_factors"):
         ok = ok & ca[f].isNotNull()
+    for free in (rca["evidence"], r["metadata"]):
+        ok = ok & (free.isNull() | _is_object(free))
+    ok = ok & _is_object(ca["decision_factors"])
     return ok & r["requires_human_review"].isNotNull() & r["auto_heal_candidate"].isNotNull()
 
 
-def parse_model_output(replies: DataFrame, key: str = "bundle_id", reply: str = "reply") -> DataFrame:
-    """One recommendation row per reply; ``degraded`` rows carry the
-    reference's fallback values (confidence 0, review required)."""
-    r = replies.withColumn("__j", extract_json(F.col(reply)))
-    r = r.withColumn("__r", F.from_json(F.col("__j"), REPLY))
-    r = r.withColumn("degraded", F.col("__j").isNull() | F.col("__r").isNull() | ~_required_ok(F.col("__r")))
-    deg = F.col("degraded")
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
 
-    def pick(good: Column, bad) -> Column:
-        return F.when(deg, F.lit(bad)).otherwise(good)
-
-    return r.select(
-        key, "degraded",
-        pick(F.col("__r.root_cause_analysis.summary"), DEGRADED_SUMMARY).alias("summary"),
-        pick(F.col("__r.root_cause_analysis.primary_cause"), DEGRADED_CAUSE).alias("primary_cause"),
-        F.when(deg, F.array().cast("array<string>")).otherwise(
-            F.coalesce(F.col("__r.root_cause_analysis.timeline"), F.array().cast("array<string>"))).alias("timeline"),
-        F.when(deg, F.array().cast(_arr(RECOMMENDATION))).otherwise(F.col("__r.recommendations"))
-        .alias("recommendations"),
-        pick(F.col("__r.confidence_assessment.final_confidence"), 0.0).alias("final_confidence"),
-        pick(F.col("__r.confidence_assessment.action"), DEGRADED_ACTION).alias("action"),
-        pick(F.col("__r.confidence_assessment.risk_level"), DEGRADED_RISK).alias("risk_level"),
-        pick(F.col("__r.requires_human_review"), True).alias("requires_human_review"),
-        pick(F.col("__r.auto_heal_candidate"), False).alias("auto_heal_candidate"),
-        F.substring(F.col(reply), 1, 5000).alias("raw_model_output"))
+EMPTY_OBJECT = "{}"
+_NO_TEXTS = "array<string>"
+
+
+def parse_model_output(replies: DataFrame, key: str = "bundle_id", reply: str = "reply", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One recommendation row per reply (and its columns ``keep``) with every part of the model's tree;
+    ``degraded`` rows carry the reference's fallback values (confidence 0, review
+    required).  Left out lists and objects are empty."""
+    r = _frozen(replies.select(key, *keep, reply, F.try_parse_json(extract_json(F.col(reply))).alias("__v")))
+    r = _frozen(r.withColumn("__r", F.try_variant_get("__v", "$", REPLY.simpleString())).drop("__v"))
+    r = _frozen(r.withColumn("degraded", F.col("__r").isNull() | ~F.coalesce(_required_ok(F.col("__r")), F.lit(False))))
+    deg = F.col("degraded")
+    hashed = F.md5(F.col(key).cast("string"))
+
+    def at(path: str) -> Column:
+        return F.col(f"__r.{path}")
+
+    def pick(path: str, bad) -> Column:
+        return F.when(deg, F.lit(bad)).otherwise(at(path))
+
+    def texts(path: str) -> Column:
+        return F.when(~deg, at(path)).otherwise(F.array().cast(_NO_TEXTS))
+
+    def filled(path: str) -> Column:
+        return F.coalesce(texts(path), F.array().cast(_NO_TEXTS))
+
+    def free(path: str, bad: str = EMPTY_OBJECT) -> Column:
+        return F.coalesce(F.when(~deg, at(path)), F.when(deg, F.parse_json(F.lit(bad))), F.parse_json(F.lit(EMPTY_OBJECT)))
+
+    ca = "confidence_assessment"
+    recs = F.transform(at("recommendations"), lambda x, i: x.withField("recommendation_id", F.coalesce(
+        x["recommendation_id"], F.concat(F.lit("rec_"), F.substring(F.md5(F.concat(hashed, F.lit("#"), i.cast("string"))), 1, 8)))))
+    return _frozen(r.select(
+        key, *keep, "degraded", F.when(~deg, at("incident_id")).alias("incident_id"),
+        F.coalesce(F.when(~deg, at("analysis_id")), F.concat(F.lit("analysis_"), F.substring(hashed, 1, 12))).alias("analysis_id"),
+        F.when(~deg, at("analyzed_at")).alias("analyzed_at"),
+        F.coalesce(F.when(~deg, at("processing_time_ms")), F.lit(0.0)).alias("processing_time_ms"),
+        pick("root_cause_analysis.summary", DEGRADED_SUMMARY).alias("summary"),
+        pick("root_cause_analysis.primary_cause", DEGRADED_CAUSE).alias("primary_cause"),
+        pick("root_cause_analysis.impact", DEGRADED_CAUSE).alias("impact"),
+        filled("root_cause_analysis.contributing_factors").alias("contributing_factors"),
+        filled("root_cause_analysis.timeline").alias("timeline"), free("root_cause_analysis.evidence").alias("evidence"),
+        F.when(deg, F.array().cast(_arr(CAUSAL_STEP))).otherwise(at("causal_chain")).alias("causal_chain"),
+        F.when(deg, F.array().cast(_arr(RECOMMENDATION))).otherwise(recs).alias("recommendations"),
+        pick(f"{ca}.final_confidence", 0.0).alias("final_confidence"), pick(f"{ca}.action", DEGRADED_ACTION).alias("action"),
+        pick(f"{ca}.threshold_used", 0.0).alias("threshold_used"), pick(f"{ca}.risk_level", DEGRADED_RISK).alias("risk_level"),
+        F.when(deg, F.create_map().cast("map<string,double>")).otherwise(at(f"{ca}.breakdown")).alias("breakdown"),
+        F.when(deg, F.from_json(F.lit('{"penalties": [], "bonuses": []}'), "map<string,array<string>>"))
+        .otherwise(at(f"{ca}.adjustments")).alias("adjustments"),
+        pick(f"{ca}.reasoning", DEGRADED_REASONING).alias("confidence_reasoning"),
+        free(f"{ca}.decision_factors").alias("decision_factors"),
+        pick("requires_human_review", True).alias("requires_human_review"),
+        pick("auto_heal_candidate", False).alias("auto_heal_candidate"),
+        free("metadata", '{"error": "All models failed"}').alias("metadata"),
+        F.substring(F.col(reply), 1, 5000).alias("raw_model_output")))
+
+
+def free_members(recs: DataFrame, key: str = "bundle_id") -> DataFrame:
+    """(key, part, rec, name, value as JSON): the members of the free-form objects of
+    parsed replies; ``rec`` is the recommendation's place for its states, else null."""
+    objects = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(None).cast("int").alias("rec"), F.col(p).alias("v"))
+                        for p in ("evidence", "decision_factors", "metadata")])
+    states = F.flatten(F.transform("recommendations", lambda x, i: F.array(*[
+        F.struct(F.lit(p).alias("part"), i.alias("rec"), x[p].alias("v")) for p in ("current_state", "target_state")])))
+    rows = recs.select(key, F.explode(F.concat(objects, states)).alias("o")).select(key, "o.*")
+    return rows.sparkSession.sql(
+        f"SELECT r.`{key}`, r.part, CAST(r.rec AS BIGINT) AS rec, e.key AS name, to_json(e.value) AS value "
+        "FROM {rows} r, LATERAL variant_explode(r.v) e", rows=rows)
 
 
 def parse_proposals(replies: DataFrame, key: str = "bundle_id", reply: str = "reply") -> DataFrame:
@@ -196,15 +262,13 @@ def recommendation_to_actions(recs: DataFrame, key: str = "bundle_id") -> DataFr
                 .otherwise(F.lit("COMMAND")))
     cmds = F.transform(F.coalesce(impl["commands"], F.array().cast("array<string>")),
                        lambda c: F.struct(cmd_type.alias("type"), c.alias("command"),
-                                          F.lit(None).cast("string").alias("file_path"),
-                                          F.lit(None).cast("string").alias("xml_selector")))
+                                          *[F.lit(None).cast("string").alias(n) for n in FILE_EDIT.names]))
     edits = F.transform(F.coalesce(impl["file_edits"], F.array().cast(_arr(FILE_EDIT))), lambda e: F.struct(
         F.when((F.col("__t.fix_type") == "xml_block_edit") | (F.coalesce(e["xml_selector"], F.lit("")) != ""),
                F.lit("XML_EDIT")).otherwise(F.lit("FILE_EDIT")).alias("type"),
-        F.concat(F.lit("Edit "), e["file_path"]).alias("command"), e["file_path"].alias("file_path"),
-        e["xml_selector"].alias("xml_selector")))
-    acts = F.when(impl.isNull(), F.array().cast("array<struct<type:string,command:string,file_path:string,"
-                                                  "xml_selector:string>>")).otherwise(F.concat(cmds, edits))
+        F.concat(F.lit("Edit "), e["file_path"]).alias("command"), *[e[n].alias(n) for n in FILE_EDIT.names]))
+    acts = F.when(impl.isNull(), F.array().cast(_arr(T.StructType([T.StructField("type", S), T.StructField("command", S),
+                                                                   *FILE_EDIT.fields])))).otherwise(F.concat(cmds, edits))
     return r.select(key, F.posexplode(acts).alias("pos", "a")).select(
         key, F.col("pos").cast("long").alias("pos"), "a.*")
 
@@ -220,13 +284,16 @@ def validate_recommendations(recs: DataFrame, key: str = "bundle_id") -> DataFra
     return recs.select(key, issues.alias("issues"))
 
 
-def similar_case_ids(recs: DataFrame, key: str = "bundle_id") -> DataFrame:
-    """Distinct similar-case ids across all recommendations, first seen first."""
-    ids = F.array_distinct(F.flatten(F.transform(
+def _case_ids() -> Column:
+    return F.array_distinct(F.flatten(F.transform(
         F.coalesce(F.col("recommendations"), F.array().cast(_arr(RECOMMENDATION))),
         lambda r: F.transform(F.coalesce(r["similar_cases"], F.array().cast(_arr(SIMILAR_CASE))),
                               lambda s: s["incident_id"]))))
-    return recs.select(key, ids.alias("similar_cases"))
+
+
+def similar_case_ids(recs: DataFrame, key: str = "bundle_id") -> DataFrame:
+    """Distinct similar-case ids across all recommendations, first seen first."""
+    return recs.select(key, _case_ids().alias("similar_cases"))
 
 
 def _severity(raw: Column) -> Column:
@@ -236,24 +303,31 @@ def _severity(raw: Column) -> Column:
     return expr.otherwise(F.lit("high"))
 
 
-def to_incident_response(recs: DataFrame, bundles: DataFrame | None = None, key: str = "bundle_id") -> DataFrame:
-    """Recommendation (+ bundle) -> response fields: fixes, status,
-    approval, severity, confidence, similar cases."""
+def to_incident_response(recs: DataFrame, bundles: DataFrame | None = None, key: str = "bundle_id",
+                         bundle: str | None = None) -> DataFrame:
+    """Recommendation (+ bundle) -> the response: fixes with their edits and
+    commands, status, approval, diagnosis and meta.  ``bundles`` has the column
+    ``bundle`` (default ``key``), affected_services and changed_files."""
+    no_texts = F.array().cast(_NO_TEXTS)
+
+    def lowered(x: Column) -> Column:
+        return F.when(F.coalesce(x, F.lit("")) != "", F.lower(x)).otherwise(F.lit("unknown"))
+
     fixes = F.transform(F.coalesce(F.col("recommendations"), F.array().cast(_arr(RECOMMENDATION))), lambda r: F.struct(
-        F.concat(F.lit("fix_"), F.lpad(r["rank"].cast("string"), 3, "0")).alias("fix_id"),
-        r["rank"].alias("rank"), r["title"].alias("title"),
-        F.when(F.coalesce(r["risk_level"], F.lit("")) != "", F.lower(r["risk_level"])).otherwise(F.lit("unknown"))
-        .alias("risk"),
-        F.when(F.coalesce(r["estimated_effort"], F.lit("")) != "", F.lower(r["estimated_effort"]))
-        .otherwise(F.lit("unknown")).alias("effort"),
-        F.coalesce(F.size(r["implementation"]["file_edits"]), F.lit(0)).alias("n_file_edits"),
-        F.coalesce(r["implementation"]["commands"], F.array().cast("array<string>")).alias("commands"),
-        F.coalesce(r["implementation"]["post_checks"], F.array().cast("array<string>")).alias("verify"),
+        F.concat(F.lit("fix_"), F.when(F.length(r["rank"].cast("string")) < 3, F.lpad(r["rank"].cast("string"), 3, "0"))
+                 .otherwise(r["rank"].cast("string"))).alias("fix_id"),
+        r["rank"].alias("rank"), r["title"].alias("title"), r["description"].alias("description"),
+        lowered(r["risk_level"]).alias("risk"), lowered(r["estimated_effort"]).alias("effort"),
+        F.coalesce(F.transform(r["implementation"]["file_edits"], lambda e: F.struct(
+            e["file_path"].alias("file"), e["original_context"].alias("find"), e["replacement_text"].alias("replace"))),
+            F.array().cast("array<struct<file:string,find:string,replace:string>>")).alias("file_edits"),
+        F.coalesce(r["implementation"]["commands"], no_texts).alias("commands"),
+        F.coalesce(r["implementation"]["post_checks"], no_texts).alias("verify"),
         F.try_element_at(r["rollback"]["commands"], F.lit(1)).alias("rollback")))
     conf = F.col("final_confidence")
     r = recs.withColumn("fixes", fixes)
     n_fix = F.size("fixes")
-    executable = F.exists("fixes", lambda f: (f["n_file_edits"] > 0) | (F.size(f["commands"]) > 0))
+    executable = F.exists("fixes", lambda f: (F.size(f["file_edits"]) > 0) | (F.size(f["commands"]) > 0))
     review = F.col("requires_human_review")
     status = (F.when(conf == 0.0, F.lit("analysis_failed")).when(n_fix == 0, F.lit("manual_review"))
               .when(~executable, F.lit("guidance_only"))
@@ -262,13 +336,19 @@ def to_incident_response(recs: DataFrame, bundles: DataFrame | None = None, key:
     raw = F.when(F.coalesce(F.col("risk_level"), F.lit("")) != "", F.lower("risk_level")).when(
         n_fix > 0, F.lower(F.coalesce(F.try_element_at("recommendations", F.lit(1))["risk_level"], F.lit("unknown")))) \
         .otherwise(F.lit("unknown"))
-    out = r.select(key, status.alias("status"), approval.alias("approval_required"),
-                   _severity(raw).alias("severity"), F.round(conf, 3).alias("confidence"),
-                   F.coalesce(F.col("primary_cause"), F.lit("Unknown")).alias("root_cause"),
-                   F.col("timeline").alias("causal_chain"), "fixes", F.lit(False).alias("auto_applied"))
-    out = out.join(similar_case_ids(recs, key), key, "left")
+    used = F.coalesce(F.try_variant_get("metadata", "$.rag_incidents_used", "bigint"), F.lit(0))
+    time = F.when(F.col("processing_time_ms") != 0, F.round("processing_time_ms", 1))
+    out = r.select(key, *([bundle] if bundle and bundle != key else []), "analyzed_at", time.alias("processing_time_ms"),
+                   status.alias("status"), approval.alias("approval_required"),
+                   F.coalesce("summary", F.lit("")).alias("summary"), _severity(raw).alias("severity"),
+                   F.round(conf, 3).alias("confidence"), F.coalesce(F.col("primary_cause"), F.lit("Unknown")).alias("root_cause"),
+                   F.col("timeline").alias("causal_chain"), "fixes", F.lit(False).alias("auto_applied"),
+                   used.alias("rag_incidents_used"), _case_ids().alias("similar_cases"))
     if bundles is not None:
-        out = out.join(bundles.select(key, "affected_services"), key, "left")
+        on = bundle or key
+        out = out.join(bundles.select(on, "affected_services", "changed_files"), on, "left").withColumns({
+            "affected_services": F.coalesce("affected_services", no_texts),
+            "affected_files": F.coalesce("changed_files", no_texts)}).drop("changed_files")
     return out
 
 

@@ -42,7 +42,7 @@ lines AS (
       '.load(Main.java:', CAST(60 + event_id % 2 AS STRING), ')')
     WHEN 6 THEN 'Caused by: com.example.pool.PoolExhaustedException: no connection left'
     WHEN 7 THEN CASE WHEN user_id % 2 = 0 THEN 'Caused by: java.net.SocketTimeoutException: read timed out'
-      ELSE 'Caused by: java.io.IOError: broken pipe' END
+      ELSE 'Caused by: java.io.BrokenPipeError: reset' END
     WHEN 9 THEN '  File "/app/services/order_handler.py", line 42, in process'
     WHEN 10 THEN '  File "/usr/lib/python3/site-packages/requests/api.py", line 59, in get'
     WHEN 11 THEN concat('  File "/app/clients/', CASE WHEN user_id % 2 = 0 THEN 'payment_client' ELSE 'stock_client' END, '.py", line 7, in call')
