@@ -57,6 +57,10 @@ EXTRA = ("row k t t1 t2 m w h p n x key kept all cut node comp tokens topic page
          "n_words base_failed component_id n_removed weight ratio band value size shard depth").split()
 
 
+def extra_columns(df):
+    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(EXTRA) if c not in df.columns])
+
+
 def rows_of(df):
     return sorted(map(str, df.collect()))
 
@@ -204,26 +208,62 @@ def test_shards_fit_and_cover(spark, odd, empty):
     assert sharding.assign_shards(odd).count() == len(odd_rows()) and sharding.assign_shards(empty).count() == 0
 
 
-def test_raking_meets_the_marginals(spark, odd, empty):
+def mixed_rows(n=1500):
     rng = random.Random(4)
-    rows = [(i, "the " * rng.randint(1, 40) + rng.choice(["", "\n", " | "]), rng.choice("abc"), rng.choice("sstu"))
-            for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    cells = mixing.features(df).groupBy(*mixing.DIMS).agg(F.sum("tokens").alias("tokens"))
-    raked = mixing.rake(cells, sweeps=40).collect()
-    total = sum(r["tokens"] for r in raked)
-    for dim in mixing.DIMS:
-        have, want = Counter(), Counter()
-        for r in raked:
-            have[r[dim]] += r["weight"]
-            want[r[dim]] += r["tokens"]
-        norm = sum(v ** mixing.FLATTEN[dim] for v in want.values())
-        for v, n in want.items():
-            assert have[v] == pytest.approx(total * n ** mixing.FLATTEN[dim] / norm, rel=1e-5)
-    out = mixing.mix(df).collect()
-    assert all(0 <= r["p"] <= 1 for r in out)
-    assert sum(r["p"] * r["tokens"] for r in out) == pytest.approx(0.8 * total, rel=1e-6)
-    assert all(r["kept"] for r in mixing.mix(odd).collect() if not r["tokens"])
+    return [(i, "the " * rng.randint(1, 40) + rng.choice(["", "\n", " | | | | | ", "license rights ", "api key: error. "]),
+             rng.choice("aaabbc"), rng.choice("sssstu")) for i in range(n)]
+
+
+MIX = "doc_id long, text string, lang string, source string"
+
+
+def test_sample_meets_given_targets(spark):
+    df = extra_columns(spark.createDataFrame(mixed_rows(), MIX))
+    given = [("lang", "a", 2.0), ("lang", "b", 1.0), ("lang", "c", 1.0), ("source", "s", 0.4), ("source", "t", 0.3), ("source", "u", 0.3),
+             ("lang", "nowhere", 5.0)]
+    targets = spark.createDataFrame(given, "dim string, value string, share double")
+    raked, goals = mixing.fit(mixing.features(df), targets, sweeps=60)
+    told = {(r["dim"], r["value"]): r for r in mixing.report(raked, goals).collect()}
+    assert set(told) == {g[:2] for g in given[:-1]} and all(r["met"] for r in told.values())
+    assert told["lang", "a"]["target"] == pytest.approx(0.5) and told["source", "u"]["expected"] == pytest.approx(0.3, abs=1e-4)
+    out = mixing.mix(df, targets, sweeps=60).collect()
+    assert all(0 <= r["p"] <= 1 for r in out) and len(out) == 1500
+    # the drawn documents themselves have the targets, up to the noise of the draw
+    tokens = Counter()
+    for r in out:
+        if r["kept"]:
+            tokens["lang", r["lang"]] += r["tokens"]
+            tokens["source", r["source"]] += r["tokens"]
+            tokens["all"] += r["tokens"]
+    for k, r in told.items():
+        assert tokens[k] / tokens["all"] == pytest.approx(r["target"], abs=0.03)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    rows = [(i, "w " * 10, "a" if i < 90 else "b", "s" if i < 90 else "t") for i in range(100)]  # languages are sources
+    df = spark.createDataFrame(rows, MIX)
+    targets = spark.createDataFrame([("lang", "a", 0.5), ("lang", "b", 0.5), ("source", "s", 0.9), ("source", "t", 0.1)],
+                                    "dim string, value string, share double")
+    raked, goals = mixing.fit(mixing.features(df), targets)
+    assert not all(r["met"] for r in mixing.report(raked, goals).collect())
+    assert all(0 <= r["p"] <= 1 for r in raked.collect())
+
+
+def test_topics_by_words_then_register(spark):
+    texts = {"The License. All rights reserved": "legal", "call or e-mail the api": "contact", "a | b | c | d": "table",
+             "one\ntwo\nthree": "lines", "just some words of prose": "prose", "": "none", None: "none",
+             "API key: error": "technical", "mail api": "contact"}
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], MIX)
+    got = {r["key"]: r["topic"] for r in mixing.features(df).select("key", "topic").collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_default_mix_and_odd_rows(spark, odd, empty):
+    df = spark.createDataFrame(mixed_rows(), MIX)
+    raked, goals = mixing.fit(mixing.features(df), sweeps=40)
+    assert all(r["met"] for r in mixing.report(raked, goals).collect())
+    out = mixing.mix(odd).collect()
+    assert len(out) == len(odd_rows()) and all(r["kept"] for r in out if not r["tokens"])
     assert mixing.mix(empty).collect() == []
 
 

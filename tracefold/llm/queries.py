@@ -100,40 +100,50 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_sql(source: str = "documents") -> str:
+    lists = mixing.lexicon(mixing.TOPICS)
+    known = ", ".join(f"'{w}'" for w in sorted({w for ws in lists.values() for w in ws}))
+    counts = ", ".join("len(list_filter(k, lambda x: x IN ({}))) AS n_{}".format(", ".join(f"'{w}'" for w in ws), t)
+                       for t, ws in lists.items())
+    top = "greatest({})".format(", ".join(f"n_{t}" for t in lists))
+    topic = " ".join(f"WHEN n_{t} = {top} THEN '{t}'" for t in lists)
+    shares = " UNION ALL ".join(
+        f"SELECT '{d}' AS dim, {d} AS value, sum(tokens) AS tokens, pow(sum(tokens)::DOUBLE, {p}) / (SELECT sum(x) FROM "
+        f"(SELECT pow(sum(tokens)::DOUBLE, {p}) AS x FROM c GROUP BY {d})) AS share FROM c GROUP BY {d}"
+        for d, p in mixing.FLATTEN.items())
     steps, last = [], "k0"
     for n in range(1, mixing.SWEEPS + 1):
         for dim in mixing.DIMS:
             name = f"k{n}_{dim}"
-            steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (w * goal_{dim} / sum(w) OVER (PARTITION BY {dim}) AS w) "
-                         f"FROM {last})")
+            steps.append(
+                f"{name}_f AS (SELECT *, (goal_{dim} - coalesce(sum(tokens) OVER (PARTITION BY {dim} ORDER BY u DESC, source, lang, topic "
+                f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(tokens * u) OVER (PARTITION BY {dim} ORDER BY u DESC, "
+                f"source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM {last}), "
+                f"{name} AS MATERIALIZED (SELECT * EXCLUDE (f) REPLACE (u * coalesce(max(CASE WHEN f * u <= 1 THEN f END) "
+                f"OVER (PARTITION BY {dim}), 1 / min(u) OVER (PARTITION BY {dim})) AS u) FROM {name}_f)")
             last = name
-    goals = ", ".join(
-        f"g_{d} AS (SELECT {d}, (SELECT sum(tokens) FROM c) * pow(sum(tokens), {p}) / "
-        f"(SELECT sum(pow(m, {p})) FROM (SELECT sum(tokens) AS m FROM c GROUP BY {d})) AS goal_{d} FROM c GROUP BY {d})"
-        for d, p in mixing.FLATTEN.items())
     return f"""
-WITH f AS (
+WITH b AS (
   SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang,
-         CASE WHEN coalesce(text, '') = '' THEN 'none' WHEN lower(text) LIKE '%licen%' THEN 'licence'
-              WHEN text LIKE '% | %' THEN 'table' WHEN text LIKE '%' || chr(10) || '%' THEN 'paragraphs'
-              ELSE 'passage' END AS topic,
-         len(list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS tokens
+         length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS n_lines,
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[ \x09-\x0D]+'), lambda x: x <> '') AS w
   FROM {source}),
-c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM f GROUP BY ALL HAVING sum(tokens) > 0),
-{goals},
-k0 AS MATERIALIZED (SELECT *, tokens AS w FROM c JOIN g_source USING (source) JOIN g_lang USING (lang)
-                    JOIN g_topic USING (topic)),
+q AS (SELECT *, list_filter(w, lambda x: x IN ({known})) AS k FROM b),
+t AS (SELECT *, {counts} FROM q),
+f AS MATERIALIZED (
+  SELECT doc_id, source, lang, len(w)::BIGINT AS tokens,
+         CASE WHEN {top} = 0 THEN CASE WHEN len(w) = 0 THEN 'none'
+              WHEN len(list_filter(w, lambda x: x = '|')) * {mixing.TABLE_BARS} >= len(w) THEN 'table'
+              WHEN n_lines * {mixing.LINE_WORDS} >= len(w) THEN 'lines' ELSE 'prose' END {topic} END AS topic FROM t),
+c AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM f GROUP BY ALL HAVING sum(tokens) > 0),
+g AS MATERIALIZED (SELECT *, share * {mixing.KEEP_SHARE} * min(tokens / share) OVER () AS goal FROM ({shares})),
+k0 AS MATERIALIZED (
+  SELECT c.*, 1::DOUBLE AS u, gs.goal AS goal_source, gl.goal AS goal_lang, gt.goal AS goal_topic FROM c
+  JOIN g gs ON gs.dim = 'source' AND gs.value = source JOIN g gl ON gl.dim = 'lang' AND gl.value = lang
+  JOIN g gt ON gt.dim = 'topic' AND gt.value = topic),
 {", ".join(steps)},
-r AS (SELECT source, lang, topic, tokens AS t, w, w / tokens AS ratio FROM {last}),
-u AS (SELECT ratio, sum(t) AS t, sum(w) AS w FROM r GROUP BY ratio),
-v AS (SELECT ratio, ({mixing.KEEP_SHARE} * sum(t) OVER () - coalesce(sum(t) OVER (ORDER BY ratio DESC ROWS BETWEEN
-             UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY ratio DESC ROWS BETWEEN CURRENT ROW
-             AND UNBOUNDED FOLLOWING) AS c FROM u),
-best AS (SELECT max(c) AS c FROM v WHERE c * ratio <= 1),
-o AS (SELECT f.*, coalesce(r.ratio, 1.0) AS ratio,
-             CASE WHEN f.tokens = 0 THEN 1.0 ELSE least(1.0, coalesce(best.c, 1.0) * r.ratio) END AS p
-      FROM f LEFT JOIN r USING (source, lang, topic) CROSS JOIN best)
-SELECT doc_id, source, lang, topic, tokens, round(ratio, 4) AS ratio, round(p, 4) AS p,
+o AS (SELECT f.*, CASE WHEN f.tokens = 0 THEN 1.0 ELSE least(1.0, r.u) END AS p
+      FROM f LEFT JOIN {last} r USING (source, lang, topic))
+SELECT doc_id, source, lang, topic, tokens, round(p, 4) AS p,
        ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / {float(1 << 52)}
          < p AS kept
 FROM o"""
@@ -142,8 +152,7 @@ FROM o"""
 @register("op5_mixing", mixing_sql())
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).select(
-        F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens",
-        F.round("ratio", 4).alias("ratio"), F.round("p", 4).alias("p"), "kept")
+        F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("p", 4).alias("p"), "kept")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
