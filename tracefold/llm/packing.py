@@ -43,7 +43,7 @@ SMALL = (CAPACITY // 8, CAPACITY // 4, CAPACITY // 3, CAPACITY // 2)
 #: Equal-cardinality groups of the large lengths.
 GROUPS = 64
 #: Words of a generation whose ids a worker remembers, at most.
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 250_000
 _STOPS = (".", ",")
 #: White space other than a single blank or line end between words, as a pattern's alternatives.
 _GAPS = (r"[ \n][ \n]", r"\A[ \n]", r"[ \n]\z",
@@ -206,6 +206,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
                     data.append(pa.array(cols["ids"], pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(data, names)
+        pa.default_memory_pool().release_unused()  # the worker stays, for other stages too
 
     return src.mapInArrow(run, schema).withColumnRenamed("k", key)
 
