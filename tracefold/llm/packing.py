@@ -42,8 +42,8 @@ END_ID = 0
 SMALL = (CAPACITY // 8, CAPACITY // 4, CAPACITY // 3, CAPACITY // 2)
 #: Equal-cardinality groups of the large lengths.
 GROUPS = 64
-#: Words of a generation whose ids a worker remembers, at most.
-_CACHE_WORDS = 500_000
+#: Words of a generation whose ids a worker remembers, at most (about 320 bytes each, two generations).
+CACHE_WORDS = 500_000
 _STOPS = (".", ",")
 #: White space other than a single blank or line end between words, as a pattern's alternatives.
 _GAPS = (r"[ \n][ \n]", r"\A[ \n]", r"[ \n]\z",
@@ -65,13 +65,14 @@ class ChunkCoder:
     A batch is split and its distinct words are numbered by Arrow; only these are
     looked up.  New ones are encoded together, a line each: the line end is a token
     of its own there, which no word holds, so it tells them apart.  The memory of
-    words has two generations of at most ``_CACHE_WORDS``: a full one becomes the
+    words has two generations of at most ``words`` each: a full one becomes the
     old one, and words found there move up, so frequent words are never lost."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.bound = words
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.line_end = self._whole("\n")
@@ -111,7 +112,7 @@ class ChunkCoder:
         self.words.update((w, self.words[w[:-1]] + self.stops[w[-1]]) for w in stopped)
 
     def _values(self, distinct: list[str]) -> list[bytes]:
-        if len(self.words) > _CACHE_WORDS:
+        if len(self.words) > self.bound:
             self.old, self.words = self.words, {}
         values = list(map(self.words.get, distinct))
         missing = [i for i, v in enumerate(values) if v is None]
@@ -155,14 +156,14 @@ class ChunkCoder:
         return out
 
 
-_CODERS: dict[str, ChunkCoder] = {}
+_CODERS: dict[tuple[str, int], ChunkCoder] = {}
 
 
-def coder_for(path: str) -> ChunkCoder:
+def coder_for(path: str, words: int = CACHE_WORDS) -> ChunkCoder:
     """One coder per Python worker, so that its words serve the worker's next task."""
-    if path not in _CODERS:
-        _CODERS[path] = ChunkCoder(path)
-    return _CODERS[path]
+    if (path, words) not in _CODERS:
+        _CODERS[path, words] = ChunkCoder(path, words)
+    return _CODERS[path, words]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -175,16 +176,17 @@ PIECE_SCHEMA = "piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY,
-           with_ids: bool = False) -> DataFrame:
+           with_ids: bool = False, words: int = CACHE_WORDS) -> DataFrame:
     """One row per piece: ``key``, piece, start, length, ids_crc32 and, on
-    request, ``ids`` (little-endian 32-bit ids)."""
+    request, ``ids`` (little-endian 32-bit ids).  ``words`` bounds what a worker
+    remembers between batches: less memory for more time, the same ids."""
     key_type = df.schema[key].dataType
     src = df.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     schema = f"k {key_type.simpleString()}, {PIECE_SCHEMA}" + (", ids binary" if with_ids else "")
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_for(tokenizer)
+        coder = coder_for(tokenizer, words)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
