@@ -41,10 +41,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents with their sequences and offsets."""
-    cut = packing.pieces(docs, tokenizer_path())
+    cut = packing.pieces(docs, tokenizer_path(), words=PACKING_WORDS)
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+#: Words a generation that a worker remembers while packing: workers serve other stages after it.
+PACKING_WORDS = 100_000
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
