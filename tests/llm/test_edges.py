@@ -289,7 +289,7 @@ def test_top_k_against_all_pairs(spark):
     assert topk.top_k_embeddings(few.limit(0), F.col("vec_id") == 0).collect() == []
 
 
-def test_word_coder_equals_whole_encoding(monkeypatch):
+def test_word_coder_equals_whole_encoding():
     coder = packing.ChunkCoder(Q.tokenizer_path())
     rng = random.Random(1)
     parts = ["a", "B", "é", "1", ".", ",", "\n", " ", " ", "_", "!", "'s", "́", "\t", " ", "<|endoftext|>", "日", "\r"]
@@ -297,7 +297,7 @@ def test_word_coder_equals_whole_encoding(monkeypatch):
     whole = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     column = pa.array(texts, pa.string())
     for bound in (500_000, 500_000, 20, 20):  # both generations, with and without words known
-        monkeypatch.setattr(packing, "_CACHE_WORDS", bound)
+        coder.bound = bound
         assert [list(x) for x in coder.encode(column)] == whole
     assert [list(x) for x in coder.encode(column.slice(7, 900))] == whole[7:907]
     assert coder.encode(column.slice(0, 0)) == []
