@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as T
-from tracefold.operators.scan import gap_sessions, numeric_bucket, running_sum
+from tracefold.operators.scan import gap_sessions, numeric_bucket
 
 DEFAULT_ENTRY_BUCKET = 1 << 16
+#: Time buckets of J1: each level is 2 ** FAN_BITS times as wide as the one below.
+FAN_BITS, LEVELS = 10, 4
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's behaviour: ranking reason texts.
@@ -35,17 +37,32 @@ def flush_segments(entries: DataFrame, keys: tuple[str, ...] = ("source_id",), l
     """Every ERROR closes a segment holding the entries since the previous
     ERROR (arrival order) whose ts is within ``lookback_seconds`` before it;
     the tail without an ERROR yields nothing.  Adds ``segment`` (0-based per
-    key) and ``error_ts``."""
+    key) and ``error_ts``.
+
+    The errors before a row and the next one after it come from one scan in
+    (key, bucket of ``order``), once forwards and once backwards, and from a table
+    of one row per bucket; no join on the segment, which is one key for a source
+    without errors."""
     keys = list(keys)
-    is_err = (F.col("level") == "ERROR").cast("long")
-    d = running_sum(entries, keys, [order], is_err, "__errs", numeric_bucket(order, bucket_width))
-    d = d.withColumn("segment", F.col("__errs") - is_err).drop("__errs")
-    closing = (d.where(F.col("level") == "ERROR")
-               .select(*keys, "segment", F.col("ts").alias("error_ts"), F.col(order).alias("__err_no")))
-    d = d.join(closing, [*keys, "segment"], "inner")
-    keep = (F.col(order) == F.col("__err_no")) | (
-        F.col("ts") >= F.col("error_ts") - F.make_dt_interval(secs=F.lit(lookback_seconds)))
-    return d.where(keep).drop("__err_no")
+    is_err = F.coalesce(F.col("level") == "ERROR", F.lit(False))
+    seen = Window.partitionBy(*keys, "__b")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    marker = F.when(is_err, F.struct(F.col(order).alias("no"), F.col("ts").alias("at")))
+    d = (entries.withColumn("__b", numeric_bucket(order, bucket_width)).withColumn("__err", marker)
+         .withColumn("__n", F.count("__err").over(seen.orderBy(order).rowsBetween(*so_far)))
+         .withColumn("__next", F.min("__err").over(seen.orderBy(F.col(order).desc()).rowsBetween(*so_far))))
+    per_bucket = d.groupBy(*keys, "__b").agg(F.count("__err").alias("__bn"), F.min("__err").alias("__bfirst"))
+    others = (Window.unboundedPreceding, -1)
+    carry = per_bucket.select(
+        *keys, "__b",
+        F.sum("__bn").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(*others)).alias("__before"),
+        F.min("__bfirst").over(Window.partitionBy(*keys).orderBy(F.col("__b").desc()).rowsBetween(*others)).alias("__later"))
+    d = d.join(carry, [*keys, "__b"], "left").withColumn("__next", F.coalesce("__next", "__later"))
+    keep = (F.col(order) == F.col("__next.no")) | (
+        F.col("ts") >= F.col("__next.at") - F.make_dt_interval(secs=F.lit(lookback_seconds)))
+    segment = F.col("__n") + F.coalesce(F.col("__before"), F.lit(0)) - is_err.cast("long")
+    return (d.where(keep).withColumn("segment", segment).withColumn("error_ts", F.col("__next.at"))
+            .drop("__b", "__err", "__n", "__next", "__before", "__later"))
 
 
 def error_lookback(entries: DataFrame, key: str = "source_id", batch: str = "batch_id", lookback_seconds: int = 300,
@@ -55,29 +72,52 @@ def error_lookback(entries: DataFrame, key: str = "source_id", batch: str = "bat
     ``ts >= first_error.ts - lookback``; no upper bound in time.  The result's
     batch column names the batch of the error; adds ``first_error_ts``.
 
-    The few (source, batch) windows are expanded over time buckets of the
-    lookback's width and meet the entries on (source, bucket): the window ends at
-    the newest time seen so far, a running maximum over the source's batches.
-    ``max_entries`` keeps only the newest entries per window, on request."""
+    Windows first meet the *batches* whose newest entry is late enough, on a table
+    of one row per batch, and then the entries of those batches.  A window starts
+    at a time and ends at the newest time seen so far; it is cut into buckets whose
+    width grows by 1024 a level, at most 2048 of them on all but the last, so
+    one line dated far ahead adds no long run of buckets.  ``max_entries`` keeps
+    only the newest entries per window, on request."""
     cond_err = F.col("level") == "ERROR"
     stats = entries.groupBy(key, batch).agg(
         F.min_by(F.col("ts"), F.when(cond_err, F.col(order))).alias("first_error_ts"),
-        F.max("ts").alias("__max_ts"), F.max(order).alias("__last"), F.max(cond_err).alias("__err"))
+        F.max("ts").alias("__max_ts"), F.min(order).alias("__first"), F.max(order).alias("__last"),
+        F.max(cond_err).alias("__err"))
     so_far = Window.partitionBy(key).orderBy("__last").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stats = stats.withColumn("__max_ts", F.max("__max_ts").over(so_far)).where("__err and first_error_ts is not null")
+    stats = stats.withColumn("__newest", F.max("__max_ts").over(so_far))
     since = F.col("first_error_ts") - F.make_dt_interval(secs=F.lit(lookback_seconds))
 
-    def bucket(ts: Column) -> Column:
-        return F.floor(F.unix_micros(ts) / F.lit(max(1, lookback_seconds) * 1_000_000)).cast("long")
-
-    windows = stats.select(key, batch, "first_error_ts", "__last", since.alias("__since"),
-                           F.explode(F.sequence(bucket(since), bucket(F.col("__max_ts")))).alias("__b"))
-    d = (entries.drop(batch).withColumn("__b", bucket(F.col("ts"))).join(windows, [key, "__b"])
-         .where((F.col(order) <= F.col("__last")) & (F.col("ts") >= F.col("__since"))))
+    def bucket(ts: Column, level: int) -> Column:
+        finest = F.floor(F.unix_micros(ts) / F.lit(max(1, lookback_seconds) * 1_000_000)).cast("long")
+        return F.shiftright(finest, FAN_BITS * level)
+
+    def spans(level: int) -> Column:
+        first, last = bucket(since, level), bucket(F.col("__newest"), level)
+        if level:
+            first = first + 1
+        if level < LEVELS - 1:
+            last = F.least(last, F.shiftleft(bucket(since, level + 1) + 1, FAN_BITS) - 1)
+        named = F.transform(F.sequence(first, last), lambda b: F.struct(F.lit(level).alias("level"), b.alias("b")))
+        return F.when(first <= last, named).otherwise(F.array().cast("array<struct<level:int,b:bigint>>"))
+
+    windows = stats.where("__err and first_error_ts is not null").select(
+        key, batch, "first_error_ts", F.col("__last").alias("__until"), since.alias("__since"),
+        F.explode(F.concat(*map(spans, range(LEVELS)))).alias("__b"))
+    batches = stats.where("__max_ts is not null").select(
+        key, F.col(batch).alias("__of"), "__max_ts", "__first",
+        F.explode(F.array(*[F.struct(F.lit(i).alias("level"), bucket(F.col("__max_ts"), i).alias("b"))
+                            for i in range(LEVELS)])).alias("__b"))
+    pairs = (windows.join(batches, [key, "__b"])
+             .where((F.col("__first") <= F.col("__until")) & (F.col("__max_ts") >= F.col("__since")))
+             .select(F.col(key).alias("__key"), "__of", batch, "first_error_ts", "__until", "__since"))
+    e = entries.withColumnRenamed(batch, "__batch")
+    d = (e.join(pairs, (e[key] == pairs["__key"]) & e["__batch"].eqNullSafe(pairs["__of"]))
+         .where((F.col(order) <= F.col("__until")) & (F.col("ts") >= F.col("__since")))
+         .drop("__key", "__of", "__batch"))
     if max_entries is not None:
         newest = Window.partitionBy(key, batch).orderBy(F.col(order).desc())
         d = d.withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= max_entries).drop("__rn")
-    return d.drop("__b", "__last", "__since")
+    return d.drop("__until", "__since")
 
 
 def cluster_by_gap(patterns: DataFrame, keys: tuple[str, ...] = ("bundle_id",), ts: str = "first_ts",
@@ -123,15 +163,17 @@ def match_dependencies(patterns: DataFrame, priorities: DataFrame, keys: tuple[s
     Patterns are not paired with every node: a node can only occur in a pattern
     that contains the node's first ``min(gram, len)`` characters, so distinct
     pattern n-grams (n = 1..gram) are joined to node prefixes on (bundle,
-    n-gram) and only those candidates are verified with ``contains``.  Work
-    grows with the text, not with patterns x nodes, and the result is exact."""
+    n-gram) and only those candidates are verified with ``contains``.  The n-gram
+    rows carry the pattern's id; its text comes back once, for the verification.
+    Work grows with the text, not with patterns x nodes, and the result is exact."""
     keys, pid = list(keys), list(pattern_id)
     p = patterns.select(*keys, *pid, F.lower(F.col("pattern")).alias("__plc"))
     node_len = F.length("node_lc")
     nodes = priorities.where(node_len > 0).withColumn("__g", F.substring("node_lc", 1, gram))
     grams = F.array_distinct(F.concat(*[_grams(F.col("__plc"), n) for n in range(1, gram + 1)]))
-    hits = (p.select(*keys, *pid, "__plc", F.explode(grams).alias("__g")).join(nodes, [*keys, "__g"])
-            .where(F.col("__plc").contains(F.col("node_lc")))
+    candidates = (p.select(*keys, *pid, F.explode(grams).alias("__g")).join(nodes, [*keys, "__g"])
+                  .select(*keys, *pid, "node_lc", "priority"))
+    hits = (candidates.join(p, [*keys, *pid]).where(F.col("__plc").contains(F.col("node_lc")))
             .groupBy(*keys, *pid).agg(F.max("priority").alias("__hit")))
     # an empty node name is contained in every pattern of its bundle
     empty = priorities.where(node_len == 0).groupBy(*keys).agg(F.max("priority").alias("__all"))

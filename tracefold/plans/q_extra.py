@@ -1,6 +1,6 @@
 """Registered queries: event/metric service extraction (P6, P7), the detailed
-summary (P10), the prompt payload (P11), code snippets (J3) and the as-of
-recent commit (J10)."""
+summary (P10), code snippets (J3) and the as-of recent
+commit (J10)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tracefold.functions.time import iso_seconds
 from tracefold.operators import bundle as B
-from tracefold.operators import correlate as C
 from tracefold.operators import depgraph as G
 from tracefold.operators import patterns as A
 from tracefold.operators.parse import STACK_FILE_RE
@@ -169,84 +168,6 @@ def q_summarize_detailed(spark, sf_dir):
     return summarize_detailed(spark, sf_dir)
 
 
-# --- P11 prompt payload ---------------------------------------------------------------
-
-PAYLOAD_PATTERN_CHARS, PAYLOAD_EFFECTS, PAYLOAD_SECONDARY, PAYLOAD_EVENTS, PAYLOAD_SEQ, PAYLOAD_SEQ_CHARS = \
-    3000, 5, 3, 10, 50, 200
-
-
-def prompt_payload(spark, sf_dir) -> DataFrame:
-    """One JSON document per bundle for an offline inference job: window,
-    clusters with ranked causes / primary cause / effects, events, metrics,
-    graph, sequence; NULL fields are omitted by ``to_json``."""
-    pats, _, _, nodes = FL.graph_b(spark, sf_dir)
-    scored = C.match_dependencies(pats, C.dependency_priority(nodes))
-    cl = C.cluster_by_gap(scored, gap_seconds=FL.FIXTURE_GAP_SECONDS)
-    causes = C.rank_root_causes(cl)
-    ranks = C.rank_clusters(cl, causes)
-    eff = C.effects(cl, causes)
-    svc = lambda: F.when(F.col("container").isNotNull(), F.regexp_replace(
-        F.regexp_replace("container", r"-[a-f0-9]+-[a-z0-9]+$", ""), r"-\d+$", ""))
-    pat_struct = lambda: F.struct(F.substring("pattern", 1, PAYLOAD_PATTERN_CHARS).alias("pattern"),
-                                  "count", F.col("error_class").alias("severity"),
-                                  svc().alias("affectedService"), iso_seconds(F.col("first_ts")).alias("firstOccurrence"),
-                                  F.struct(F.lit("application").alias("type")).alias("logSource"))
-    rc = causes.groupBy("bundle_id", "cluster_no").agg(
-        F.array_sort(F.collect_list(F.struct("rank", F.substring("pattern", 1, PAYLOAD_PATTERN_CHARS).alias("pattern"),
-                                             F.col("error_class").alias("severity"), svc().alias("affectedService"),
-                                             "reason", F.lit("application").alias("logSource")))).alias("rootCauses"),
-        F.min_by(pat_struct(), F.col("rank")).alias("primaryRootCause"))
-    ef = eff.groupBy("bundle_id", "cluster_no").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(
-        F.col("first_ts").alias("o1"), F.col("first_entry_no").alias("o2"), pat_struct().alias("p")))),
-        lambda s: s["p"]), 1, PAYLOAD_EFFECTS).alias("effects"))
-    ts0 = cl.groupBy("bundle_id", "cluster_no").agg(iso_seconds(F.min("first_ts")).alias("timestamp"))
-    clusters = (ranks.join(ts0, ["bundle_id", "cluster_no"]).join(rc, ["bundle_id", "cluster_no"], "left")
-                .join(ef, ["bundle_id", "cluster_no"], "left")
-                .select("bundle_id", "cluster_rank", F.struct("timestamp", F.coalesce("rootCauses", F.array())
-                                                               .alias("rootCauses"), "primaryRootCause",
-                                                               F.coalesce("effects", F.array()).alias("effects"))
-                        .alias("c")))
-    corr = clusters.groupBy("bundle_id").agg(
-        F.min_by("c", "cluster_rank").alias("primaryCluster"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("cluster_rank") > 1, F.struct("cluster_rank", "c")))),
-                            lambda s: s["c"]), 1, PAYLOAD_SECONDARY).alias("secondaryClusters"))
-    ev = FL.events_b(spark, sf_dir)
-    evs = ev.groupBy("bundle_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(
-        "ts", "id", F.struct("type", "reason", "service", "pod").alias("e")))), lambda s: s["e"]),
-        1, PAYLOAD_EVENTS).alias("events"))
-    seq = B.sequence_index(pats, ev)
-    sq = seq.where(F.col("sequence_index") < PAYLOAD_SEQ).groupBy("bundle_id").agg(F.transform(F.array_sort(
-        F.collect_list(F.struct("sequence_index", F.struct(iso_seconds(F.col("ts")).alias("timestamp"), "type",
-                                                             F.substring("message", 1, PAYLOAD_SEQ_CHARS).alias("message"),
-                                                             F.col("sequence_index").alias("idx")).alias("s")))),
-        lambda s: s["s"]).alias("sequence"))
-    met = FL.metrics_b(spark, sf_dir).select("bundle_id", F.struct(
-        F.col("cpu_z").alias("cpuZ"), F.col("mem_z").alias("memZ"), F.col("latency_z").alias("latencyZ"),
-        F.col("error_rate_z").alias("errorRateZ")).alias("metrics"))
-    chain = nodes.groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "node"))),
-                                                       lambda s: s["node"]).alias("dependencyGraph"))
-    win = A.bundle_window(pats)
-    hint = A.derive_hint(pats, level="error_class", ord_col="first_entry_no")
-    b = (win.join(corr, "bundle_id", "left").join(evs, "bundle_id", "left").join(sq, "bundle_id", "left")
-         .join(met, "bundle_id", "left").join(chain, "bundle_id", "left").join(hint, "bundle_id", "left")
-         .join(G.root_service(nodes), "bundle_id", "left").join(A.affected_services(pats), "bundle_id", "left"))
-    doc = F.struct(
-        F.col("bundle_id").alias("id"),
-        F.struct(iso_seconds(F.col("window_start")).alias("start"), iso_seconds(F.col("window_end")).alias("end"))
-        .alias("window"),
-        F.col("root_service").alias("rootService"), F.col("affected_services").alias("affectedServices"),
-        F.struct("primaryCluster", F.coalesce("secondaryClusters", F.array()).alias("secondaryClusters"),
-                 F.array().cast("array<string>").alias("unrelatedPatterns")).alias("errorCorrelation"),
-        F.coalesce("events", F.array()).alias("events"), "metrics", "dependencyGraph",
-        F.coalesce("sequence", F.array()).alias("sequence"), F.col("hint").alias("derivedRootCauseHint"))
-    return b.select("bundle_id", F.to_json(doc).alias("payload"))
-
-
-@register("P11_prompt_payload")
-def q_prompt_payload(spark, sf_dir):
-    return prompt_payload(spark, sf_dir)
-
-
 # --- J3 code snippets -----------------------------------------------------------------
 
 REPO_FILES = ["Main.java", "HikariPool.java", "README.md"]

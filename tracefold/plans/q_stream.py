@@ -30,18 +30,21 @@ def _scratch(spark) -> str:
     return delete_on_exit(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tracefold-stream-{uuid.uuid4().hex[:12]}")
 
 
-def _land_lines(spark, sf_dir, base: str) -> str:
+def _land_lines(spark, sf_dir, base: str, shutdown: bool = False) -> str:
     """Write the fixture lines as the files a log agent would ship (one
-    logical file per source)."""
+    logical file per source), each with a SHUTDOWN line at its end on request."""
     path = f"{base}/in"
-    (log_lines(spark, sf_dir).select("source_id", F.col("source_id").alias("file"), "line_no", "line")
-     .repartition("source_id").sortWithinPartitions("line_no").write.parquet(path))
+    lines = log_lines(spark, sf_dir).select("source_id", F.col("source_id").alias("file"), "line_no", "line")
+    if shutdown:
+        lines = lines.unionByName(lines.groupBy("source_id", "file").agg(
+            (F.max("line_no") + 1).alias("line_no"), F.lit(SF.SHUTDOWN).alias("line")))
+    lines.repartition("source_id").sortWithinPartitions("line_no").write.parquet(path)
     return path
 
 
-def _run_flush(spark, sf_dir, window_seconds=60, foreach=None) -> tuple[str, DataFrame | None]:
+def _run_flush(spark, sf_dir, window_seconds=60, foreach=None, shutdown=False) -> tuple[str, DataFrame | None]:
     base = _scratch(spark)
-    src = _land_lines(spark, sf_dir, base)
+    src = _land_lines(spark, sf_dir, base, shutdown)
     flushed = SF.stream_flush(SS.stream_log_lines(spark, src), window_seconds=window_seconds)
     w = flushed.writeStream.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
     if foreach is None:
@@ -83,6 +86,21 @@ def q_stream_flush(spark, sf_dir):
                       iso_seconds(F.col("flushed_at")).alias("flushed_at"))
 
 
+@register("T1_stream_reasons", _W1_60 + """,
+every AS (SELECT w1a.*, w1e.error_ts, coalesce(w1e.error_ts, max(ts) OVER (PARTITION BY w1a.source_id)) AS end_ts
+  FROM w1a LEFT JOIN w1e USING (source_id, segment)),
+judged AS (SELECT *, ts >= end_ts - INTERVAL 60 SECOND AS kept FROM every)
+SELECT source_id, entry_no, level, CASE WHEN kept THEN segment ELSE -1 END AS flush_no,
+  CASE WHEN NOT kept THEN 'pruned' WHEN error_ts IS NULL THEN 'shutdown' ELSE 'error_detected' END AS reason,
+  length(message) AS n_chars FROM judged""")
+def q_stream_reasons(spark, sf_dir):
+    """T1 with T2: every entry once, with the reason for which it left the buffer;
+    a SHUTDOWN line ends each source."""
+    base, _ = _run_flush(spark, sf_dir, shutdown=True)
+    return spark.read.parquet(f"{base}/out").select("source_id", "entry_no", "level", "flush_no", "reason",
+                                                    F.length("message").cast("long").alias("n_chars"))
+
+
 def _upsert_flushes(batch: DataFrame, batch_id: int, path: str) -> None:
     inc = (batch.where("flush_no >= 0")
            .groupBy("source_id", "flush_no").agg(F.count(F.lit(1)).alias("n_entries"),

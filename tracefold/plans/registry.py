@@ -36,6 +36,8 @@ def _load_all() -> None:
     from tracefold.plans import q_recommend  # noqa: F401
     from tracefold.plans import q_stream  # noqa: F401
     from tracefold.plans import q_extra  # noqa: F401
+    from tracefold.plans import q_documents  # noqa: F401
+    from tracefold.plans import q_payload  # noqa: F401
 
 
 def _fresh(fn):

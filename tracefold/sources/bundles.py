@@ -56,8 +56,8 @@ BUNDLE = T.StructType([
     T.StructField("git_context", GIT_CONTEXT), T.StructField("code_snippets", T.ArrayType(CODE_SNIPPET)),
     T.StructField("git_config", GIT_CONFIG), T.StructField("gitConfig", GIT_CONFIG)])
 
-ENVELOPE = T.StructType([T.StructField("bundle", BUNDLE), T.StructField("use_rag", T.BooleanType()),
-                         T.StructField("top_k", T.LongType())])
+#: A document is a bundle, or an envelope with one.
+DOCUMENT = T.StructType([*BUNDLE.fields, T.StructField("bundle", BUNDLE)])
 
 
 def stable_bundle_id(key: Column) -> Column:
@@ -72,7 +72,7 @@ def _blank_to_null(c: Column) -> Column:
 def assemble_bundles(patterns: DataFrame, windows: DataFrame, *, root: DataFrame | None = None,
                      affected: DataFrame | None = None, events: DataFrame | None = None,
                      metrics: DataFrame | None = None, nodes: DataFrame | None = None,
-                     sequence: DataFrame | None = None, hint: DataFrame | None = None,
+                     sequence: DataFrame | None = None, hint: DataFrame | None = None, flush: DataFrame | None = None,
                      key: str = "bundle_id", ts_format=None) -> DataFrame:
     """A10: one nested bundle row per ``key`` from child tables.  Child lists
     are ``collect_list(struct(ord, ...))`` sorted by ``ord``; every list holds
@@ -119,6 +119,9 @@ def assemble_bundles(patterns: DataFrame, windows: DataFrame, *, root: DataFrame
         b = b.join(sq, key, "left")
     if hint is not None:
         b = b.join(hint.select(key, F.col("hint").alias("derivedRootCauseHint")), key, "left")
+    if flush is not None:
+        b = b.join(flush.select(key, F.struct("reason", "log_count", fmt(F.col("flushed_at")).alias("flushed_at"))
+                                .alias("flush_metadata")), key, "left")
     return b.withColumn("id", stable_bundle_id(F.col(key)))
 
 
@@ -136,9 +139,8 @@ def write_bundles(bundles: DataFrame, path: str, key: str = "bundle_id") -> None
 
 
 def write_bundles_batch(batch: DataFrame, batch_id: int, path: str, query_id: str = "q") -> None:
-    """Streaming sink for ``foreachBatch``: each micro-batch goes to its own
-    ``query_id/batch_id`` folder with overwrite, so a replayed batch rewrites
-    the same output (idempotent)."""
+    """A micro-batch's bundles go to their own ``query_id/batch_id`` folder with
+    overwrite, so a replayed batch rewrites the same output (idempotent)."""
     bundles_to_json(batch).select("json").write.mode("overwrite").text(f"{path}/{query_id}/batch_id={batch_id}")
 
 
@@ -153,21 +155,30 @@ def reduce_or(cols):
     return out
 
 
-def read_bundles(docs: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
+def read_bundles(docs: DataFrame, json_col: str = "json", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Parse bundle documents (bare bundle or ``{bundle: ...}`` envelope).
 
-    Returns ``(bundles, corrupt)``: typed rows, and the documents that did not
-    parse (kept, not dropped).  ``errorClass`` is read as an alias of
-    ``severity``, ``affectedService`` is always a list, ``gitConfig`` is an
-    alias of ``git_config`` and an empty object there is NULL; a JSON null for
-    ``dependencyGraph`` becomes an empty list."""
-    raw = F.col(json_col)
-    env = F.from_json(raw, ENVELOPE)
-    bare = F.from_json(raw, BUNDLE)
-    parsed = docs.withColumn("__b", F.coalesce(env["bundle"], bare)).withColumn(
-        "__ok", F.try_parse_json(raw).isNotNull())
-    corrupt = parsed.where(~F.col("__ok") | F.col("__b").isNull()).select(F.col(json_col).alias("_corrupt_record"))
-    good = parsed.where(F.col("__ok") & F.col("__b").isNotNull())
+    Returns ``(bundles, corrupt)``: typed rows, and the documents that hold no
+    bundle, whole, as ``_corrupt_record`` with a ``reason``: ``malformed`` (no JSON,
+    or NULL), ``not an object``, ``no bundle`` (an object without any field of one).
+    Both carry the ``keep`` columns of ``docs``, whose names must differ from theirs.
+
+    ``errorClass`` is read as an alias of ``severity``, ``affectedService`` is always
+    a list, ``gitConfig`` is an alias of ``git_config`` and an empty object there is
+    NULL; a missing list or a JSON null for one becomes an empty list, a missing
+    or null ``metrics`` an object without values.  Missing times stay NULL."""
+    raw, keep = F.col(json_col), list(keep)
+    doc = F.from_json(raw, DOCUMENT)
+    parsed = docs.select(*keep, raw.alias("__raw"), F.try_parse_json(raw).isNotNull().alias("__json"), doc.alias("__d"))
+    bare = F.struct(*[F.col(f"__d.{f}").alias(f) for f in BUNDLE.fieldNames()])
+    parsed = parsed.withColumn("__b", F.coalesce(F.col("__d.bundle"), bare))
+    some = reduce_or([F.col(f"__b.{f}").isNotNull() for f in BUNDLE.fieldNames()])
+    parsed = parsed.withColumn("__why", F.when(~F.col("__json"), "malformed")
+                               .when(~F.col("__raw").rlike(r"^\s*\{"), "not an object").when(~some, "no bundle"))
+    corrupt = parsed.where(F.col("__why").isNotNull()).select(
+        *keep, F.col("__raw").alias("_corrupt_record"), F.col("__why").alias("reason"))
+    good = parsed.where(F.col("__why").isNull())
+    no_metrics = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in METRICS])
     aff = lambda p: F.when(F.trim(p["affectedService"]).startswith("["),
                            F.from_json(p["affectedService"], T.ArrayType(T.StringType()))).when(
         p["affectedService"].isNotNull(), F.array(p["affectedService"]))
@@ -177,11 +188,11 @@ def read_bundles(docs: DataFrame, json_col: str = "json") -> tuple[DataFrame, Da
         p["rootService"].alias("rootService"), aff(p).alias("affectedService"), p["logSource"].alias("logSource")))
     gc = F.coalesce(_empty_struct_to_null(F.col("__b.git_config"), GIT_CONFIG.fieldNames()),
                     _empty_struct_to_null(F.col("__b.gitConfig"), GIT_CONFIG.fieldNames()))
-    cols = [F.col(f"__b.{c}").alias(c) for c in ("id", "windowStart", "windowEnd", "rootService")]
+    cols = [*keep, *[F.col(f"__b.{c}").alias(c) for c in ("id", "windowStart", "windowEnd", "rootService")]]
     cols += [F.coalesce(F.col("__b.affectedServices"), F.array().cast("array<string>")).alias("affectedServices"),
              F.coalesce(pats, F.array()).alias("logPatterns"),
              F.coalesce(F.col("__b.events"), F.array()).alias("events"),
-             F.col("__b.metrics").alias("metrics"),
+             F.coalesce(F.col("__b.metrics"), no_metrics).alias("metrics"),
              F.coalesce(F.col("__b.dependencyGraph"), F.array().cast("array<string>")).alias("dependencyGraph"),
              F.coalesce(F.col("__b.sequence"), F.array()).alias("sequence"),
              F.col("__b.derivedRootCauseHint").alias("derivedRootCauseHint"),
