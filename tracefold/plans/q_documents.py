@@ -77,7 +77,7 @@ def q_bundle_fields(spark, sf_dir):
 @register("S4_corrupt_bundles", "WITH " + O.patterns_b_ctes() + f""",
 d AS (SELECT DISTINCT bundle_id, {_FORM_SQL} AS form FROM patterns_b)
 SELECT bundle_id AS doc_key, CASE form WHEN 2 THEN 'malformed' WHEN 6 THEN 'no bundle' ELSE 'not an object' END AS reason,
-  CASE form WHEN 2 THEN '{{"id":"' WHEN 6 THEN '{{"use_' ELSE '[{{"id"' END AS record_start
+  CASE form WHEN 2 THEN '{{"id":' WHEN 6 THEN '{{"use_' ELSE '[{{"id"' END AS record_start
 FROM d WHERE form IN (2, 6, 7)""")
 def q_corrupt_bundles(spark, sf_dir):
     """The side table of documents without a bundle."""
