@@ -92,3 +92,32 @@ def test_upsert_batches_idempotent(spark):
     SS.upsert_batch(b1, 1, base)                      # replayed batch rewrites its own folder
     got = sorted((r.id, r.n, r.version) for r in SS.read_upserted(spark, base).collect())
     assert got == [("a", 5, 1), ("b", 1, 0)]
+
+
+def test_flush_takes_bounded_shipments(spark, monkeypatch):
+    """T1's queries: a micro-batch holds a bounded part of the lines, not a whole source;
+    entries out of line order, heads without a time and lines before a head included."""
+    from tracefold.plans import q_stream as QS
+    rows = []
+    for i in range(300):
+        sec = (i * 7) % 300                                    # times are not in line order
+        for source in ("a", "b"):
+            rows += [(source, 10 * i + 4, f"2024-01-01 10:{sec // 60:02d}:{sec % 60:02d} {'ERROR' if sec % 11 == 0 else 'INFO'} m{i}"),
+                     (source, 10 * i + 5, f"  at frame {i}")]
+            if i % 50 == 3:
+                rows.append((source, 10 * i + 6, f"2024-13-41 99:99:99 INFO no time {i}"))
+    rows += [("a", 1, "  before any head")]
+    lines = spark.createDataFrame(rows, "source_id string, line_no long, line string").withColumn("container", F.lit("c"))
+    monkeypatch.setattr(QS, "log_lines", lambda *_: lines)
+
+    def flushed(ship_bytes):
+        monkeypatch.setattr(QS, "SHIP_BYTES", ship_bytes)
+        base, _ = QS._run_flush(spark, SF_SMALL, shutdown=True)
+        files = spark.read.parquet(f"{base}/in").groupBy(F.col("_metadata.file_path")).count().collect()
+        out = spark.read.schema(SF.OUTPUT_SCHEMA).parquet(f"{base}/out")
+        return max(r["count"] for r in files), sorted(map(str, out.collect()))
+
+    small, got = flushed(10_000)
+    whole, want = flushed(1 << 30)
+    assert got == want and len(got) == 609                   # four entries follow the SHUTDOWN in time
+    assert small < 150 and whole == len(rows) + 2             # 10 000 bytes, and a second's lines more
