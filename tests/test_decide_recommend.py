@@ -111,3 +111,24 @@ def test_parse_replies_and_response(spark):
     assert [(a.type, a.command) for a in acts] == [("RUNTIME_OP", "kubectl scale x")]
     issues = {r.bundle_id: r.issues for r in R.validate_recommendations(recs).collect()}
     assert issues["bare"] == [] and "Confidence is zero" in issues["none"]
+
+
+def test_extracted_json_is_that_of_the_patterns(spark):
+    """Splits and searches find what the patterns found, and cut texts are not read from each brace."""
+    from pyspark.sql import functions as F
+    from tracefold.operators import recommend as R
+    texts = ['{"a": 1}', ' \n{"a": 2}\t', 'x ```json\n{"a": 3}\n``` y', 'x ```JSON {"a": 4} ```', '``````{"a": 5}```',
+             '```\nno\n``` ```\n{"a": 6}\n\n```', '````{"a": 7}```', 'p {"a": 8} q', 'p } {"a": 9', '} {', '{"a": 10} ```json {"a": 11}',
+             '```json```{"a": 12}', '```jso{"a": 13}```', '', '   ', '{', '{"a": {"b": 14}} ```{"a": 15}``` }', '[{"a": 16}]',
+             "é ```json\r\n{\"a\": \"é\"}\r\n``` é {", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    s = F.trim(F.regexp_replace("t", r"^\s+|\s+$", ""))
+    valid = lambda c: F.try_parse_json(c).isNotNull()
+    fenced = F.filter(F.transform(F.regexp_extract_all(s, F.lit(R.FENCED_RE), 1), lambda b: F.trim(b)), valid)
+    braced = F.filter(F.regexp_extract_all(s, F.lit(R.BRACED_RE), 0), valid)
+    old = F.coalesce(F.when(s.startswith("{") & valid(s), s), F.try_element_at(fenced, F.lit(1)), F.try_element_at(braced, F.lit(1)))
+    for r in df.select("t", old.alias("old"), R.extract_json(F.col("t")).alias("new"), F.to_json(F.try_parse_json(old)).alias("old_v"),
+                       F.to_json(R.extract_variant(F.col("t"))).alias("new_v")).collect():
+        assert (r.new, r.new_v) == (r.old, r.old_v), r
+    plan = df.select(R.extract_variant(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan.lower()

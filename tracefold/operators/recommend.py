@@ -99,17 +99,51 @@ def _valid(c: Column) -> Column:
     return F.try_parse_json(c).isNotNull()
 
 
+_SPACE = " \t\n\x0b\f\r"
+
+
+def _stripped(text: Column) -> Column:
+    """``text`` without white space at its ends; native, as it stands in several branches."""
+    return F.btrim(text, F.lit(_SPACE))
+
+
+def _blocks(t: Column) -> Column:
+    """The matches of ``FENCED_RE``: every second part between fences, the last part is
+    never closed.  A split, as the pattern tries its end at each character."""
+    parts = F.split(t, "```", -1)
+    closed = F.filter(parts, lambda p, i: (i % 2 == 1) & (i < F.size(parts) - 1))
+
+    def inner(p: Column) -> Column:
+        p = F.ltrim(F.when(F.lower(F.left(p, F.lit(4))) == "json", F.substring(p, F.lit(5), F.length(p))).otherwise(p),
+                    F.lit(_SPACE))
+        return F.trim(F.when(p.endswith("\n"), F.left(p, F.length(p) - 1)).otherwise(p))
+
+    return F.when(t.contains("```"), F.transform(closed, inner))
+
+
+def _widest(t: Column) -> Column:
+    """The one match of ``BRACED_RE``: from the first ``{`` to the last ``}``.  Two
+    searches; the pattern would read the rest of a cut text again from each ``{``."""
+    start, end = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+    return F.when((start > 0) & t.contains("}") & (end > start), F.substring(t, start, end - start + 1))
+
+
 def extract_json(text: Column) -> Column:
     """The JSON document inside a reply: the whole stripped text if it is a
     JSON object, else the first fenced block that parses, else the widest
     ``{...}`` span that parses; NULL when none does."""
-    t = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    t = _stripped(text)
     whole = F.when(t.startswith("{") & _valid(t), t)
-    fenced = F.filter(F.transform(F.regexp_extract_all(t, F.lit(FENCED_RE), 1), lambda b: F.trim(b)),
-                      lambda b: _valid(b))
-    braced = F.filter(F.regexp_extract_all(t, F.lit(BRACED_RE), 0), lambda b: _valid(b))
-    widest = F.try_element_at(F.array_sort(braced, lambda a, b: F.length(b) - F.length(a)), F.lit(1))
-    return F.coalesce(whole, F.try_element_at(fenced, F.lit(1)), widest)
+    fenced = F.try_element_at(F.filter(_blocks(t), _valid), F.lit(1))
+    return F.coalesce(whole, fenced, F.when(_valid(_widest(t)), _widest(t)))
+
+
+def extract_variant(text: Column) -> Column:
+    """``extract_json``'s document, parsed: every candidate is parsed once."""
+    t = _stripped(text)
+    fenced = F.filter(F.transform(_blocks(t), F.try_parse_json), lambda v: v.isNotNull())
+    return F.coalesce(F.when(t.startswith("{"), F.try_parse_json(t)), F.try_element_at(fenced, F.lit(1)),
+                      F.try_parse_json(_widest(t)))
 
 
 def _all(arr: Column, pred) -> Column:
@@ -162,7 +196,7 @@ def parse_model_output(replies: DataFrame, key: str = "bundle_id", reply: str =
     """One recommendation row per reply (and its columns ``keep``) with every part of the model's tree;
     ``degraded`` rows carry the reference's fallback values (confidence 0, review
     required).  Left out lists and objects are empty."""
-    r = _frozen(replies.select(key, *keep, reply, F.try_parse_json(extract_json(F.col(reply))).alias("__v")))
+    r = _frozen(replies.select(key, *keep, reply, extract_variant(F.col(reply)).alias("__v")))
     r = _frozen(r.withColumn("__r", F.try_variant_get("__v", "$", REPLY.simpleString())).drop("__v"))
     r = _frozen(r.withColumn("degraded", F.col("__r").isNull() | ~F.coalesce(_required_ok(F.col("__r")), F.lit(False))))
     deg = F.col("degraded")

@@ -90,7 +90,11 @@ FROM body
 
 
 def replies(spark, sf_dir) -> DataFrame:
-    return spark.sql(REPLIES_SQL, events=table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts"))
+    """The rows that the replies are written from are few bytes, and adaptive execution joins
+    them into few tasks; the replies are dealt out to all cores before they are parsed."""
+    r = spark.sql(REPLIES_SQL, events=table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return r.repartition(n, "reply_id")
 
 
 def recs(spark, sf_dir) -> DataFrame:
