@@ -53,7 +53,7 @@ def dedup_patterns_b(entries: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
             F.max_by(F.col("ts"), F.col("entry_no")).alias("last_ts")]
     if escalate:
         aggs.append(F.max(F.when(F.col("level") == "ERROR", 1).otherwise(0)).alias("any_error"))
-    g = e.groupBy(*keys, "pattern_key").agg(*aggs)
+    g = e.groupBy("pattern_key", *keys).agg(*aggs)   # the key first: sorting by it tells most rows apart
     level = F.col("f.level")
     if escalate:
         level = F.when(F.col("any_error") == 1, F.lit("ERROR")).otherwise(level)

@@ -55,7 +55,8 @@ def patterns_b(spark: SparkSession, sf_dir: str, escalate: bool = False) -> Data
     """A2 per (source, day) bundle, with the reference order as pattern_ord."""
     from tracefold.plans.materialize import materialize
     p = A.dedup_patterns_b(day_bundle(entries_b(spark, sf_dir)), keys=("bundle_id",), escalate=escalate)
-    return materialize(A.order_patterns_b(p), "patterns")
+    # written before it is ordered too: the ordinal reads its input twice
+    return materialize(A.order_patterns_b(materialize(p, "unordered_patterns")), "patterns")
 
 
 @memo

@@ -155,6 +155,16 @@ def reduce_or(cols):
     return out
 
 
+#: Characters from which a text may pass the limit of the variant type (128 MiB).
+LONG_JSON = 16 << 20
+
+
+def _is_json(raw: Column) -> Column:
+    """Whether a text is JSON; a long object or array is JSON too where it is too large for a variant."""
+    large = F.json_object_keys(raw).isNotNull() | F.json_array_length(raw).isNotNull()
+    return F.try_parse_json(raw).isNotNull() | ((F.length(raw) > LONG_JSON) & large)
+
+
 def read_bundles(docs: DataFrame, json_col: str = "json", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Parse bundle documents (bare bundle or ``{bundle: ...}`` envelope).
 
@@ -168,8 +178,10 @@ def read_bundles(docs: DataFrame, json_col: str = "json", keep: tuple[str, ...]
     NULL; a missing list or a JSON null for one becomes an empty list, a missing
     or null ``metrics`` an object without values.  Missing times stay NULL."""
     raw, keep = F.col(json_col), list(keep)
-    doc = F.from_json(raw, DOCUMENT)
-    parsed = docs.select(*keep, raw.alias("__raw"), F.try_parse_json(raw).isNotNull().alias("__json"), doc.alias("__d"))
+    # a generated row: filters on its fields stay above it, so a text is parsed once and not in each filter again
+    once = F.explode_outer(F.array(F.struct(_is_json(raw).alias("json"), F.from_json(raw, DOCUMENT).alias("d"))))
+    parsed = docs.select(*keep, raw.alias("__raw"), once.alias("__p")).select(
+        *keep, "__raw", F.col("__p.json").alias("__json"), F.col("__p.d").alias("__d"))
     bare = F.struct(*[F.col(f"__d.{f}").alias(f) for f in BUNDLE.fieldNames()])
     parsed = parsed.withColumn("__b", F.coalesce(F.col("__d.bundle"), bare))
     some = reduce_or([F.col(f"__b.{f}").isNotNull() for f in BUNDLE.fieldNames()])
