@@ -73,3 +73,26 @@ def test_patterns_are_worked_out_once(spark, monkeypatch):
     assert [(r.bundle_id[0], r.pattern_ord, r["count"], r.error_class) for r in rows[:6]] == [
         ("a", i, n, c) for i, (n, c) in enumerate([(2, "ERROR"), (2, "ERROR"), (1, "ERROR"), (9, "INFO"), (8, "INFO"), (8, "INFO")])]
     assert calls.value == len(rows) == 12
+
+
+def test_shipments_of_many_files_lose_no_entry(spark, monkeypatch):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(s, i, t0 + dt.timedelta(hours=i), "INFO", f"m{i % 5}") for s in ("a", "payment-service", "frontend-web") for i in range(600)]
+    rows += [("a", 600, None, "INFO", "no time")]
+    entries = spark.createDataFrame(rows, "source_id string, entry_no long, ts timestamp, level string, message string").repartition(6)
+    bases = []
+    scratch = QS._scratch
+    monkeypatch.setattr(QS, "_scratch", lambda s: bases.append(scratch(s)) or bases[-1])
+    monkeypatch.setattr(FL, "entries_b", lambda *_: entries)
+    monkeypatch.setattr(QS, "WINDOW_SHIPMENTS", 2)
+    out = QS._run_windows(spark, "none", lambda e: SW.windowed_error_rate(e, "1 hour", watermark=f"{QS.DELAY_DAYS} days"))
+    got = {r.kind: r.n for r in out.where("source_id <> '__close__'").groupBy("kind").agg(F.sum("entry_count").alias("n")).collect()}
+    first = (t0 - dt.datetime(1970, 1, 1)).days
+    ship = {(s, i): (first + i // 24) // QS.SHIP_DAYS + QS.LAGS.get(s, 0) for s, i, t, *_ in rows if t}
+    late = sum(1 for (s, i), n in ship.items() if any(m < n for m in ship.values())
+               and i < max(j for (_, j), m in ship.items() if m < n) - 24 * QS.DELAY_DAYS)
+    assert got == {"late": late, "window": len(ship) - late} and late
+    files = spark.read.schema("entry_no long").parquet(f"{bases[0]}/in").select("_metadata.file_path").distinct().count()
+    batches = spark.read.parquet(f"{bases[0]}/gate/newest").select("batch_id").distinct().count()
+    assert batches == len(set(ship.values())) + 1 < files       # a batch for each shipment and the control row
+    assert G.late_rows(spark, f"{bases[0]}/gate", entries.schema).count() == late
