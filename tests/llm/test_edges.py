@@ -4,6 +4,7 @@ of the inner algorithms."""
 
 import os
 import random
+import re
 import sys
 from collections import Counter
 
@@ -267,6 +268,27 @@ def test_default_mix_and_odd_rows(spark, odd, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_mixing_looks_a_word_up_once(spark):
+    df = spark.createDataFrame(mixed_rows(10), MIX)
+    many = {f"t{i}": f"known k{i}" for i in range(6)}
+    plan = mixing.features(df, topics=many)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"filter\(x#\d+\.w, ", plan)) == 2  # the known words, and the bars of a text without any
+
+
+def test_mixing_reads_the_texts_once(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    out = Q.queries()["op5_mixing"](spark, str(tmp_path))
+    assert not any("documents.parquet" in f for f in out.inputFiles())  # the features were written
+    whole = mixing.mix(odd).select("row.doc_id", "source", "lang", "topic", "tokens", F.round("p", 4).alias("p"), "kept")
+    assert rows_of(out) == rows_of(whole) and out.count() == len(odd_rows())
+
+
+def test_features_carry_the_named_columns(spark, odd):
+    few = mixing.features(extra_columns(odd), carry=["k", "row"])
+    assert few.select("row.*").columns == ["k", "row"]
+    assert rows_of(few.drop("row")) == rows_of(mixing.features(odd).drop("row"))
+
+
 def test_top_k_against_all_pairs(spark):
     rng = random.Random(6)
     rows = [(i, [float(rng.randint(-3, 3)) / 2 for _ in range(10)]) for i in range(120)]
