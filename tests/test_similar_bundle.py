@@ -49,6 +49,35 @@ def test_top_k_matches_brute_force(spark):
         assert [got[(q, r + 1)] for r in range(len(sims))] == [j for _, j in sims]
 
 
+def test_top_k_meets_every_block_and_keeps_equal_vectors_in_id_order(spark):
+    """Many blocks in many partitions: every query meets every block (no pair of blocks may
+    land in two tasks), and copies of a vector are equally similar wherever they stand."""
+    rnd = np.random.default_rng(11)
+    base = rnd.normal(size=(40, 24)).astype(np.float32)
+    vecs = base[rnd.integers(0, 40, 900)]
+    rows = [(f"v{i:04d}", v.tolist()) for i, v in enumerate(vecs)] + [("none", None), ("gap", [None] * 24)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(7)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        got = S.top_k_similar(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "index_id"), k=4,
+                              exclude_self=True, block_rows=64, n_query_blocks=5, n_index_blocks=3)
+        got = {(r.query_id, r.rank): (r.index_id, r.similarity) for r in got.collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    m = vecs.astype(np.float64)
+    for q in range(900):
+        same = [j for j in range(900) if j != q and (vecs[j] == vecs[q]).all()][:4]
+        sim = np.array([np.sqrt((m[q] * m[q]).sum()) * np.sqrt((v * v).sum()) for v in m])
+        rest = sorted((-round(float(m[q] @ m[j] / sim[j]), 9), j) for j in range(900) if j != q and j not in same)
+        want = same + [j for s, j in rest[:4 - len(same)] if s <= 0]
+        assert [got[(f"v{q:04d}", r + 1)][0] for r in range(len(want))] == [f"v{j:04d}" for j in want]
+    assert len(got) == 3600
+
+
 def test_upsert_last_write_wins(spark):
     v1 = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "id string, version long, v string")
     v2 = spark.createDataFrame([("a", 2, "z")], "id string, version long, v string")
