@@ -112,3 +112,22 @@ def test_payload_lists_are_ranked_before_they_are_cut(spark):
                                      {"id": "y", "summary": "s", "similarityScore": 0.46}]
     assert d["metrics"] == {} and d["sequence"] == [] and d["window"] == {"start": "2024-01-01T00:00:00Z"}
     assert "rootService" not in d
+
+
+def test_sink_works_the_messages_out_once(spark, tmp_path, monkeypatch):
+    """The parts of a bundle are made of the batch's written patterns: no part normalises the messages again."""
+    from tracefold.streaming import bundle_sink as BS
+    from tracefold.streaming.flush import OUTPUT_SCHEMA
+    plans, write = [], BS.write_bundles_batch
+    monkeypatch.setattr(BS, "write_bundles_batch", lambda b, *a: (
+        plans.append(b._jdf.queryExecution().optimizedPlan().toString()), write(b, *a)))
+    at = "timestamp'2024-01-01 00:00:0{}'"
+    rows = spark.sql(" UNION ALL ".join(
+        f"SELECT 's', 0L, 'error_detected', {at.format(9)}, 's', {n}L, {at.format(n)}, '{lvl}', '{msg}'"
+        for n, lvl, msg in ((1, "INFO", "poll"), (2, "INFO", "poll"), (9, "ERROR", "down")))).toDF(
+        *[f.split()[0] for f in OUTPUT_SCHEMA.split(", ")])
+    for _ in range(2):      # a replayed batch leaves the same documents
+        bundle_sink(str(tmp_path), "q")(rows, 0)
+    (doc,) = read_sink(spark, str(tmp_path), "q").collect()
+    assert [(p["pattern"], p["count"]) for p in json.loads(doc.json)["bundle"]["logPatterns"]] == [("down", 1), ("poll", 2)]
+    assert len(plans) == 2 and "md5" not in plans[0]

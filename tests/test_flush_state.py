@@ -105,3 +105,14 @@ def test_every_line_leaves_once():
         # every line is in exactly one entry, behind its own head
         got = [e + k for e, m in seen for k in range(len(m.split("\n")))]
         assert sorted(got) == list(range(1, n))
+
+
+def test_an_entry_without_a_time_keeps_no_older_one():
+    """A batch that left one entry without a time in the buffer: later entries are pruned as ever."""
+    fn = make_flush_fn(window_seconds=60)
+    st = StubState()
+    untimed = lines([(1, None, None, "x")]).assign(is_head=True, level="INFO", ts=pd.NaT)
+    run(fn, st, untimed)
+    out = run(fn, st, lines([(2, 0, "INFO", "a"), (3, 100, "INFO", "b"), (4, 110, "ERROR", "c")]))
+    assert sorted(zip(out["entry_no"], out["reason"])) == [(1, "error_detected"), (2, "pruned"), (3, "error_detected"),
+                                                           (4, "error_detected")]

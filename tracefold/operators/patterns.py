@@ -7,7 +7,7 @@ hot bundle is pre-aggregated on every mapper before the shuffle; ``min_by`` /
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as T
@@ -64,13 +64,17 @@ def dedup_patterns_b(entries: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
 
 
 def order_patterns_b(patterns: DataFrame, keys: tuple[str, ...] = ("bundle_id",),
-                     entry_bucket: int = 1 << 16) -> DataFrame:
+                     entry_bucket: int | None = 1 << 16) -> DataFrame:
     """Reference output order of A2 as a 0-based ``pattern_ord`` per bundle.
 
     A bucketed running count: the bucket (level rank, -count, first entry
     bucket) preserves the order, so a bundle with very many distinct patterns
-    is spread over many tasks."""
+    is spread over many tasks.  ``entry_bucket`` None: the bundles are known to be
+    bounded, and each is numbered in one window."""
     from tracefold.operators.scan import ordinal
+    if entry_bucket is None:
+        w = Window.partitionBy(*keys).orderBy("sev_rank", F.col("count").desc(), "first_entry_no")
+        return patterns.withColumn("pattern_ord", F.row_number().over(w).cast("long") - 1)
     bucket = F.struct(F.col("sev_rank"), (-F.col("count")).alias("c"),
                       F.floor(F.col("first_entry_no") / entry_bucket).alias("e"))
     return ordinal(patterns, list(keys), ["sev_rank", F.col("count").desc(), "first_entry_no"], bucket,
